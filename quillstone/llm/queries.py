@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.exact_dedup import exact_groups
+from quillstone.llm.lattice import embedding_links
+from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.packing import pack
 from quillstone.session import read_table
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), ngram=3, percent=85)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -19,6 +25,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -34,8 +44,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_mixing": op3_mixing,
     "op6_packing": op6_packing,
+    "op7_lattice": op7_lattice,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES = {"op9_exact_dedup": OP9_SQL}
