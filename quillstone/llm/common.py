@@ -134,3 +134,51 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after.select("node", "comp")
         if not moved:
             return labels
+
+
+def append_columns(df: DataFrame, text_col: str, fields: str, make) -> DataFrame:
+    """df with further columns that make() computes from its rows: one Arrow pass, no shuffle, no join.
+
+    make() is called once per task and returns fn(texts, table) -> arrays for fields ("name type, ..."), where
+    table holds the same rows of df. New names must not clash with those of df; callers use a prefix.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    at, added = df.columns.index(text_col), StructType.fromDDL(fields)
+
+    def run(batches):
+        fn = make()
+        for batch in batches:
+            for first, texts in text_chunks(batch, at):
+                part = batch.slice(first, len(texts))
+                yield pa.record_batch([*part.columns, *fn(texts, part)], names=[*part.schema.names, *added.names])
+
+    return df.mapInArrow(run, StructType(df.schema.fields + added.fields))
+
+
+def bounded_sample(df: DataFrame, bound: int, *keys: str, seed: int = 3) -> DataFrame:
+    """Rows of df whose key hash is low: about bound of them, or all when there are fewer; the same rows every time."""
+    n = df.count()
+    if n <= bound:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit(seed)), F.lit(1_000_000)) < int(bound / n * 1_000_000))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int, start: np.ndarray | None = None, rate: float = 0.1) -> np.ndarray:
+    """Weights and, last, the bias of a logistic regression by full-batch Adam; deterministic."""
+    w = np.zeros(x.shape[1] + 1, np.float32) if start is None else start.copy()
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    if start is None:
+        p = (y.sum() + 0.5) / (len(y) + 1)
+        w[-1] = np.log(p / (1 - p))
+    for t in range(1, steps + 1):
+        r = (sigmoid(x @ w[:-1] + w[-1]) - y).astype(np.float32) / len(y)
+        g = np.append(x.T @ r + l2 * w[:-1], r.sum()).astype(np.float32)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= (rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+    return w

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.cotraining import score_quality
 from quillstone.llm.exact_dedup import exact_groups
 from quillstone.llm.lattice import embedding_links
 from quillstone.llm.minhash import near_duplicates
@@ -13,6 +14,11 @@ from quillstone.llm.packing import pack
 from quillstone.session import read_table
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.col("__p_text").alias("p_text"), F.col("__p_meta").alias("p_meta"), F.col("__p").alias("p_quality"), (F.col("__p") >= 0.5).alias("keep"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), ngram=3, percent=85)
 
@@ -44,6 +50,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op1_cotraining": op1_cotraining,
     "op2_minhash": op2_minhash,
     "op3_mixing": op3_mixing,
     "op6_packing": op6_packing,
