@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.cotraining import score_quality
+from quillstone.llm.common import fold_of
 from quillstone.llm.exact_dedup import exact_groups
 from quillstone.llm.lattice import embedding_links
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.packing import pack
+from quillstone.llm.toxicity import score_toxicity
 from quillstone.session import read_table
 
 
@@ -27,6 +29,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, read_table(spark, sf_dir, "labels"), held_fold=0)
+    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,7 @@ QUERIES = {
     "op1_cotraining": op1_cotraining,
     "op2_minhash": op2_minhash,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_lattice": op7_lattice,
     "op9_exact_dedup": op9_exact_dedup,
