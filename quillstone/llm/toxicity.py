@@ -17,9 +17,9 @@ from quillstone.llm.common import append_columns, bounded_sample, fit_logistic,
 
 #: Rows of labelled training text that a fit may see, and lexicon entries it may learn.
 LABELLED, TERMS = 20_000, 4000
-#: A term needs at least so many toxic documents, such a share of them (copies of one text bring its rare words), and such log odds.
-MIN_TOXIC, MIN_SHARE, MIN_ODDS = 4, 0.01, 3.0
-STEM = (3, 4, 5, 6, 8)  # lengths of word beginnings tried as terms, beside whole words
+#: A term needs at least so many toxic documents, such a share of them (copies of one text bring its rare words), and such precision.
+MIN_TOXIC, MIN_SHARE, MIN_PRECISION = 4, 0.02, 0.95
+STEM = (3, 4, 5, 6, 7, 8)  # lengths of word beginnings tried as terms, beside whole words
 
 # Letters that look like the Latin ones.
 HOMOGLYPHS = {
@@ -132,7 +132,7 @@ def _count_terms(batches):
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """A lexicon from a bounded sample of labelled rows: terms far commoner in toxic texts, the shortest that say it.
+    """A lexicon from a bounded sample of labelled rows: terms that hardly occur in clean texts, in their maximal form.
 
     Exception phrases are given, or learned: a clean text's words around a term, seen in MIN_TOXIC clean texts and in no toxic one.
     """
@@ -144,12 +144,16 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         return Lexicon({})
     counts = seen.mapInArrow(_count_terms, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     odds = F.log((F.col("a") + 0.5) / F.lit(totals[1] + 1.0)) - F.log((F.col("b") + 0.5) / F.lit(totals[0] + 1.0))
-    rows = counts.withColumn("w", odds).filter((F.col("a") >= max(MIN_TOXIC, MIN_SHARE * totals[1])) & (F.col("w") >= MIN_ODDS)).orderBy(F.desc("w"), "term").limit(TERMS).collect()
+    rows = counts.withColumn("w", odds).filter((F.col("a") >= max(MIN_TOXIC, MIN_SHARE * totals[1])) & (F.col("a") >= MIN_PRECISION * (F.col("a") + F.col("b")))).orderBy(F.desc("w"), "term").limit(TERMS).collect()
+    odds_of, support = {r.term: float(r.w) for r in rows}, {r.term: r.a for r in rows}
     weights: dict[str, float] = {}
-    for r in sorted(rows, key=lambda r: (len(r.term), r.term)):  # a longer term is kept only if it says clearly more
-        shorter = [weights[r.term[:k]] for k in range(3, len(r.term)) if r.term[:k] in weights]
-        if not shorter or r.w > max(shorter) + 1.5:
-            weights[r.term] = float(r.w)
+    for term in sorted(support, key=lambda t: (len(t), t)):
+        longer = [t for t in support if len(t) > len(term) and t.startswith(term)]
+        if any(support[t] >= 0.9 * support[term] for t in longer):
+            continue  # a longer form says the same of nearly the same documents
+        if any(term[:k] in weights for k in range(3, len(term))):
+            continue  # a shorter form, with more documents, holds already
+        weights[term] = odds_of[term]
     lexicon = Lexicon(weights, tuple(fold(p.encode()) for p in exceptions))
     if not exceptions:
         lexicon.exceptions = _learn_exceptions(seen, lexicon)
