@@ -9,6 +9,7 @@ from quillstone.llm.cotraining import score_quality
 from quillstone.llm.common import fold_of
 from quillstone.llm.exact_dedup import exact_groups
 from quillstone.llm.lattice import embedding_links
+from quillstone.llm.line_dedup import drop_repeated_lines
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.packing import pack
@@ -43,6 +44,10 @@ def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_lattice": op7_lattice,
+    "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES = {"op9_exact_dedup": OP9_SQL}
