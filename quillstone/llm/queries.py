@@ -13,6 +13,7 @@ from quillstone.llm.line_dedup import drop_repeated_lines
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.packing import pack
+from quillstone.llm.surrogates import replace_entities
 from quillstone.llm.toxicity import score_toxicity
 from quillstone.session import read_table
 
@@ -36,6 +37,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The query's key; a deployment passes its own secret to the operator.
+SURROGATE_KEY = b"demonstration key, not a secret"
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(read_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -67,6 +76,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
+    "op5_surrogates": op5_surrogates,
     "op6_packing": op6_packing,
     "op7_lattice": op7_lattice,
     "op8_line_dedup": op8_line_dedup,
