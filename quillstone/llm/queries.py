@@ -10,6 +10,7 @@ from quillstone.llm.common import fold_of
 from quillstone.llm.exact_dedup import exact_groups
 from quillstone.llm.lattice import embedding_links
 from quillstone.llm.line_dedup import drop_repeated_lines
+from quillstone.llm.maxent import score_texts
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.packing import pack
@@ -61,6 +62,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"), lambda i: fold_of(i) == 1)
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -81,5 +86,6 @@ QUERIES = {
     "op7_lattice": op7_lattice,
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_maxent": op10_maxent,
 }
 ORACLES = {"op9_exact_dedup": OP9_SQL}
