@@ -95,7 +95,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         part = rows.join(once, "doc", "left_semi")
     spans = cut(repeated_lines(part, "doc", "text", min_words))
     kept = F.filter(F.split("text", "\n"), lambda x, j: ~F.exists("spans", lambda s: (s["a"] <= j) & (j < s["b"])))
-    out = rows.join(spans, "doc", "left")
+    out = rows.hint("merge").join(spans, "doc", "left")  # spans grow with the corpus: no broadcast at any size
     n = F.size(F.split("text", "\n"))
     out = out.select("doc", "text", "spans", n.alias("n_lines"), F.when(F.col("spans").isNotNull(), kept).alias("kept"))
     return out.select(F.col("doc").alias(id_col), "n_lines", F.when(F.col("kept").isNotNull(), F.col("n_lines") - F.size("kept")).otherwise(0).alias("n_dropped"), F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"))
