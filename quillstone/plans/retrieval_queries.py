@@ -89,7 +89,7 @@ def v1_v3_idf(spark, d):
     return N.idf(N.counts(g), g.count()).select("g", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("WITH n AS (SELECT doc_id, regexp_replace(text, '" + _ZW + "', '', 'g') AS t FROM gold) SELECT doc_id, " + " + ".join(f"(SELECT count(DISTINCT substr(t, CAST(i AS INT), {k})) FROM unnest(range(1, length(t) - {k} + 2)) AS r(i))" for k in (3, 4, 5, 6)) + " AS grams FROM n")
+@query("WITH n AS (SELECT doc_id, regexp_replace(text, '" + _ZW + "', '', 'g') AS t FROM gold), g AS (" + " UNION ALL ".join(f"SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(t) - {k} + 2), lambda i: substr(t, i, {k})))) AS g FROM n" for k in (3, 4, 5, 6)) + ") SELECT doc_id, count(*) AS grams FROM g GROUP BY doc_id")
 def v2_gram_sets(spark, d):
     g = run_sql(spark, d, "SELECT doc_id, text FROM gold")
     return g.select("doc_id", F.size(F.array_distinct(N.char_grams(T.squeeze(F.col("text")), (3, 4, 5, 6), short=False))).cast("long").alias("grams"))
