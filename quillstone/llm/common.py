@@ -169,15 +169,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int, start: np.ndarray | None = None, rate: float = 0.1) -> np.ndarray:
-    """Weights and, last, the bias of a logistic regression by full-batch Adam; deterministic."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int, start: np.ndarray | None = None, rate: float = 0.1, on: np.ndarray | None = None) -> np.ndarray:
+    """Weights and, last, the bias of a logistic regression by full-batch Adam; deterministic. on: a mask of the rows to learn from, so none is copied."""
     w = np.zeros(x.shape[1] + 1, np.float32) if start is None else start.copy()
     m, v = np.zeros_like(w), np.zeros_like(w)
+    on = np.ones(len(y), np.float32) if on is None else on.astype(np.float32)
     if start is None:
-        p = (y.sum() + 0.5) / (len(y) + 1)
+        p = ((y * on).sum() + 0.5) / (on.sum() + 1)
         w[-1] = np.log(p / (1 - p))
     for t in range(1, steps + 1):
-        r = (sigmoid(x @ w[:-1] + w[-1]) - y).astype(np.float32) / len(y)
+        r = ((sigmoid(x @ w[:-1] + w[-1]) - y) * on).astype(np.float32) / on.sum()
         g = np.append(x.T @ r + l2 * w[:-1], r.sum()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= (rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)

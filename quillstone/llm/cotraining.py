@@ -6,7 +6,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import append_columns, bounded_sample, fit_logistic, sigmoid, word_hashes
 
 BUCKETS = 2048
-LANGS, SOURCES = 16, 64
+STATS, LANGS, SOURCES, LAYOUT = 3, 16, 64, 12
 #: Rows of each kind that a fit may see; the models have a few thousand weights, so more rows would not move them.
 LABELLED, UNLABELLED = 6000, 6000
 
@@ -125,41 +124,48 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     pool = rows.join(F.broadcast(pool.limit(2 * UNLABELLED)), "__id").withColumn("__y", F.lit(-1))
     # a pool row may be labelled too: its label is then not used
     views = append_columns(seen.select("__id", "text", "lang", "source", "__y").unionByName(pool.select("__id", "text", "lang", "source", "__y")), "text", "__a binary, __b binary", lambda: _views)
-    data: pd.DataFrame = views.select("__id", "__y", "__a", "__b").toPandas().sort_values(["__y", "__id"], ignore_index=True)
-    y = data["__y"].to_numpy()
+    table = views.select("__id", "__y", "__a", "__b").toArrow()
+    order = sorted(range(table.num_rows), key=lambda i, k=table.column("__y").to_pylist(), d=table.column("__id").to_pylist(): (k[i], d[i] is None, d[i]))
+    ids, y = [table.column("__id")[i].as_py() for i in order], table.column("__y").to_numpy()[order]
     if len({*y} & {0, 1}) < 2:
         return None
-    text = np.stack([np.frombuffer(v, np.float16) for v in data["__a"]]).astype(np.float32)
-    meta = np.stack([np.frombuffer(v, np.float32) for v in data["__b"]])
+    # one copy of each matrix: the fits below take masks of its rows
+    text, meta = np.empty((len(y), BUCKETS + STATS), np.float32), np.empty((len(y), LANGS + SOURCES + LAYOUT), np.float32)
+    for k, i in enumerate(order):
+        text[k] = np.frombuffer(table.column("__a")[i].as_buffer(), np.float16)
+        meta[k] = np.frombuffer(table.column("__b")[i].as_buffer(), np.float32)
+    del table
+    pa.default_memory_pool().release_unused()
     labelled = y >= 0
     stats_mean, stats_sd = _scaled(text[:, BUCKETS:])
     meta_mean, meta_sd = _scaled(meta)
     text[:, BUCKETS:] = (text[:, BUCKETS:] - stats_mean) / stats_sd
-    meta = ((meta - meta_mean) / meta_sd).astype(np.float32)
-    aside = labelled & (np.array([zlib.crc32(str(i).encode()) % 4 for i in data["__id"]]) == 0)
+    meta -= meta_mean
+    meta /= meta_sd
+    aside = labelled & (np.array([zlib.crc32(str(i).encode()) % 4 for i in ids]) == 0)
     free = np.flatnonzero(~labelled)
     prior = y[labelled].mean()
     given = [np.where(labelled & ~aside, y, -1) for _ in range(2)]
     views_, weights = (text, meta), [None, None]
     for k in range(rounds + 1):
         for v in range(2):
-            at = given[v] >= 0
-            weights[v] = fit_logistic(views_[v][at], given[v][at].astype(np.float32), (1e-5, 1e-3)[v], 150 if k == 0 else 60, weights[v])
+            on = given[v] >= 0
+            weights[v] = fit_logistic(views_[v], np.where(on, given[v], 0).astype(np.float32), (1e-5, 1e-3)[v], 150 if k == 0 else 60, weights[v], on=on)
         if k == rounds:
             break
         for v in range(2):
-            odds = views_[v][free] @ weights[v][:-1] + weights[v][-1]
-            odds = np.where(given[1 - v][free] >= 0, np.nan, odds)
-            order = free[np.argsort(odds, kind="stable")[: int((~np.isnan(odds)).sum())]]
+            odds = views_[v] @ weights[v][:-1] + weights[v][-1]
+            rest = free[given[1 - v][free] < 0]
+            order = rest[np.argsort(odds[rest], kind="stable")]
             take = max(1, int(share * len(free)))
             low = max(1, int(round(take * (1 - prior))))
-            sure_low = [i for i in order[:low] if views_[v][i] @ weights[v][:-1] + weights[v][-1] < -1]
-            sure_high = [i for i in order[::-1][: take - low] if views_[v][i] @ weights[v][:-1] + weights[v][-1] > 1]
+            sure_low = [i for i in order[:low] if odds[i] < -1]
+            sure_high = [i for i in order[::-1][: take - low] if odds[i] > 1]
             given[1 - v][sure_low], given[1 - v][sure_high] = 0, 1
     held = aside if len({*y[aside]}) == 2 else labelled
     calibrate, odds = [], []
     for v in range(2):
-        z = (views_[v][held] @ weights[v][:-1] + weights[v][-1])[:, None].astype(np.float32)
+        z = (views_[v] @ weights[v][:-1] + weights[v][-1])[held, None].astype(np.float32)
         calibrate.append(fit_logistic(z, y[held].astype(np.float32), 1e-3, 300))
         odds.append(z[:, 0] * calibrate[v][0] + calibrate[v][1])
     vote = fit_logistic(np.column_stack(odds).astype(np.float32), y[held].astype(np.float32), 1e-3, 300)
