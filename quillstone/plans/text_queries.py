@@ -260,3 +260,23 @@ def s17_s18_j4_resume(spark, d):
     docs = _docs(spark, d).select("doc_id", T.fingerprint(F.col("text")).alias("sha"))
     done = docs.join(read_table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     return pending(docs, done, ["doc_id", "sha"]).select("doc_id")
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def s1_s2_s4_jsonl(spark, d):
+    """Documents written as JSON Lines to the shared folder and scanned again through a glob."""
+    import uuid
+
+    from quillstone.session import shared_dir
+    from quillstone.sources.jsonl import read_jsonl, write_jsonl
+
+    docs, path = _docs(spark, d), f"{shared_dir(spark)}/quillstone-jsonl-{uuid.uuid4().hex}"
+    write_jsonl(docs, path)
+    return read_jsonl(spark, f"{path}/*.json", docs.schema)
+
+
+@query("SELECT CAST(to_json({'source': source, 'docs': count(*)}) AS VARCHAR) AS report FROM documents GROUP BY source")
+def s3_report(spark, d):
+    from quillstone.sources.jsonl import report
+
+    return report(_docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("docs")))
