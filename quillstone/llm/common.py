@@ -11,7 +11,7 @@ from quillstone.session import cut
 WHITESPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once by the numpy kernels; bounds a worker's memory whatever an Arrow batch holds.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20260101)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
