@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import _mix, append_columns, text_chunks, word_hashes
 from quillstone.session import cut
 
-#: Commonest words, whose counts every worker holds; other words meet their counts in a join.
+#: Most words whose counts every worker holds, the commonest; other words meet their counts in a join.
 KNOWN = 200_000
 #: Words that share out among the classes, classes, context words that shape the classes.
 HEAD, CLASSES, CONTEXTS = 32_768, 48, 24
@@ -206,6 +206,22 @@ def _gradient(batches, model: Model):
         yield from _blobs(expected[f], 64 * f + 32)
 
 
+def _commonest(counts: DataFrame, distinct: int, total: int) -> DataFrame:
+    """The words above the least count that leaves at most KNOWN of them: no task sends the driver more than its share.
+
+    The count is found by narrowing an interval with 32 thresholds an aggregation.
+    """
+    if distinct <= KNOWN:
+        return counts
+    lo, hi = 0, total  # more than KNOWN words lie above lo, no word above hi
+    while hi - lo > 1:
+        tries = sorted({lo + max(1, (hi - lo) * k // 32) for k in range(1, 32)} | {x for x in (lo + 2**k for k in range(40)) if x < hi})
+        above = counts.agg(*[F.count(F.when(F.col("n") > t, 1)).alias(str(t)) for t in tries]).first().asDict()
+        lo = max([t for t in tries if above[str(t)] > KNOWN], default=lo)
+        hi = min([t for t in tries if above[str(t)] <= KNOWN], default=hi)
+    return counts.filter(F.col("n") > hi)
+
+
 def train(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts (h, n). Every training text counts in the statistics and in one gradient step.
 
@@ -215,7 +231,7 @@ def train(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple
     only = texts.select(text_col, id_col)
     counts = cut(only.select(text_col).mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
+    rows = _commonest(counts, int(distinct), int(total)).toPandas().sort_values(["n", "h"], ascending=[False, True])
     rank_hash, rank_count = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(rank_hash)
     model = Model(rank_hash[order], rank_count[order], np.full(len(order), TAIL_CLASS), int(total), int(distinct))
@@ -229,7 +245,8 @@ def train(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple
     table = _summed(only.select(text_col).coalesce(tasks).mapInArrow(lambda it: _context_counts(it, model, top), "key int, blob binary"))
     table = np.concatenate([table[k] for k in sorted(table)]).reshape(HEAD, CONTEXTS)
     listed = top[:HEAD]
-    model.classes[listed] = 2 + _clusters(table[: len(listed)], model.counts[listed], CLASSES - 2)
+    if len(listed):
+        model.classes[listed] = 2 + _clusters(table[: len(listed)], model.counts[listed], CLASSES - 2)
     model.classes[place[rank_hash == _END]] = END_CLASS
     model.finish()
     for step in range(STEPS):
