@@ -60,9 +60,9 @@ def normalize_grams(text: Column) -> Column:
 
 
 def control_squeeze(text: Column) -> Column:
-    """Control characters but line breaks gone, blanks collapsed, at most two line breaks, trimmed."""
-    out = _drop(F.coalesce(text, F.lit("")), "[\\x{0}-\\x{9}\\x{b}-\\x{1f}]", " ")
-    return F.trim(_drop(_drop(out, " +", " "), "\n{3,}", "\n\n"))
+    """Control characters but line breaks gone, blanks collapsed, at most two line breaks, white space trimmed from both ends."""
+    out = _drop(F.coalesce(text, F.lit("")), "[\\x{0}-\\x{9}\\x{b}-\\x{1f}]")
+    return _drop(_drop(_drop(out, " +", " "), "\n{3,}", "\n\n"), "(?U)^\\s+|\\s+$")
 
 
 def length_bucket(text: Column) -> Column:

@@ -72,3 +72,19 @@ def route(policy: Policy, hits: DataFrame, fired: DataFrame, risk: DataFrame, re
     """(q, path, reason, decision, abstained, predicted, abstain_reason, confidence) for every request."""
     text = f"WITH {route_sql(policy, '{hits}', '{fired}', '{risk}', '{requests}')} SELECT * FROM outcome"
     return hits.sparkSession.sql(text, hits=hits, fired=fired, risk=risk, requests=requests)
+
+
+def recover(outcome: DataFrame, hits: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """outcome with the abstentions that a verdict on the top precedent withdraws, and recovered.
+
+    verdicts (q, verdict) may come from any judge. An abstention is withdrawn only on 'applies', when the top precedent reaches
+    the floor and no other precedent that does has another label; the answer is then the top precedent's, of medium confidence.
+    """
+    text = f"""WITH lead_ AS (SELECT q, label, s FROM {{hits}} WHERE rank = 0),
+    against AS (SELECT DISTINCT h.q FROM {{hits}} h JOIN lead_ l ON h.q = l.q WHERE h.rank > 0 AND h.s >= {DOUBT} AND h.label <> l.label),
+    marked AS (SELECT o.*, l.label AS lead_label, o.abstained AND coalesce(l.s >= {DOUBT}, false) AND coalesce(v.verdict = 'applies', false) AND a.q IS NULL AS recovered
+      FROM {{outcome}} o LEFT JOIN lead_ l ON o.q = l.q LEFT JOIN {{verdicts}} v ON o.q = v.q LEFT JOIN against a ON o.q = a.q)
+    SELECT q, CASE WHEN recovered THEN 'precedent' ELSE path END AS path, CASE WHEN recovered THEN 'V3+' ELSE reason END AS reason, CASE WHEN recovered THEN lead_label ELSE decision END AS decision,
+      abstained AND NOT recovered AS abstained, CASE WHEN recovered THEN lead_label ELSE predicted END AS predicted, CASE WHEN NOT recovered THEN abstain_reason END AS abstain_reason,
+      CASE WHEN recovered THEN 'medium' ELSE confidence END AS confidence, recovered FROM marked"""
+    return hits.sparkSession.sql(text, outcome=outcome, hits=hits, verdicts=verdicts)

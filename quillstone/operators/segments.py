@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from itertools import combinations_with_replacement
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import control_squeeze, squeeze
+
 
 def healthy(df: DataFrame, text: str, least: float = 0.8) -> DataFrame:
     """df with healthy: whether the share of readable characters reaches the limit."""
@@ -59,3 +64,32 @@ def inventory(docs: DataFrame) -> DataFrame:
 def tag_counts(pages: DataFrame, html: str, least: int = 5) -> DataFrame:
     tags = pages.select("page_id", F.explode(F.regexp_extract_all(html, F.lit("<([a-z0-9]+)"), F.lit(1))).alias("tag"))
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("page_id").alias("on_pages")).filter(F.col("uses") >= least)
+
+
+def _on_lines(name: str) -> str:
+    """A pattern of name, blanks allowed between its letters, standing alone on one to three lines."""
+    blank, letters = r"[^\S\n]*", [re.escape(c) for c in name]
+    ways = []
+    for breaks in range(3 if len(letters) > 1 else 1):
+        for gaps in combinations_with_replacement(range(1, len(letters)), breaks):
+            ways.append("".join((blank if i else "") + f"\\n{blank}" * gaps.count(i) + c for i, c in enumerate(letters)))
+    return "|".join(ways)
+
+
+def split_fields(text: Column, names: list[str]) -> tuple[Column, Column]:
+    """(fields, warnings): what follows each name that stands alone on one to three lines, and the names not found.
+
+    A longer name wins over one that begins it. A name's later parts are appended on a new line. What stands before the first name is dropped;
+    blank lines around names belong to no field. Null text has no field. Names are a short fixed list; each row is one expression, without a shuffle.
+    """
+    whole = "|".join(_on_lines(n) for n in sorted(names, key=len, reverse=True))
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x{1}\\x{2}]", " ")
+    body = F.regexp_replace(body, F.lit(rf"(?mdU)^[^\S\n]*({whole})[^\S\n]*$"), F.lit("\x01$1\x02"))
+    parts = F.split(body, "\x01", -1)
+    parts = F.slice(parts, F.lit(2), F.size(parts))
+    marked = F.transform(parts, lambda p: F.struct(squeeze(F.split(p, "\x02", 2)[0]).alias("name"), control_squeeze(F.split(p, "\x02", 2)[1]).alias("value")))
+    held = lambda n: F.transform(F.filter(marked, lambda m: m["name"] == n), lambda m: m["value"])
+    entries = F.array(*[F.when(F.size(held(n)) > 0, F.struct(F.lit(n).alias("key"), F.array_join(held(n), "\n").alias("value"))) for n in names])
+    fields = F.map_from_entries(F.array_compact(entries))
+    warnings = F.array_compact(F.array(*[F.when(F.size(held(n)) == 0, F.lit(f"missing_field:{n}")) for n in names]))
+    return fields, warnings

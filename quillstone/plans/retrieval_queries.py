@@ -280,6 +280,21 @@ def d8_d11_service_policy(spark, d):
     return _routed(spark, d).select(F.col("q").alias("doc_id"), F.when(high, F.col("decision")).alias("decision"), (~high | F.col("decision").isNull()).alias("abstained"))
 
 
+@query(
+    f"""WITH {_ROUTE_CTES}, {router.route_sql(router.POLICIES['router'])}
+    SELECT o.q AS doc_id, CASE WHEN r.q IS NULL THEN o.path ELSE 'precedent' END AS path, CASE WHEN r.q IS NULL THEN o.reason ELSE 'V3+' END AS reason, coalesce(r.label, o.predicted) AS predicted,
+      o.abstained AND r.q IS NULL AS abstained, CASE WHEN r.q IS NULL THEN o.confidence ELSE 'medium' END AS confidence
+    FROM outcome o LEFT JOIN (SELECT h.q, max(CASE WHEN rank = 0 THEN h.label END) AS label FROM hits h JOIN outcome x ON x.q = h.q AND x.abstained
+      WHERE h.q % 3 <> 0 AND h.s >= 0.15 GROUP BY h.q HAVING min(rank) = 0 AND count(DISTINCT h.label) = 1) r ON o.q = r.q"""
+)
+def d10_applicability_recovery(spark, d):
+    """A verdict derived from the id stands for the judge's."""
+    f = _frames(spark, d)
+    verdicts = f["requests"].select("q", F.when(F.col("q") % 3 == 0, "differs").otherwise("applies").alias("verdict"))
+    out = router.recover(router.route(router.POLICIES["router"], **f), f["hits"], verdicts)
+    return out.select(F.col("q").alias("doc_id"), "path", "reason", "predicted", "abstained", "confidence")
+
+
 @query(f"WITH {_HITS}, s AS (SELECT n.q, n.p, n.s FROM near n JOIN gold g ON g.doc_id = n.q JOIN gold h ON h.doc_id = n.p WHERE n.rank < 20 AND 2000 + h.doc_id % 25 < 2000 + g.doc_id % 25), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, p) AS k FROM s) SELECT q, p, round(s, 6) AS similarity FROM r WHERE k = 1")
 def j10_temporal_precedent(spark, d):
     """The nearest of the leading precedents that is strictly older than the request (an extension, not parity)."""

@@ -230,7 +230,20 @@ def s9_s10_segments(spark, d):
     return segments.slices(read_table(spark, d, "pages"), "html", "<p[^>]*>").select("page_id", "pos", F.trim(F.regexp_replace("part", "<[^>]*>", ""), F.lit(" \n")).alias("body"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x{0}-\x{9}\x{b}-\x{1f}]', ' ', 'g'), ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS body FROM documents")
+_S12 = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '[\x{{0}}-\x{{9}}\x{{b}}-\x{{1f}}]', '', 'g'), ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, {_S12.format(n)} AS value, 'missing_field:notes' AS warnings FROM documents" for n in ("lang", "source", "text")))
+def s11_fields(spark, d):
+    """Documents written out as named sections, one name broken over two lines, and split again."""
+    x = _docs(spark, d)
+    body = F.concat_ws("\n", F.lit("lang"), "lang", F.lit("so"), F.lit("urce"), "source", F.lit(" te xt "), "text")
+    fields, warnings = segments.split_fields(body, ["lang", "source", "text", "notes"])
+    x = x.select("doc_id", fields.alias("fields"), F.array_join(warnings, ";").alias("warnings"))
+    return x.select("doc_id", F.explode("fields").alias("name", "value"), "warnings")
+
+
+@query(f"SELECT doc_id, {_S12.format('text')} AS body FROM documents")
 def s12_control_squeeze(spark, d):
     return _docs(spark, d).select("doc_id", T.control_squeeze(F.col("text")).alias("body"))
 

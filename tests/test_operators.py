@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import stats
 from quillstone.functions import text as T
-from quillstone.operators import ngrams, overlap, router, rules, splits
+from quillstone.operators import ngrams, overlap, router, rules, segments, splits
 
 
 def one(spark, col, **values):
@@ -122,3 +122,25 @@ def test_rules_learn_a_shared_phrase(spark):
     got = {r.doc_id: r.predicted for r in rules.apply_rules(learned, default, df).collect()}
     assert all(got[i] == label for i, _, _, label in rows)
     assert learned[0].precision == 1.0 and math.isclose(learned[0].support, learned[0].correct)
+
+
+def test_fields_stand_alone_on_up_to_three_lines(spark):
+    fields, warnings = segments.split_fields(F.col("t"), ["판단", "판단이유", "사실", "기타"])
+    rows = ["머리\n사실\n\n a  b\n판단\n이유\nx\n판 단\ny 판단\n사실\nc", "", None, "판단 있음"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", fields.alias("f"), warnings.alias("w")).orderBy("i").collect()
+    assert got[0].f == {"사실": "a b\nc", "판단이유": "x", "판단": "y 판단"} and got[0].w == ["missing_field:기타"]
+    assert all(r.f == {} and len(r.w) == 4 for r in got[1:])
+
+
+def test_abstentions_are_withdrawn_only_without_opposing_evidence(spark):
+    out = spark.createDataFrame([(q, "abstain", "R5", None, True, "major", "surface", "low") for q in range(5)] + [(5, "rule", "R3", "rare", False, "rare", None, "low")], "q int, path string, reason string, decision string, abstained boolean, predicted string, abstain_reason string, confidence string")
+    # 0 recovers; 1 has opposing evidence; 2 a low top; 3 another verdict; 4 no precedent; 5 is answered already
+    hits = spark.createDataFrame([(0, 0, "other", 0.5), (0, 1, "rare", 0.1), (1, 0, "other", 0.5), (1, 1, "rare", 0.2), (2, 0, "other", 0.1), (3, 0, "other", 0.5), (5, 0, "other", 0.5)], "q int, rank int, label string, s double")
+    verdicts = spark.createDataFrame([(q, "differs" if q == 3 else "applies") for q in range(6)], "q int, verdict string")
+    got = {r.q: (r.predicted, r.abstained, r.confidence, r.recovered) for r in router.recover(out, hits, verdicts).collect()}
+    assert got[0] == ("other", False, "medium", True) and got[5] == ("rare", False, "low", False)
+    assert all(got[q] == ("major", True, "low", False) for q in (1, 2, 3, 4))
+
+
+def test_control_characters_are_dropped_not_spaced(spark):
+    assert one(spark, T.control_squeeze(F.col("t")), t="\n a\tb\x01c  d\n\n\n\ne \u3000\n") == "abc d\n\ne"
