@@ -47,6 +47,15 @@ def r1_r9_a21_induced_rules(spark, d):
     return R.apply_rules(rules, default, s.filter("pos % 3 <> 0"))
 
 
+@query()
+def r4_maximal_forms(spark, d):
+    """The n-grams of a rule list learned on dev and the phrases they are pieces of."""
+    dev = cut(run_sql(spark, d, "SELECT doc_id, text, source, label FROM split WHERE pos % 3 = 0"))
+    rules, _ = R.induce(dev)
+    forms = R.maximal_forms([v for r in rules for kind, v in r.atoms if kind == "ngram"], dev)
+    return spark.createDataFrame(sorted(forms.items()), "term string, form string")
+
+
 @query()
 def r10_rule_stability(spark, d):
     s = run_sql(spark, d, "SELECT doc_id, text, source, label, pos FROM split WHERE pos % 3 = 0")

@@ -144,3 +144,25 @@ def test_abstentions_are_withdrawn_only_without_opposing_evidence(spark):
 
 def test_control_characters_are_dropped_not_spaced(spark):
     assert one(spark, T.control_squeeze(F.col("t")), t="\n a\tb\x01c  d\n\n\n\ne \u3000\n") == "abc d\n\ne"
+
+
+def test_maximal_forms_grow_while_support_holds(spark):
+    texts = ["xx abcde fgh", "y abcde fgi", "abcdz q q1", "zqqa qq2 p.q(r", None, "", "mmm nm p.q(r mm", "aXbbXc aXb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    held = ["".join((t or "").split()) for t in texts]
+
+    def brute(term, limit):
+        hits, cur = [t for t in held if term in t], term
+        while hits and len(cur) < limit:
+            after = sorted({t[t.find(cur) + len(cur)] for t in hits if t.find(cur) + len(cur) < len(t)})
+            before = sorted({t[t.find(cur) - 1] for t in hits if t.find(cur) > 0})
+            grown = [g for g in [cur + c for c in after] + [c + cur for c in before] if all(g in t for t in hits)]
+            if not grown:
+                break
+            cur = grown[0]
+        return cur
+
+    terms = ["bc", "cde", "fg", "q", "qq", "mm", ".q(", "X", "bX", "none", "a"]
+    for limit in (5, 40):
+        assert rules.maximal_forms(terms, rows, limit) == {t: brute(t, limit) for t in terms}
+    assert rules.maximal_forms([], rows) == {}
