@@ -59,7 +59,7 @@ def r4_maximal_forms(spark, d):
 @query()
 def r10_rule_stability(spark, d):
     s = run_sql(spark, d, "SELECT doc_id, text, source, label, pos FROM split WHERE pos % 3 = 0")
-    return R.stability(cut(s.withColumn("pos", F.expr("cast(pos / 3 as bigint)"))), max_rules=3, max_depth=1)
+    return R.stability(cut(s.withColumn("pos", F.expr("cast(pos / 3 as bigint)"))))
 
 
 @query()
