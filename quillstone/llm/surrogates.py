@@ -45,11 +45,54 @@ PATTERN = re.compile(
 _HINT = re.compile(rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api.?key)|\b(?:{_TITLE})\b")
 
 
+def _by_person(text: str, spans: list, titled: list[tuple[int, int, str, str]]) -> list:
+    """The name spans of a text with titled names (start, end, gender, name), and its mentions without a title outside spans.
+
+    A full name is one person for each gender its titles give; a single word is the one person of that name and gender, else its own.
+    Capital initials are asked for, so a word that is also a name is replaced where it is written like one.
+    """
+    full: dict[str, set[str]] = {}
+    for _, _, g, name in titled:
+        if " " in name:
+            full.setdefault(name, set()).add(g)
+    lone: dict[str, set[str]] = {}
+    for _, _, g, name in titled:
+        if " " not in name:
+            lone.setdefault(name, set()).add(g)
+    for name, gs in full.items():
+        family = name.rpartition(" ")[2]
+        alone = sum(x.rpartition(" ")[2] == family for x in full) == 1
+        full[name] = gs - {"n"} or (lone.get(family, set()) - {"n"} if alone and len(lone.get(family, set()) - {"n"}) == 1 else {"n"}) or {"n"}
+
+    def key(name: str, g: str) -> str:
+        if name in full:
+            return f"{g if g in full[name] else min(full[name])}:{name}"
+        for part in (2, 0):  # the family name before the given one
+            fits = [(n, x) for n, gs in full.items() if n.partition(" ")[part] == name for x in sorted(gs) if "n" in (g, x) or g == x]
+            if len(fits) == 1:
+                return f"{fits[0][1]}:{fits[0][0]}"
+        gs = lone.get(name, set()) - {"n"}
+        return f"{g if g != 'n' or len(gs) != 1 else min(gs)}:{name}"
+
+    out = spans + [(a, b, "name", key(name, g)) for a, b, g, name in titled]
+    taken = sorted((a, b) for a, b, _, _ in out)
+    said = {" ".join(text[a:b].split()) for a, b, _, _ in titled}
+    forms = sorted(said | {w for x in said for w in x.split()}, key=lambda x: (-len(x), x))
+    any_form = re.compile(r"(?<!\w)(?:" + "|".join(r"\s+".join(re.escape(w) for w in x.split()) for x in forms) + r")(?!\w)", re.IGNORECASE)
+    at = 0
+    for m in any_form.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if (at == len(taken) or taken[at][0] >= m.end()) and all(w[0].isupper() for w in m[0].split()):
+            out.append((m.start(), m.end(), "name", key(" ".join(m[0].casefold().split()), "n")))
+    return sorted(out)
+
+
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, key) of the entities of a text; mentions of one entity have one key whatever their format."""
     if not _HINT.search(text):
         return []
-    out = []
+    out, titled = [], []
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if kind == "value":
@@ -57,12 +100,12 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
         elif kind == "name":
             title = m["title"].rstrip(".")
             gender = next(g for g, hs in HONORIFICS.items() if title in hs)
-            out.append((m.start("name"), m.end("name"), "name", f"{gender}:{' '.join(m['name'].casefold().split())}"))
+            titled.append((m.start("name"), m.end("name"), gender, " ".join(m["name"].casefold().split())))
         elif kind in ("phone", "card", "ssn"):
             out.append((m.start(), m.end(), kind, ("+" if m[0][0] == "+" else "") + re.sub(r"\D", "", m[0])))
         else:
             out.append((m.start(), m.end(), kind, m[0].lower() if kind == "email" else m[0]))
-    return out
+    return _by_person(text, out, titled) if titled else out
 
 
 def _stream(secret: bytes, *parts: object):
@@ -94,22 +137,26 @@ def _luhn_sum(digits: str) -> int:
 
 
 def surrogate(secret: bytes, kind: str, key: str, attempt: int = 0) -> str:
-    """The replacement's key for an entity's key; the same for every mention anywhere, different for each attempt."""
+    """The replacement's key for an entity's key; the same for every mention anywhere, different for each attempt.
+
+    Later attempts are longer, so there are always enough: names and mail names from the second on, other formats, which are kept
+    as long as they can be, from the fourth. Only addresses keep their length, as all of them are open to each.
+    """
     stream = _stream(secret, kind, key, attempt)
     if kind == "email":
         local, _, domain = key.rpartition("@")
         labels = domain.split(".")
         hosts = [_like(x, _stream(secret, "host", x)) for x in labels[:-1]]  # one domain keeps one surrogate
-        return f"{_like(local, stream)}@{'.'.join([*hosts, labels[-1]])}"
+        return f"{_like(local + 'x' * (attempt // 2), stream)}@{'.'.join([*hosts, labels[-1]])}"
     if kind == "ip":
         return ".".join(str(1 + next(stream) % 254) for _ in range(4))
     if kind == "access":
-        return key[:4] + _like(key[4:], stream)
+        return key[:4] + _like(key[4:] + "0" * (attempt // 4), stream)
     if kind == "iban":
-        return key[:2] + _like(key[2:], stream)
+        return key[:2] + _like(key[2:] + "0" * (attempt // 4), stream)
     if kind in ("phone", "card", "ssn"):
         sign, digits = key[: key[0] == "+"], key.lstrip("+")
-        new = digits[0] + _like(digits[1:], stream)
+        new = digits[0] + _like(digits[1:] + "0" * (attempt // 4), stream)
         if kind == "card" and _luhn_sum(digits) % 10 == 0:
             new = new[:-1] + "0"
             new = new[:-1] + str(-_luhn_sum(new) % 10)
@@ -118,18 +165,26 @@ def surrogate(secret: bytes, kind: str, key: str, attempt: int = 0) -> str:
         gender, _, name = key.partition(":")
         script = "cyrillic" if re.search("[а-яё]", name) else "latin"
         given = GIVEN[script, gender if gender in "mf" else "mf"[next(stream) % 2]]
-        family = "".join(_SYLLABLES[script][next(stream) % 16] for _ in range(4))
+        family = "".join(_SYLLABLES[script][next(stream) % 16] for _ in range(4 + attempt // 2))
         return f"{gender}:" + (f"{given[next(stream) % len(given)].casefold()} {family}" if " " in name else family)
-    return _like(key, stream)
+    return _like(key + "0" * (attempt // 4), stream)
+
+
+def _distinct(kind: str, key: str) -> str:
+    """What no two entities may share: of a name the family name, as it also stands alone."""
+    return re.split("[ :]", key)[-1] if kind == "name" else key
 
 
-def render(kind: str, key: str, mention: str) -> str:
-    """A surrogate key in the format of the mention it replaces."""
+def render(kind: str, key: str, mention: str, entity: str = "") -> str:
+    """A surrogate key in the format of the mention it replaces; entity is the key of what is replaced."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(key.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "name":
-        return key.partition(":")[2].title()
+        new, old, said = key.partition(":")[2].split(), entity.partition(":")[2].split(), mention.casefold().split()
+        if len(new) == 2 and len(said) == 1:
+            new = new[:1] if said[0] == old[0] != old[1] else new[1:]
+        return " ".join(new).upper() if len(mention) > 1 and mention.isupper() else " ".join(new).title()
     if kind == "email" and mention != mention.lower():
         return key.upper() if mention == mention.upper() else key
     return key
@@ -153,10 +208,10 @@ def assign(found: DataFrame, secret: bytes, rounds: int = 30) -> DataFrame:
     def made(batches):
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns))
-            yield pa.record_batch([*b.columns, pa.array([surrogate(secret, k, v, n) for k, v, n in rows], pa.string())], names=["kind", "key", "attempt", "new"])
+            yield pa.record_batch([*b.columns, pa.array([_distinct(k, surrogate(secret, k, v, n)) for k, v, n in rows], pa.string())], names=["kind", "key", "attempt", "new"])
 
     held = cut(found.select("kind", "key").distinct().withColumn("attempt", F.lit(0)))
-    real = held.select("kind", F.col("key").alias("new"))
+    real = held.select("kind", F.when(F.col("kind") == "name", F.element_at(F.split("key", "[ :]"), -1)).otherwise(F.col("key")).alias("new"))
     for _ in range(rounds):
         tried = cut(held.mapInArrow(made, "kind string, key string, attempt int, new string"))
         shared = tried.groupBy("kind", "new").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -201,7 +256,7 @@ def replace_entities(docs: DataFrame, secret: bytes, id_col: str = "doc_id", tex
                 own = dict(own or ())
                 for a, b, k, v in spans:
                     n = known.get((k, v), own.get(f"{k}\x1f{v}", 0))
-                    parts += [text[at:a], render(k, surrogate(secret, k, v, n), text[a:b])]
+                    parts += [text[at:a], render(k, surrogate(secret, k, v, n), text[a:b], v)]
                     at = b
                     seen.add(k)
                 out.append("".join([*parts, text[at:]]) if ok else None)
