@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
+import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -33,9 +36,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_dirs: dict[str, str] = {}
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local default only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, a session on one machine gets its own, deleted at exit."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _local_dirs:
+        path = tempfile.mkdtemp(prefix="spark-quillstone-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _local_dirs[context.applicationId] = path
+    return "file://" + _local_dirs[context.applicationId]
 
 
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -46,4 +62,14 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables cut() has written in this process and say how many there were; results that still read them must be written first."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
