@@ -157,6 +157,34 @@ def append_columns(df: DataFrame, text_col: str, fields: str, make) -> DataFrame
     return df.mapInArrow(run, StructType(df.schema.fields + added.fields))
 
 
+def packed_row(df: DataFrame) -> Column:
+    """All columns of df as one struct named row, so that an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def summed_tables(parts: DataFrame, dtype=np.float32) -> dict[int, np.ndarray]:
+    """Sums of tables that tasks send as rows (key, blob), by key.
+
+    A reducer adds a key's tables one by one in double precision, so its memory holds one table a key; as many rows as keys
+    reach the driver, whatever the input.
+    """
+    import pyarrow as pa
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(blob.as_buffer(), dtype)
+                if k in held:
+                    held[k] += x
+                else:
+                    held[k] = x.astype(np.float64)
+        if held:
+            yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.astype(dtype).tobytes() for x in held.values()], pa.binary())], names=["key", "blob"])
+
+    return {r.key: np.frombuffer(r.blob, dtype) for r in parts.repartition("key").mapInArrow(add, "key int, blob binary").collect()}
+
+
 def bounded_sample(df: DataFrame, bound: int, *keys: str, seed: int = 3) -> DataFrame:
     """Rows of df whose key hash is low: about bound of them, or all when there are fewer; the same rows every time."""
     n = df.count()
@@ -169,17 +197,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int, start: np.ndarray | None = None, rate: float = 0.1, on: np.ndarray | None = None) -> np.ndarray:
-    """Weights and, last, the bias of a logistic regression by full-batch Adam; deterministic. on: a mask of the rows to learn from, so none is copied."""
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, l2: float, steps: int, start: np.ndarray | None = None, rate: float = 0.1, on: np.ndarray | None = None, tilt: np.ndarray | None = None, near: float = 0.0
+) -> np.ndarray:
+    """Weights and, last, the bias of a logistic regression by full-batch Adam; deterministic.
+
+    on: a mask of the rows to learn from, so none is copied. tilt: a gradient added to the loss's own. near: how strongly weights are held near start.
+    """
     w = np.zeros(x.shape[1] + 1, np.float32) if start is None else start.copy()
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    first, m, v = w.copy(), np.zeros_like(w), np.zeros_like(w)
     on = np.ones(len(y), np.float32) if on is None else on.astype(np.float32)
     if start is None:
         p = ((y * on).sum() + 0.5) / (on.sum() + 1)
         w[-1] = np.log(p / (1 - p))
     for t in range(1, steps + 1):
         r = ((sigmoid(x @ w[:-1] + w[-1]) - y) * on).astype(np.float32) / on.sum()
-        g = np.append(x.T @ r + l2 * w[:-1], r.sum()).astype(np.float32)
+        g = np.append(x.T @ r + l2 * w[:-1], r.sum()).astype(np.float32) + near * (w - first)
+        if tilt is not None:
+            g += tilt
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= (rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w

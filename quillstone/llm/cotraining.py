@@ -10,35 +10,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import append_columns, bounded_sample, fit_logistic, sigmoid, word_hashes
-
-BUCKETS = 2048
-STATS, LANGS, SOURCES, LAYOUT = 3, 16, 64, 12
-#: Rows of each kind that a fit may see; the models have a few thousand weights, so more rows would not move them.
-LABELLED, UNLABELLED = 6000, 6000
-
-
-def _per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of values between consecutive offsets; empty ranges give 0."""
-    c = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
-    return c[at[1:]] - c[at[:-1]]
+from quillstone.llm.common import append_columns, bounded_sample, fit_logistic, packed_row, sigmoid, summed_tables, text_chunks, word_hashes
 
+BUCKETS, STATS = 2048, 17
+#: Characters added to a text's length before its trigrams are shared out, so that few characters say little.
+SHRINK = 64
+LANGS, SOURCES, SIZES = 16, 64, 48
+TEXT, META = BUCKETS + STATS, LANGS + SOURCES + SIZES
+#: Calibrated confidence from which a view passes its label on to the other, and how much such rows weigh against labelled ones.
+SURE, PASSED_WEIGHT = 0.95, 0.5
 
 _KIND = np.zeros(256, np.int8)
 for _k, _chars in enumerate([b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!#$%&*+<=>@\\^_`{|}~", b".,;:?'\"()-/[]"], 1):
     _KIND[list(_chars)] = _k
 
 
-def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the byte trigram at every position of the joined texts, and the texts' offsets; trigrams stay within a text."""
+def _per_text(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of values over the ranges of positions; empty ranges give 0."""
+    c = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
+    return c[ends] - c[begins]
+
+
+def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of the byte trigram at every position of the joined texts, and where each text's own positions begin and end.
+
+    Two zero bytes follow each text, so the trigrams of its range hold its bytes and zeros only, never a neighbour's bytes.
+    """
     raw = np.frombuffer(b"".join(t + b"\0\0" for t in texts) + b"\0\0", np.uint8).astype(np.uint32)
     code = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:]
     bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - 11)
-    return bucket, np.cumsum([0] + [len(t) + 2 for t in texts])
+    size = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(np.concatenate([[0], size[:-1] + 2])) if len(texts) else size
+    return bucket, begins, begins + size
 
 
-def _repetition(texts: list[bytes]) -> np.ndarray:
-    """(n, 3): log words, share of words seen before in the text, share equal to the word before."""
+def text_stats(texts: list[bytes]) -> np.ndarray:
+    """(n, STATS): words and their repetition, size, line layout and character classes of each text."""
     h, at = word_hashes(texts)
     n = np.diff(at)
     doc = np.repeat(np.arange(len(texts)), n)
@@ -48,150 +55,185 @@ def _repetition(texts: list[bytes]) -> np.ndarray:
     near = np.zeros(len(h))
     near[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     many = np.maximum(n, 1)
-    return np.column_stack([np.log1p(n) / 10, np.bincount(doc, again, len(texts)) / many, np.bincount(doc, near, len(texts)) / many])
+    words = [np.log1p(n) / 10, np.bincount(doc, again, len(texts)) / many, np.bincount(doc, near, len(texts)) / many]
+    words += [np.sqrt(x) for x in words[1:]]
+    raw, edge = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    a, b = edge[:-1], edge[1:]
+    size = np.maximum(b - a, 1)
+    kind = _KIND[raw]
+    shares = [_per_text(kind == k, a, b) / size for k in (1, 2, 3, 4)]
+    lines = _per_text(raw == 10, a, b) + 1
+    return np.column_stack([*words, np.log1p(size) / 10, np.log(lines) / 5, np.log(size / lines) / 5, *shares, _per_text(raw >= 128, a, b) / size, *[np.sqrt(s) for s in shares]])
 
 
-def _layout(texts: list[bytes], lang: list, source: list) -> np.ndarray:
-    """The metadata view: hashed language and source, size, line layout and character classes."""
-    joined = b"".join(texts)
-    raw, at = np.frombuffer(joined, np.uint8), np.cumsum([0] + [len(t) for t in texts])
-    size = np.maximum(np.diff(at), 1)
-    kind = _KIND[raw]
-    shares = [_per_text(kind == k, at) / size for k in (1, 2, 3, 4)]
-    shares.append(_per_text(raw >= 128, at) / size)
-    lines = _per_text(raw == 10, at) + 1
-    dense = np.column_stack([np.log1p(size) / 10, np.log(lines) / 5, np.log(size / lines) / 5, *shares, *[np.sqrt(s) for s in shares[:4]]])
-    out = np.zeros((len(texts), LANGS + SOURCES + dense.shape[1]), np.float32)
-    for i, (x, y) in enumerate(zip(lang, source)):
-        out[i, zlib.crc32(str(x).encode()) % LANGS] = 1
-        out[i, LANGS + zlib.crc32(str(y).encode()) % SOURCES] = 1
-    out[:, LANGS + SOURCES :] = dense
+def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:
+    """(n, 3) active columns of the metadata view: hashed language, hashed source, half-octave of the recorded size. Null is a value of its own."""
+    out = np.empty((len(lang), 3), np.int64)
+    for i, (x, y, z) in enumerate(zip(lang, source, n_chars)):
+        size = 0 if z is None or z < 0 else 1 + min(SIZES - 2, int(2 * np.log2(z + 1)))
+        out[i] = zlib.crc32(str(x).encode()) % LANGS, LANGS + zlib.crc32(str(y).encode()) % SOURCES, LANGS + SOURCES + size
     return out
 
 
 @dataclass
 class Model:
-    """Weights of both views, the scale of their dense features and the calibrated vote."""
+    """Weights of both views (bias last), the scale of the text statistics, each view's calibration, and the vote."""
 
     text: np.ndarray
-    stats_mean: np.ndarray
-    stats_sd: np.ndarray
+    mean: np.ndarray
+    sd: np.ndarray
     meta: np.ndarray
-    meta_mean: np.ndarray
-    meta_sd: np.ndarray
-    calibrate: np.ndarray  # slope and bias of each view
-    vote: np.ndarray  # weight of each view's calibrated log odds, and a bias
-
-    def logits(self, texts: list[bytes], lang: list, source: list) -> tuple[np.ndarray, np.ndarray]:
-        bucket, at = _trigrams(texts)
-        size = np.maximum(np.array([len(t) for t in texts]), 1)
-        gram = _per_text(self.text[bucket], np.minimum(at, len(bucket))) / size * 100
-        stats = (_repetition(texts) - self.stats_mean) / self.stats_sd
-        a = gram + stats @ self.text[BUCKETS:-1] + self.text[-1]
-        b = ((_layout(texts, lang, source) - self.meta_mean) / self.meta_sd) @ self.meta[:-1] + self.meta[-1]
-        return a, b
-
-    def probabilities(self, texts, lang, source) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.logits(texts, lang, source)
-        a, b = a * self.calibrate[0, 0] + self.calibrate[0, 1], b * self.calibrate[1, 0] + self.calibrate[1, 1]
+    calibrate: np.ndarray | None = None  # slope and bias of each view
+    vote: np.ndarray | None = None  # weight of each view's calibrated log odds, and a bias
+
+    def logits(self, texts: list[bytes], lang: list, source: list, n_chars: list) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Log odds of both views, and the features they come from."""
+        bucket, a, b = trigrams(texts)
+        size = b - a + SHRINK
+        stats = (text_stats(texts) - self.mean) / self.sd
+        gram = _per_text(self.text[bucket], a, b) / size * 100
+        on = metadata(lang, source, n_chars)
+        # row sums, not a matrix product: a row's odds must not depend on the rows beside it
+        return gram + (stats * self.text[BUCKETS:-1]).sum(axis=1) + self.text[-1], self.meta[on].sum(axis=1) + self.meta[-1], (bucket, a, b, size, stats, on)
+
+    def calibrated(self, *odds: np.ndarray) -> list[np.ndarray]:
+        return [o * self.calibrate[v, 0] + self.calibrate[v, 1] for v, o in enumerate(odds)]
+
+    def probabilities(self, texts, lang, source, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.calibrated(*self.logits(texts, lang, source, n_chars)[:2])
         return sigmoid(a), sigmoid(b), sigmoid(a * self.vote[0] + b * self.vote[1] + self.vote[2])
 
 
-def _views(texts, table) -> list[pa.Array]:
-    bucket, at = _trigrams(texts)
-    grams = [np.bincount(bucket[a : b - 2], minlength=BUCKETS)[:BUCKETS] / max(b - a - 2, 1) for a, b in zip(at[:-1], at[1:])]
-    stats = _repetition(texts)
-    meta = _layout(texts, table.column("lang").to_pylist(), table.column("source").to_pylist())
-    text = [np.concatenate([g * 100, s]).astype(np.float16).tobytes() for g, s in zip(grams, stats)]
-    return [pa.array(text, pa.binary()), pa.array([m.astype(np.float32).tobytes() for m in meta], pa.binary())]
-
-
-def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", rounds: int = 3, share: float = 0.1) -> Model | None:
-    """Co-training on bounded samples of labelled and unlabelled rows; None when labels show fewer than two classes.
-
-    A quarter of the labelled sample is set aside. Each round both views are fitted on their own training rows, and each passes
-    the unlabelled rows it is surest of (share of the pool, in the classes' proportion) to the other view. Afterwards the
-    set-aside rows calibrate each view's log odds and weight the vote.
+def _passed_on(batches, model: Model):
+    """For each view and class: gradient sums of the view's loss over the rows that the other view is sure of, and their number."""
+    text, meta, n = np.zeros((2, TEXT + 1)), np.zeros((2, META + 1)), np.zeros((2, 2))
+    for batch in batches:
+        for first, texts in text_chunks(batch, 0):
+            rest = [batch.column(k).slice(first, len(texts)).to_pylist() for k in (1, 2, 3)]
+            odds_text, odds_meta, (bucket, a, b, size, stats, on) = model.logits(texts, *rest)
+            says = [sigmoid(c) for c in model.calibrated(odds_text, odds_meta)]
+            for y in (0, 1):
+                sure = [np.flatnonzero(p >= SURE if y else p <= 1 - SURE) for p in says]
+                i = sure[1]  # the metadata view teaches the text view
+                if len(i):
+                    r = sigmoid(odds_text[i]) - y
+                    spread = np.zeros(len(bucket))
+                    spread[np.concatenate([np.arange(s, e) for s, e in zip(a[i], b[i])])] = np.repeat(r * 100 / size[i], b[i] - a[i])
+                    text[y, :BUCKETS] += np.bincount(bucket, spread, BUCKETS)
+                    text[y, BUCKETS:-1] += r @ stats[i]
+                    text[y, -1] += r.sum()
+                i = sure[0]
+                if len(i):
+                    r = sigmoid(odds_meta[i]) - y
+                    meta[y, :META] += np.bincount(on[i].ravel(), np.repeat(r, 3), META)
+                    meta[y, -1] += r.sum()
+                n[0, y] += len(sure[1])
+                n[1, y] += len(sure[0])
+    if n.any():
+        blobs = [np.concatenate([t, m, c]) for t, m, c in zip(text, meta, n.T)]
+        yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([x.tobytes() for x in blobs], pa.binary())], names=["key", "blob"])
+
+
+def _dense(texts, table) -> list[pa.Array]:
+    """Both views' features of labelled rows, for the driver's fit."""
+    bucket, a, b = trigrams(texts)
+    grams = [np.bincount(bucket[s:e], minlength=BUCKETS) / (e - s + SHRINK) * 100 for s, e in zip(a, b)]
+    on = metadata(*(table.column(k).to_pylist() for k in ("lang", "source", "n_chars")))
+    text = [np.concatenate([g, s]).astype(np.float32).tobytes() for g, s in zip(grams, text_stats(texts))]
+    return [pa.array(text, pa.binary()), pa.array(list(on), pa.list_(pa.int64()))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", rounds: int = 3, labelled_rows: int = 6000) -> Model | None:
+    """Co-training from a bounded sample of labelled rows and every other row of docs; None when labels show fewer than two classes.
+
+    A quarter of the labelled sample is set aside. In each round both views, calibrated on the set-aside rows, score every row of docs
+    outside the sample; the rows a view is sure of (SURE) teach the other view through the sums of its loss's gradient, taken where the rows are.
+    The driver then moves each view's weights on the labelled rows' loss, tilted by the difference of the two gradients (the usual
+    surrogate for a loss that is known by its gradient), class by class, so that a class that is easier to be sure of
+    does not shift the prior. At the end the set-aside rows calibrate each view and weight the vote.
+
+    labelled_rows bounds the sample (about 8 kB each on the driver); a labelled id on several rows takes part with one of them.
     """
-    known = bounded_sample(labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y")), LABELLED, "__id")
-    rows = docs.select(F.col(id_col).alias("__id"), "text", "lang", "source")
-    seen = rows.join(F.broadcast(known), "__id")  # at most LABELLED rows
-    pool = bounded_sample(docs.select(F.col(id_col).alias("__id")), UNLABELLED, "__id", seed=4)
-    pool = rows.join(F.broadcast(pool.limit(2 * UNLABELLED)), "__id").withColumn("__y", F.lit(-1))
-    # a pool row may be labelled too: its label is then not used
-    views = append_columns(seen.select("__id", "text", "lang", "source", "__y").unionByName(pool.select("__id", "text", "lang", "source", "__y")), "text", "__a binary, __b binary", lambda: _views)
-    table = views.select("__id", "__y", "__a", "__b").toArrow()
-    order = sorted(range(table.num_rows), key=lambda i, k=table.column("__y").to_pylist(), d=table.column("__id").to_pylist(): (k[i], d[i] is None, d[i]))
-    ids, y = [table.column("__id")[i].as_py() for i in order], table.column("__y").to_numpy()[order]
-    if len({*y} & {0, 1}) < 2:
+    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    known = bounded_sample(known.filter("id is not null"), labelled_rows, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    seen = rows.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("id", "y", "r.*")
+    table = append_columns(seen, "text", "a binary, b array<long>", lambda: _dense).select("id", "y", "a", "b").toArrow().sort_by("id")
+    ids, y = table.column("id").to_pylist(), table.column("y").to_numpy().astype(np.float32)
+    if len({*y}) < 2:
         return None
-    # one copy of each matrix: the fits below take masks of its rows
-    text, meta = np.empty((len(y), BUCKETS + STATS), np.float32), np.empty((len(y), LANGS + SOURCES + LAYOUT), np.float32)
-    for k, i in enumerate(order):
-        text[k] = np.frombuffer(table.column("__a")[i].as_buffer(), np.float16)
-        meta[k] = np.frombuffer(table.column("__b")[i].as_buffer(), np.float32)
+    text = np.frombuffer(b"".join(x.as_py() for x in table.column("a")), np.float32).reshape(len(y), TEXT).copy()
+    meta = np.zeros((len(y), META), np.float32)
+    np.put_along_axis(meta, np.array(table.column("b").to_pylist()), 1, axis=1)
     del table
-    pa.default_memory_pool().release_unused()
-    labelled = y >= 0
-    stats_mean, stats_sd = _scaled(text[:, BUCKETS:])
-    meta_mean, meta_sd = _scaled(meta)
-    text[:, BUCKETS:] = (text[:, BUCKETS:] - stats_mean) / stats_sd
-    meta -= meta_mean
-    meta /= meta_sd
-    aside = labelled & (np.array([zlib.crc32(str(i).encode()) % 4 for i in ids]) == 0)
-    free = np.flatnonzero(~labelled)
-    prior = y[labelled].mean()
-    given = [np.where(labelled & ~aside, y, -1) for _ in range(2)]
-    views_, weights = (text, meta), [None, None]
-    for k in range(rounds + 1):
+    mean, sd = text[:, BUCKETS:].mean(axis=0), np.maximum(text[:, BUCKETS:].std(axis=0), 1e-3)
+    text[:, BUCKETS:] = (text[:, BUCKETS:] - mean) / sd
+    aside = np.array([zlib.crc32(str(i).encode()) % 4 for i in ids]) == 0
+    if len({*y[aside]}) < 2 or len({*y[~aside]}) < 2:  # too few labels to set any aside
+        aside = np.ones(len(y), bool)
+        train = aside
+    else:
+        train = ~aside
+    views, l2 = (text, meta), (1e-6, 1e-3)
+    weights = [fit_logistic(views[v], y, l2[v], 500, on=train) for v in range(2)]
+    odds = lambda v: views[v] @ weights[v][:-1] + weights[v][-1]
+
+    def model() -> Model:
+        cal = np.array([fit_logistic(odds(v)[aside, None], y[aside], 1e-3, 300) for v in range(2)])
+        for v in np.flatnonzero(cal[:, 0] < 0):  # a view that ranks the set-aside rows no better than chance says the prior
+            cal[v] = 0, np.log((y[aside].sum() + 0.5) / ((1 - y[aside]).sum() + 0.5))
+        return Model(weights[0].astype(np.float64), mean.astype(np.float64), sd.astype(np.float64), weights[1].astype(np.float64), cal.astype(np.float64))
+
+    pool = rows.join(F.broadcast(known.select("id")), "id", "left_anti").select("text", "lang", "source", "n_chars")
+    for _ in range(rounds):
+        now = model()
+        sums = summed_tables(pool.mapInArrow(lambda it, m=now: _passed_on(it, m), "key int, blob binary"), np.float64)
         for v in range(2):
-            on = given[v] >= 0
-            weights[v] = fit_logistic(views_[v], np.where(on, given[v], 0).astype(np.float32), (1e-5, 1e-3)[v], 150 if k == 0 else 60, weights[v], on=on)
-        if k == rounds:
-            break
-        for v in range(2):
-            odds = views_[v] @ weights[v][:-1] + weights[v][-1]
-            rest = free[given[1 - v][free] < 0]
-            order = rest[np.argsort(odds[rest], kind="stable")]
-            take = max(1, int(share * len(free)))
-            low = max(1, int(round(take * (1 - prior))))
-            sure_low = [i for i in order[:low] if odds[i] < -1]
-            sure_high = [i for i in order[::-1][: take - low] if odds[i] > 1]
-            given[1 - v][sure_low], given[1 - v][sure_high] = 0, 1
-    held = aside if len({*y[aside]}) == 2 else labelled
-    calibrate, odds = [], []
-    for v in range(2):
-        z = (views_[v] @ weights[v][:-1] + weights[v][-1])[held, None].astype(np.float32)
-        calibrate.append(fit_logistic(z, y[held].astype(np.float32), 1e-3, 300))
-        odds.append(z[:, 0] * calibrate[v][0] + calibrate[v][1])
-    vote = fit_logistic(np.column_stack(odds).astype(np.float32), y[held].astype(np.float32), 1e-3, 300)
-    return Model(weights[0], stats_mean, stats_sd, weights[1], meta_mean, meta_sd, np.array(calibrate), vote)
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
-    """docs with three more columns: __p_text and __p_meta, each view's calibrated probability, and __p, their vote's.
-
-    Every row and whole text is scored. Null text counts as empty, null lang or source as a value of its own. Labels other than 0
-    and 1 and labels of unknown ids are ignored; without both classes every probability is 0.5. Rows repeating an id
-    are scored each. An empty table gives an empty result.
-    """
-    model = fit(docs, labels, label_col, id_col)
+            tilt = np.zeros(views[v].shape[1] + 1)
+            for c in (0, 1):
+                if c not in sums or not (n := sums[c][TEXT + META + 2 + v]):
+                    continue
+                passed = (sums[c][: TEXT + 1], sums[c][TEXT + 1 : TEXT + META + 2])[v] / n
+                own = train & (y == c)
+                r = (sigmoid(odds(v)[own]) - c).astype(np.float32) / own.sum()
+                tilt += y[train].mean() * (passed - np.append(r @ views[v][own], r.sum())) if c else (1 - y[train].mean()) * (passed - np.append(r @ views[v][own], r.sum()))
+            share = PASSED_WEIGHT / (1 + PASSED_WEIGHT)
+            weights[v] = fit_logistic(views[v], y, l2[v], 60, weights[v], on=train, tilt=(share * tilt).astype(np.float32), near=1e-3)
+    out = model()
+    votes = np.column_stack(out.calibrated(odds(0)[aside], odds(1)[aside])).astype(np.float32)
+    out.vote = fit_logistic(votes, y[aside], 1e-3, 300).astype(np.float64)
+    return out
+
+
+def _scored(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, **options) -> DataFrame:
+    """(row: struct of docs' columns, p_text, p_meta, p)."""
+    model = fit(docs, labels, label_col, id_col, **options)
 
     def make():
         def fn(texts, table):
             if model is None:
                 return [pa.array(np.full(len(texts), 0.5))] * 3
-            return [pa.array(p.astype(np.float64)) for p in model.probabilities(texts, table.column("lang").to_pylist(), table.column("source").to_pylist())]
+            return [pa.array(p) for p in model.probabilities(texts, *(table.column(k).to_pylist() for k in ("lang", "source", "n_chars")))]
 
         return fn
 
-    return append_columns(docs, "text", "__p_text double, __p_meta double, __p double", make)
+    rows = docs.select(packed_row(docs), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    return append_columns(rows, "text", "p_text double, p_meta double, p double", make).select("row", "p_text", "p_meta", "p")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with three more columns: p_text and p_meta, each view's calibrated probability, and p, their vote's.
+
+    The text view reads the text only, the metadata view the columns lang, source and n_chars only. Every row and whole text is scored; a
+    row's result does not depend on the rows beside it. Null text counts as empty; null lang, source or n_chars is a value of its
+    own. Labels other than 0 and 1 and labels of unknown or null ids are ignored; of an id labelled twice the larger label counts; without
+    both classes every probability is 0.5. Rows repeating an id are scored each. Columns of docs named like the three are replaced. An
+    empty table gives an empty result. options: see fit.
+    """
+    stay = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("p_text", "p_meta", "p")]
+    return _scored(docs, labels, label_col, id_col, **options).select(*stay, "p_text", "p_meta", "p")
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose probability of good quality reaches the threshold, with the columns of docs."""
-    return score_quality(docs, labels).filter(F.col("__p") >= threshold).drop("__p_text", "__p_meta", "__p")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of docs whose probability of good quality reaches the threshold, with the columns of docs, whatever their names."""
+    return _scored(docs, labels, "quality", "doc_id", **options).filter(F.col("p") >= threshold).select("row.*")

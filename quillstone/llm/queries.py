@@ -21,7 +21,7 @@ from quillstone.session import read_table
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return out.select("doc_id", F.col("__p_text").alias("p_text"), F.col("__p_meta").alias("p_meta"), F.col("__p").alias("p_quality"), (F.col("__p") >= 0.5).alias("keep"))
+    return out.select("doc_id", "p_text", "p_meta", F.col("p").alias("p_quality"), (F.col("p") >= 0.5).alias("keep"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import cotraining, exact_dedup, lattice, maxent, minhash, mixing, packing, toxicity
+from quillstone.llm import exact_dedup, lattice, maxent, minhash, mixing, packing, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -149,17 +149,6 @@ def test_toxicity_learns_and_folds(spark):
     assert lexicon.matches(lexicon.automaton(), toxicity.fold(b"a trash can")) == [] and lexicon.matches(lexicon.automaton(), toxicity.fold(b"a trash bin"))
 
 
-def test_cotraining_separates_and_handles_missing_labels(spark):
-    rng = random.Random(7)
-    texts = [words(rng, 60) if i % 3 else " ".join(w.upper() + "!!" for w in words(rng, 60).split()) for i in range(150)] + [None, ""]
-    df = docs(spark, texts)
-    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(100)] + [(101, None, 0)], "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r["__p"] for r in cotraining.score_quality(df, labels).collect()}
-    assert all((out[i] >= 0.5) == (i % 3 > 0) for i in range(150)) and len(out) == 152
-    none = cotraining.score_quality(df, labels.limit(0)).filter("__p <> 0.5")
-    assert none.count() == 0
-
-
 def test_language_model_base_and_probabilities(spark):
     rng = random.Random(8)
     tongues = [[f"{k}{i}" for i in range(30)] for k in "abc"]
