@@ -157,6 +157,12 @@ def append_columns(df: DataFrame, text_col: str, fields: str, make) -> DataFrame
     return df.mapInArrow(run, StructType(df.schema.fields + added.fields))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where its scan gives fewer tasks than the cluster has cores: a small file is one task otherwise. Rows and results are the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def packed_row(df: DataFrame) -> Column:
     """All columns of df as one struct named row, so that an operator's own columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")

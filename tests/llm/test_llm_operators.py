@@ -1,7 +1,6 @@
 """Training-data operators against brute force on small fixtures, with their stated edge cases."""
 
 import random
-import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
@@ -9,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, lattice, maxent, minhash, mixing, packing, toxicity
+from quillstone.llm import exact_dedup, lattice, minhash, mixing, packing, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -149,23 +148,6 @@ def test_toxicity_learns_and_folds(spark):
     assert lexicon.matches(lexicon.automaton(), toxicity.fold(b"a trash can")) == [] and lexicon.matches(lexicon.automaton(), toxicity.fold(b"a trash bin"))
 
 
-def test_language_model_base_and_probabilities(spark):
-    rng = random.Random(8)
-    tongues = [[f"{k}{i}" for i in range(30)] for k in "abc"]
-    texts = [" ".join(rng.choice(tongues[i % 3]) for _ in range(50)) for i in range(150)] + [None, "", "UNSEEN a1"]
-    out = {r.doc_id: r for r in maxent.score_texts(docs(spark, texts), lambda i: F.crc32(i.cast("string")) % 5 == 1).collect()}
-    tokens = [(t or "").lower().split() + ["\n"] for t in texts]
-    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
-    c = Counter(w for t, h in zip(tokens, held) if not h for w in t)
-    n, v = sum(c.values()), len(c)
-    for i, t in enumerate(tokens):
-        base = sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        assert out[i].base_score == pytest.approx(base) and out[i].n_tokens == len(t) and out[i].n_known == sum(c[w] > 0 for w in t)
-        assert out[i].train_tokens == n and out[i].held_out == held[i]
-    gain = [out[i].score - out[i].base_score for i in range(150) if held[i]]
-    assert np.mean(gain) > 3  # the words before tell the vocabulary
-
-
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
