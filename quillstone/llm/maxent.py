@@ -217,7 +217,7 @@ def _gradient(batches, model: Model):
             place, context = model.look_up(seq), features(seq, begins)
             for i in range(0, len(seq), _ROWS):
                 _, slot, rows, p = model.decisions(place[i : i + _ROWS], context[:, i : i + _ROWS])
-                flat = p.reshape(-1)
+                flat = p.reshape(-1).view(np.float32)  # an unpickled dtype is an object of its own, with which add.at is ten times slower
                 if len(outcome) < len(flat):
                     outcome = np.tile(np.arange(FAN, 2 * FAN), 2 * len(p))
                 for r in rows:
@@ -235,8 +235,8 @@ def updated(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, rate: f
 
 
 def rows_for(total: int, most: int) -> int:
-    """Rows of weights for so many training tokens: the power of two at or above an eighth of them, from 1024 to most."""
-    return min(most, 1 << max(10, math.ceil(math.log2(max(total, 1) / 8))))
+    """Rows of weights for so many training tokens: the power of two at or above a 32nd of them, from 1024 to most."""
+    return min(most, 1 << max(10, math.ceil(math.log2(max(total, 1) / 32))))
 
 
 def _commonest(counts: DataFrame, distinct: int, total: int, known: int) -> DataFrame:
@@ -255,7 +255,7 @@ def _commonest(counts: DataFrame, distinct: int, total: int, known: int) -> Data
     return counts.filter(F.col("n") > hi)
 
 
-def train(texts: DataFrame, text_col: str = "text", known: int = 200_000, most_rows: int = 1 << 19, steps: int = 2, task_tokens: int = 16_000_000, rate: float = 0.5, damp: float = 4.0) -> tuple[Model, DataFrame]:
+def train(texts: DataFrame, text_col: str = "text", known: int = 200_000, most_rows: int = 1 << 18, steps: int = 2, task_tokens: int = 32_000_000, rate: float = 0.5, damp: float = 4.0) -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts (h, n).
 
     Every step is one pass over all training texts: tasks of about task_tokens tokens sum observed and expected counts, reducers
@@ -276,7 +276,7 @@ def train(texts: DataFrame, text_col: str = "text", known: int = 200_000, most_r
     rank[top] = np.arange(len(n))
     top = top[words[top] != _END]
     first = np.where(words == _END, END_SLOT, FIRST_CLASS)
-    tasks = max(8, math.ceil(total / task_tokens))
+    tasks = max(6, math.ceil(total / task_tokens))
     model = Model(words, n, total, distinct, *nested_classes(first, rank), None, np.zeros((rows_for(total, most_rows), FAN), np.float32), math.log10(tail))
     if len(top):
         table = _joined(summed_tables(only.coalesce(tasks).mapInArrow(lambda it: _context_counts(it, model, top), "key int, blob binary")), len(n) * CONTEXTS).reshape(-1, CONTEXTS)
