@@ -119,17 +119,23 @@ def shingle_sets(texts: list[bytes], n: int):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): the smallest node each node of an edge list reaches.
 
-    Rounds of hooking on the smallest neighbouring label, then a pointer jump, each written to the shared
-    folder; sums and minima are taken map-side first, so a star of any size spreads over all tasks.
+    Rounds of hooking on the smallest neighbouring label, then a pointer jump, each written to the shared folder. Minima are taken
+    map-side first, and labels of nodes with more than a 256th of all edge ends, less than 256 of them, are broadcast to their edges, so
+    a star of any size spreads over all tasks.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("near")).filter("node <> near")
     both = cut(both.union(both.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct())
-    labels = cut(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    degree = cut(both.groupBy("near").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("m")))
+    labels = cut(degree.select(F.col("near").alias("node"), F.least("near", "m").alias("comp")))
+    ends = degree.agg(F.sum("c")).first()[0] or 0
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("comp").alias("m"))
+        seen = hot_join(both, labels.withColumnRenamed("node", "near").join(degree.select("near", "c"), "near"), ["near"], "c", ends)
+        seen = seen.groupBy("node").agg(F.min("comp").alias("m"))
         hooked = labels.join(seen, "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
         jump = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        after = cut(hooked.join(jump, "comp", "left").select("node", "was", F.least(F.coalesce("root", "comp"), "comp").alias("comp")))
+        held = hooked.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
+        jumped = hot_join(hooked, held.join(jump, "comp", "left"), ["comp"], "c", ends)
+        after = cut(jumped.select("node", "was", F.least(F.coalesce("root", "comp"), "comp").alias("comp")))
         moved = not after.filter("was <> comp").isEmpty()
         labels = after.select("node", "comp")
         if not moved:
@@ -168,6 +174,36 @@ def packed_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
+def keyed_rows(docs: DataFrame, id_col: str, **columns: Column) -> DataFrame:
+    """(row: struct of docs' columns, key, and the given columns): key tells the rows apart and orders them by id, null ids last.
+
+    Where ids are unique and not null the key is the id. Otherwise a running number joins it, in a written table, so that it stays
+    the same whatever is computed again; rows that share an id then have an arbitrary order among themselves.
+    """
+    picked = [c.alias(name) for name, c in columns.items()]
+    if not repeated_ids(docs, id_col):
+        return docs.select(packed_row(docs), F.col(id_col).alias("key"), *picked)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("k"))
+    return cut(docs.select(packed_row(docs), key.alias("key"), *picked))
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and in count the rows of left with that key; total is the sum of the counts.
+
+    Keys with more than a 256th of the rows are less than 256, so those rows of right are broadcast and their rows of left stay where they are;
+    all others meet in a shuffle, where no key is large.
+    """
+    bound = max(1, total // 256)
+    hot = right.filter(F.col(count) > bound).drop(count)
+    kept = [c for c in hot.columns if c not in on]
+    hot = hot.select(*on, *[F.col(c).alias(f"__hot_{c}") for c in kept], F.lit(True).alias("__hot"))
+    both = left.join(F.broadcast(hot), on, "left")
+    names = [*left.columns, *kept]
+    near = both.filter("__hot").select(*[F.col(f"__hot_{c}").alias(c) if c in kept else F.col(c) for c in names])
+    far = both.filter("__hot is null").select(*left.columns).join(right.filter(F.col(count) <= bound).drop(count), on, how).select(*names)
+    return near.unionByName(far)
+
+
 def summed_tables(parts: DataFrame, dtype=np.float32) -> dict[int, np.ndarray]:
     """Sums of tables that tasks send as rows (key, blob), by key.
 

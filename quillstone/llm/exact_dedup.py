@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import repeated_ids, strip_whitespace
+from quillstone.llm.common import hot_join, keyed_rows, strip_whitespace
 from quillstone.session import cut
 
 
@@ -33,12 +33,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = keyed.select("id", "h")
     if not shared.isEmpty():  # two texts under one md5: those rows also match on the second digest
         on, rows = ["h", "text_sha256"], keyed.select("id", "h", F.sha2("norm", 256).alias("text_sha256"))
-    out = rows.join(held, on)
+    total = held.agg(F.sum("group_size")).first()[0] or 0
+    out = hot_join(rows, held.withColumn("c", F.col("group_size")), on, "c", total)  # a group may hold a third of all rows
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups keeps, with the columns of docs; of rows repeating an id one stays."""
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id")).distinct()
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
-    return out.dropDuplicates([id_col]) if repeated_ids(docs, id_col) else out
+    """One row of each group of equal texts, with the columns of docs, whatever their names: the longest original, then the smallest id; null ids come last.
+
+    Different texts under one id all stay; of equal rows under one id one stays.
+    """
+    rows = keyed_rows(docs, id_col, text=F.col(text_col))
+    stay = exact_groups(rows, "key", "text").filter("kept").select("key")
+    return rows.join(stay, "key", "left_semi").select("row.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import _mix, components, repeated_ids, shingle_sets, text_chunks
+from quillstone.llm.common import _mix, components, hot_join, keyed_rows, repeated_ids, shingle_sets, spread, text_chunks
 from quillstone.session import cut
 
 #: Positions of the circulant permutation; shingles are first permuted, then folded onto them.
@@ -197,13 +197,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or empty texts have no shingles and link with nothing. Null ids are never a component's smallest unless all are null.
     Rows repeating an id with equal text share a class and flags. An empty table gives an empty result; further columns are ignored.
     """
+    docs = spread(docs)
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows_in.schema["id"].dataType.simpleString()
     sig = cut(rows_in.mapInArrow(lambda it: _signatures(it, ngram, bands, rows, seed), f"id {kind}, n long, cls binary, codes array<long>"))
     classes = cut(sig.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("codes").alias("codes")))
     spots = classes.select("cls", "n", F.explode("codes").alias("code"))
-    full = spots.groupBy("code").agg(F.min(F.struct("cls", "n")).alias("pivot"), F.max("cls").alias("hi")).filter("pivot.cls <> hi").select("code", "pivot")
-    spots = cut(spots.join(full, "code"))
+    full = spots.groupBy("code").agg(F.min(F.struct("cls", "n")).alias("pivot"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("c"))
+    full = cut(full.filter("pivot.cls <> hi").select("code", "pivot", "c"))
+    spots = cut(hot_join(spots, full, ["code"], "c", full.agg(F.sum("c")).first()[0] or 0))
     wanted = classes.join(spots.select("cls").distinct(), "cls", "left_semi").select("rep", F.col("cls").alias("want"))
     texts = rows_in.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("want", "text")
     sets = texts.mapInArrow(lambda it: _sets(it, ngram), "cls binary, items array<long>")
@@ -243,7 +245,10 @@ def _own_sets(batches, ngram: int):
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with the columns of docs; of rows repeating an id one stays."""
-    stay = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("__id")).distinct()
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
-    return out.dropDuplicates([id_col]) if repeated_ids(docs, id_col) else out
+    """One row of each component of near duplicates, the smallest id's, and all rows without shingles, with the columns of docs, whatever their names.
+
+    Rows sharing an id, or without one, are rows of their own: different texts under one id all stay.
+    """
+    rows = keyed_rows(docs, id_col, text=F.col(text_col).cast("string"))
+    stay = near_duplicates(rows, "key", "text", **options).filter("kept").select("key")
+    return rows.join(stay, "key", "left_semi").select("row.*")

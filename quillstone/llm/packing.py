@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import n_words, strip_whitespace
+from quillstone.llm.common import keyed_rows, n_words, strip_whitespace
 
 #: Documents a shard holds on average; bounds the memory and the search of one packing task.
 SHARD_DOCS = 2048
@@ -89,18 +89,22 @@ def pack(
     pieces excepted, which are alone). Shards of about shard_docs documents, dealt by an id hash, are packed apart: groups,
     hot sources and hot clusters spread over all of them, and a shard's work does not grow with the input.
 
-    Null or empty texts are pieces of no tokens (of one cluster, as they are equal). Null sources are one source.
-    Rows repeating an id are packed apart and, being equal, meet in no bin. An empty table gives an empty result.
+    Null or empty texts have no tokens and are in no bin: one row with part 0 and null shard, bin, start and filled. Null sources are one
+    source. Rows repeating an id, or without one, are pieces of their own, dealt over the shards like any others; equal ones meet in no bin.
+    An empty table gives an empty result.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(
+    sized = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce((F.xxhash64(strip_whitespace(text)) if cluster is None else cluster).cast("string"), F.lit("")).alias("cluster"),
         F.coalesce(n_words(text) if tokens is None else tokens, F.lit(0)).cast("long").alias("n"),
     )
+    rows = keyed_rows(sized, "id", **{c: F.col(c) for c in sized.columns})
     shards = max(1, round(docs.select(id_col).count() / shard_docs))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col("id").cast("string"), "cluster"), F.lit(shards)).cast("long"))
-    kind = rows.schema["id"].dataType.simpleString()
-    packed = rows.groupBy("shard").applyInPandas(lambda pdf: pack_frame(pdf, capacity, per_source), SCHEMA.format(id=kind))
-    return packed.withColumnRenamed("id", id_col)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col("key").cast("string"), "cluster"), F.lit(shards)).cast("long")).select(*sized.columns, "shard")
+    schema = SCHEMA.format(id=sized.schema["id"].dataType.simpleString())
+    packed = rows.filter("n > 0").groupBy("shard").applyInPandas(lambda pdf: pack_frame(pdf, capacity, per_source), schema)
+    nothing = F.lit(None).cast("long")
+    empty = rows.filter("n <= 0").select("id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("n_tokens"), *[nothing.alias(c) for c in ("shard", "bin", "start", "filled")])
+    return packed.union(empty).withColumnRenamed("id", id_col)

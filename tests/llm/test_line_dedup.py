@@ -41,3 +41,38 @@ def test_later_copies_go_and_edge_cases_hold(spark):
     assert out[3].text == "" and out[4].text == "" and out[5].text == "short"
     assert drop_repeated_lines(df).count() == len(rows)
     assert drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def brute_drop(rows, min_words):
+    """rows in their order: the text left of each, every run being looked for at all earlier positions."""
+    docs = {d: (t or "").split("\n") for d, t in enumerate(rows)}
+    gone = set()
+    for (d, i), n in brute_runs(docs).items():
+        if sum(len(x.split()) for x in docs[d][i : i + n]) >= min_words:
+            gone |= {(d, k) for k in range(i, i + n)}
+    return ["\n".join(x for i, x in enumerate(docs[d]) if (d, i) not in gone) if any(k[0] == d for k in gone) else (rows[d] or "") for d in docs]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_texts_left_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = ["", "", "a b", "c d e", "f g h i", "j", "k l m n o"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(14)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in drop_repeated_lines(df, min_words=4).collect()}
+    assert [out[i].text for i in range(len(texts))] == brute_drop(texts, 4)
+    assert all(out[i].n_lines == len((t or "").split("\n")) for i, t in enumerate(texts))
+
+
+def test_rows_that_share_an_id_or_have_none_take_part(spark):
+    long = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, f"a\n{long}"), (2, long), (3, f"b\n{long}"), (3, long), (3, long), (None, f"c\n{long}")], "doc_id long, text string").withColumn("key", F.lit(0)).withColumn("row", F.lit(0))
+    assert sorted((r.doc_id or 99, r.text, r.n_dropped) for r in drop_repeated_lines(df).collect()) == [(1, f"a\n{long}", 0), (2, "", 1), (3, "", 1), (3, "", 1), (3, "b", 1), (99, "c", 1)]
+
+
+def test_a_long_text_that_repeats_itself_and_a_very_common_line(spark):
+    line = "one two three four five six seven eight nine ten"
+    texts = ["\n".join([line] * 3000)] + [f"\nown {i}\n" for i in range(600)]
+    out = {r.doc_id: r for r in drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0].text == line and out[0].n_dropped == 2999
+    assert all(out[i].text == texts[i] for i in range(1, 601))
