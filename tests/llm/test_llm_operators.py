@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, lattice, minhash, mixing, packing, toxicity
+from quillstone.llm import exact_dedup, lattice, minhash, mixing, packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -131,23 +131,6 @@ def test_packer_takes_the_tightest_compatible_bin():
     assert p.add(4, 1, 16) == (1, 5) and p.add(1, 1, 32)[0] not in (0, 1)  # bin 1 has its two of source 1
 
 
-def test_toxicity_learns_and_folds(spark):
-    rng = random.Random(6)
-    texts, toxic = [], []
-    for i in range(160):
-        bad = i % 4 == 0
-        texts.append(words(rng, 40) + (f" you moron {words(rng, 5)} idi0t" if bad else "") + (" paper trash can" if i % 8 == 3 else ""))
-        toxic.append(int(bad))
-    texts += ["m0rоn", None, "", "MORON!", "trash can"]
-    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)] + [(3, 1, None)], "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r for r in toxicity.score_toxicity(docs(spark, texts).select("doc_id", "text"), labels).collect()}
-    assert all((out[i].__getitem__("__score") >= 0.5) == bool(t) for i, t in enumerate(toxic))
-    assert out[160]["__score"] >= 0.5 and out[163]["__score"] >= 0.5  # a digit, a Cyrillic letter, upper case
-    assert max(out[k]["__score"] for k in (161, 162, 164)) < 0.5
-    lexicon = toxicity.Lexicon({" trash ": 5.0}, (" trash can ",))
-    assert lexicon.matches(lexicon.automaton(), toxicity.fold(b"a trash can")) == [] and lexicon.matches(lexicon.automaton(), toxicity.fold(b"a trash bin"))
-
-
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
