@@ -10,12 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import append_columns
+from quillstone.llm.common import append_columns, spread
 from quillstone.session import cut
 
-#: Re-rolled entities up to which their attempts travel as a broadcast dictionary; beyond, they join by document.
-BROADCAST_FIXES = 50_000
-
 # Honorifics by gender, and given names by script and gender.
 HONORIFICS = {"m": ("Mr", "Herr", "Monsieur", "Sr", "Señor", "г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "г-жа"), "n": ("Dr", "Prof")}
 GIVEN = {
@@ -28,21 +25,42 @@ _SYLLABLES = {"latin": ("ba", "den", "fo", "gar", "hel", "ker", "lo", "mar", "ne
 
 _UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
 _TITLE = "|".join(h for hs in HONORIFICS.values() for h in hs)
-PATTERN = re.compile(
-    rf"""
-    (?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s*[=:]\s*["']?))(?P<value>[^\s"',;]{{6,}})
-  | (?P<email>[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
-  | (?P<access>\bAKIA[0-9A-Z]{{12,20}}\b)
-  | (?P<iban>\b[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}\b)
-  | (?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d|[A-Za-z_]))
-  | (?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
-  | (?P<card>(?<![\w.-])\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{1,7}}(?![\w-]))
-  | (?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)|\d{{2,4}})(?:[ .-]\d{{2,4}}){{2,4}}(?![\w-])|(?<![\w.])\+\d{{8,15}}(?!\w))
-  | (?P<title>\b(?:{_TITLE})\.?)\s+(?P<name>[{_UP}][{_LOW}]+(?:\s+[{_UP}][{_LOW}]+)?)
+_SECRET = re.compile(r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s*[=:]\s*["']?)([^\s"',;]{6,})""")
+_EMAIL = re.compile(r"[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_ACCESS = re.compile(r"\bAKIA[0-9A-Z]{12,20}\b")
+_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b")
+_IP6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:.])")
+#: Entities of digits, looked for only in stretches of digits and the signs between them.
+_STRETCH = re.compile(r"[+(]?[0-9](?:[0-9 ().-]*[0-9])?")
+_DIGITS = re.compile(
+    r"""
+    (?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d|[A-Za-z_]))
+  | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
+  | (?P<card>(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w-]))
+  | (?P<phone>(?<![\w.+-])(?:
+        \+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}     # with a country code
+      | (?:1[ .-])?\(\d{2,5}\)[ .-]?\d{3,4}(?:[ .-]\d{2,4}){1,2}  # with an area code in brackets
+      | [2-9]\d{2}([.-])[2-9]\d{2}\5\d{4}                         # area, exchange and number
+      | 0\d{1,4}[ -]\d{2,4}(?:[ -]\d{2,4}){1,3}                   # with the trunk digit
+    )(?![\w-]|\.\d))
     """,
     re.VERBOSE,
 )
-_HINT = re.compile(rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api.?key)|\b(?:{_TITLE})\b")
+_NAME = re.compile(rf"(?P<title>\b(?:{_TITLE})\.?)\s+(?P<name>[{_UP}][{_LOW}]+(?:\s+[{_UP}][{_LOW}]+)?)")
+_HONORIFICS = tuple(h for hs in HONORIFICS.values() for h in hs)
+_WORDS_OF_SECRETS = ("password", "passwd", "pwd", "secret", "token", "api")
+_DATE = re.compile(r"(?:\d{4}([ .-])\d{1,2}\1\d{1,2}|\d{1,2}([ .-])\d{1,2}\2\d{4})$")
+
+
+def _check97(iban: str) -> int:
+    """The number an IBAN stands for, modulo 97; 1 when its check digits hold."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _is_phone(said: str) -> bool:
+    """Whether digits that look like a phone number are one: 8 to 15 of them, 9 without a country code, and no date."""
+    n = sum(c.isdigit() for c in said)
+    return (8 if said[0] == "+" else 9) <= n <= 15 and not _DATE.match(said)
 
 
 def _by_person(text: str, spans: list, titled: list[tuple[int, int, str, str]]) -> list:
@@ -88,23 +106,61 @@ def _by_person(text: str, spans: list, titled: list[tuple[int, int, str, str]])
     return sorted(out)
 
 
+def _unnamed(text: str) -> list[tuple[int, int, str, str]]:
+    """Entities other than names; each pattern runs only where a sign of it stands in the text."""
+    found = []
+    if "=" in text or ":" in text:
+        low = text.lower()
+        if any(w in low for w in _WORDS_OF_SECRETS):
+            found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text)]
+    if "@" in text:
+        found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+    if "AKIA" in text:
+        found += [(m.start(), m.end(), "access", m[0]) for m in _ACCESS.finditer(text)]
+    digits = False
+    for stretch in _STRETCH.finditer(text):
+        digits = True
+        if stretch.end() - stretch.start() < 7:
+            continue
+        for m in _DIGITS.finditer(text, stretch.start(), min(len(text), stretch.end() + 2)):
+            kind = m.lastgroup if m.lastgroup else "phone"
+            key = re.sub(r"\D", "", m[0])
+            if kind == "ip":
+                key = m[0]
+            elif kind == "card" and key == m[0] and _luhn_sum(key) % 10:
+                continue  # a long number
+            elif kind == "phone":
+                if not _is_phone(m[0]):
+                    continue
+                key = "+" * (m[0][0] == "+") + key
+            found.append((m.start(), m.end(), kind, key))
+    if digits:
+        for m in _IBAN.finditer(text):
+            if _check97(key := m[0].replace(" ", "")) == 1:
+                found.append((m.start(), m.end(), "iban", key))
+    if "::" in text or text.count(":") >= 7:
+        found += [(m.start(), m.end(), "ip6", m[0].lower()) for m in _IP6.finditer(text) if any(c.isdigit() for c in m[0])]
+    out: list[tuple[int, int, str, str]] = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):  # of overlapping ones the first, then the longest
+        if not out or out[-1][1] <= x[0]:
+            out.append(x)
+    return out
+
+
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, key) of the entities of a text; mentions of one entity have one key whatever their format."""
-    if not _HINT.search(text):
-        return []
-    out, titled = [], []
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup
-        if kind == "value":
-            out.append((m.start("value"), m.end("value"), "secret", m["value"]))
-        elif kind == "name":
-            title = m["title"].rstrip(".")
-            gender = next(g for g, hs in HONORIFICS.items() if title in hs)
-            titled.append((m.start("name"), m.end("name"), gender, " ".join(m["name"].casefold().split())))
-        elif kind in ("phone", "card", "ssn"):
-            out.append((m.start(), m.end(), kind, ("+" if m[0][0] == "+" else "") + re.sub(r"\D", "", m[0])))
-        else:
-            out.append((m.start(), m.end(), kind, m[0].lower() if kind == "email" else m[0]))
+    """(start, end, type, key) of the entities of a text in order; mentions of one entity have one key whatever their format.
+
+    Types: secret (a value given for a password, token or key), email, access (a cloud key's id), iban (with valid check digits), ip, ip6, ssn,
+    card (in groups, or with a valid last digit), phone, name (after an honorific, and all its mentions in the text). Dates, versions and lists of
+    numbers are none of them.
+    """
+    out = _unnamed(text)
+    titled = []
+    if any(h in text for h in _HONORIFICS):
+        for m in _NAME.finditer(text):
+            gender = next(g for g, hs in HONORIFICS.items() if m["title"].rstrip(".") in hs)
+            if not any(a < m.end("name") and m.start("name") < b for a, b, _, _ in out):
+                titled.append((m.start("name"), m.end("name"), gender, " ".join(m["name"].casefold().split())))
     return _by_person(text, out, titled) if titled else out
 
 
@@ -140,7 +196,7 @@ def surrogate(secret: bytes, kind: str, key: str, attempt: int = 0) -> str:
     """The replacement's key for an entity's key; the same for every mention anywhere, different for each attempt.
 
     Later attempts are longer, so there are always enough: names and mail names from the second on, other formats, which are kept
-    as long as they can be, from the fourth. Only addresses keep their length, as all of them are open to each.
+    as long as they can be, from the fourth. Addresses, all of which are open to each, become those of the longer kind from the 16th.
     """
     stream = _stream(secret, kind, key, attempt)
     if kind == "email":
@@ -148,12 +204,16 @@ def surrogate(secret: bytes, kind: str, key: str, attempt: int = 0) -> str:
         labels = domain.split(".")
         hosts = [_like(x, _stream(secret, "host", x)) for x in labels[:-1]]  # one domain keeps one surrogate
         return f"{_like(local + 'x' * (attempt // 2), stream)}@{'.'.join([*hosts, labels[-1]])}"
+    if kind == "ip6" or kind == "ip" and attempt >= 16:
+        groups = ["%x" % (next(stream) * 256 + next(stream)) for _ in range(6)]
+        return ":".join(["2001", "db8", *groups])  # the prefix set aside for examples
     if kind == "ip":
         return ".".join(str(1 + next(stream) % 254) for _ in range(4))
     if kind == "access":
         return key[:4] + _like(key[4:] + "0" * (attempt // 4), stream)
     if kind == "iban":
-        return key[:2] + _like(key[2:] + "0" * (attempt // 4), stream)
+        body = _like(key[4:] + "0" * (attempt // 4), stream)
+        return f"{key[:2]}{98 - _check97(key[:2] + '00' + body):02d}{body}"
     if kind in ("phone", "card", "ssn"):
         sign, digits = key[: key[0] == "+"], key.lstrip("+")
         new = digits[0] + _like(digits[1:] + "0" * (attempt // 4), stream)
@@ -180,6 +240,8 @@ def render(kind: str, key: str, mention: str, entity: str = "") -> str:
     if kind in ("phone", "card", "ssn"):
         digits = iter(key.lstrip("+"))
         return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
+    if kind == "iban" and " " in mention:
+        return " ".join(key[i : i + 4] for i in range(0, len(key), 4))
     if kind == "name":
         new, old, said = key.partition(":")[2].split(), entity.partition(":")[2].split(), mention.casefold().split()
         if len(new) == 2 and len(said) == 1:
@@ -202,8 +264,11 @@ def _entities(batches):
             yield pa.record_batch([pa.array([i.as_py() for i in ids], b.column(0).type), pa.array(kinds), pa.array(keys)], names=["id", "kind", "key"])
 
 
-def assign(found: DataFrame, secret: bytes, rounds: int = 30) -> DataFrame:
-    """(kind, key, attempt) for all entities, where no two share a surrogate and no surrogate is itself an entity of the corpus."""
+def assign(found: DataFrame, secret: bytes) -> DataFrame:
+    """(kind, key, attempt) for all entities, where no two share a surrogate and no surrogate is itself an entity of the corpus.
+
+    Rounds go on while any collide; each draws the few that do again, and later draws are longer, so the rounds end.
+    """
 
     def made(batches):
         for b in batches:
@@ -212,7 +277,7 @@ def assign(found: DataFrame, secret: bytes, rounds: int = 30) -> DataFrame:
 
     held = cut(found.select("kind", "key").distinct().withColumn("attempt", F.lit(0)))
     real = held.select("kind", F.when(F.col("kind") == "name", F.element_at(F.split("key", "[ :]"), -1)).otherwise(F.col("key")).alias("new"))
-    for _ in range(rounds):
+    while True:
         tried = cut(held.mapInArrow(made, "kind string, key string, attempt int, new string"))
         shared = tried.groupBy("kind", "new").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         again = tried.join(shared, ["kind", "new"]).filter("key <> owner").select("kind", "key")
@@ -220,28 +285,29 @@ def assign(found: DataFrame, secret: bytes, rounds: int = 30) -> DataFrame:
         if again.isEmpty():
             return held
         held = cut(held.join(again, ["kind", "key"], "left").select("kind", "key", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
-    raise ValueError("surrogates still collide; their formats hold too few values")
 
 
-def replace_entities(docs: DataFrame, secret: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, secret: bytes, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 50_000) -> DataFrame:
     """docs' ids and texts with every entity replaced: id, text, n_entities (mentions), kinds (sorted, distinct).
 
     A surrogate depends on the secret, the type and the entity, so all mentions of an entity in the corpus agree without a
-    join. Surrogates of distinct entities, and surrogates and real entities, are checked for collisions over the whole corpus;
-    the few that collide are drawn again, and only their documents need to know.
+    join; of names, those within a document that a title there connects. Surrogates of distinct entities, and surrogates and real entities, are
+    checked for collisions over the whole corpus; the few that collide are drawn again. Up to most_broadcast of those travel to
+    every task as a dictionary, more reach the documents that hold them in a join: the same result either way.
 
     Null text stays null with no entities; texts without entities are returned byte for byte. Null ids and repeated rows are replaced
     like any other. An empty table gives an empty result; further columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     kind = rows.schema["id"].dataType.simpleString()
     found = cut(rows.mapInArrow(_entities, f"id {kind}, kind string, key string"))
     fixes = cut(assign(found, secret).filter("attempt > 0"))
-    few = fixes.limit(BROADCAST_FIXES + 1).collect()
+    few = fixes.limit(most_broadcast + 1).collect()
     known = {(r.kind, r.key): r.attempt for r in few}
-    if len(few) > BROADCAST_FIXES:
+    if len(few) > most_broadcast:
         known = {}
-        own = found.join(fixes, ["kind", "key"]).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\x1f"), "key"), "attempt"))).alias("fix"))
+        pairs = found.join(fixes, ["kind", "key"]).select("id", F.concat("kind", F.lit("\x1f"), "key").alias("k"), "attempt").distinct()
+        own = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("fix"))
         rows = rows.join(own.withColumnRenamed("id", "own_id"), F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
 
     def make():
