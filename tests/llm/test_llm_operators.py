@@ -4,11 +4,10 @@ import random
 from collections import Counter, defaultdict
 from hashlib import sha256
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, lattice, minhash, mixing, packing
+from quillstone.llm import exact_dedup, minhash, mixing, packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,26 +58,6 @@ def test_near_duplicates_match_brute_force(spark):
     assert [out[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
 
 
-def test_lattice_matches_brute_force(spark):
-    rng = np.random.default_rng(3)
-    centre = rng.normal(size=(40, 16))
-    v = np.concatenate([centre, centre + 0.1 * rng.normal(size=centre.shape), centre + 0.13 * rng.normal(size=centre.shape), centre[:5]])
-    rows = [(i, [float(np.float32(x)) for x in e], int(i % 40) % 2) for i, e in enumerate(v)]
-    bad = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, rows[0][1], None), (904, [None] * 16, 0), (905, [], 0)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int")
-    out = {r.vec_id: r for r in lattice.embedding_links(df).collect()}
-    u = np.array([r[1] for r in rows])
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    link = (u @ u.T >= 0.98) & np.equal.outer([r[2] for r in rows], [r[2] for r in rows])
-    np.fill_diagonal(link, False)
-    assert link.sum() > 20 and [out[i].n_links for i in range(len(rows))] == link.sum(axis=1).tolist()
-    root = np.arange(len(rows))
-    for _ in rows:
-        root = np.minimum(root, np.where(link, root[None], len(rows)).min(axis=1))
-    assert [out[i].component_id for i in range(len(rows))] == root.tolist()
-    assert all(out[b[0]].n_links == 0 and out[b[0]].kept for b in bad)
-
-
 def test_mixing_budgets_and_order(spark):
     rng = random.Random(2)
     source = ["big"] * 60 + ["mid"] * 25 + ["tiny"] * 8 + [None] * 4 + ["void"]
