@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillstone.session import cut
 
 
-def indexed(df: DataFrame, *order: str) -> DataFrame:
-    """df with pos: 0-based place in the global order.
+def indexed(df: DataFrame, *order: str, keep_part: bool = False) -> DataFrame:
+    """df with pos: 0-based place in the global order; with keep_part also part, the range partition a row is in.
 
     Rows are range-partitioned; a row's place is its place in its partition plus the sizes of the partitions before, so only
     one row per partition is ever brought together.
@@ -19,7 +19,9 @@ def indexed(df: DataFrame, *order: str) -> DataFrame:
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__start"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return parts.withColumn("__at", place).join(starts, "__part").withColumn("pos", (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start")
+    out = parts.withColumn("__at", place).join(starts, "__part").withColumn("pos", (F.col("__start") + F.col("__at")).cast("long"))
+    out = out.withColumn("part", F.col("__part")) if keep_part else out
+    return out.drop("__part", "__at", "__start")
 
 
 def group_split(rows: DataFrame, ranks: dict[str, int], every: int = 3, id_col: str = "doc_id") -> DataFrame:

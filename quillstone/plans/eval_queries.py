@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import stats
+from quillstone.operators import resample
 from quillstone.plans.views import run_sql, with_views
-from quillstone.session import read_table
+from quillstone.session import cut, read_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -160,46 +161,67 @@ both(
     SELECT s.model, s.label, CAST(t.n AS BIGINT) AS sample, CAST(t.n AS BIGINT) < (SELECT total FROM g) AS partial_, round(s.n / (t.n * r.share), 6) AS ratio, t.n * r.share >= 1 AND (s.n / (t.n * r.share) >= 1.5 OR s.n / (t.n * r.share) <= 0.67) AS skewed FROM s JOIN t ON s.model = t.model JOIN r ON s.label = r.label""",
 )
 
-# --- resampling: draws are hashes of (round, position), so both engines and all models see the same ones
-ROUNDS = 100
+# --- resampling: draws are a fixed mix of (round, draw), so both engines and all models see the same ones
+MODELS, LABELS = ["keyword", "length", "majority"], ["major", "other", "rare"]
 
 
-def _draws(rounds: int, duck: bool) -> str:
-    n = "(SELECT count(*) FROM base)"
-    if duck:
-        num = "CAST('0x' || substr(md5(r || ':' || p), 1, 8) AS BIGINT)"
-        return f"draws AS (SELECT r, {num} % {n} AS pos FROM (SELECT unnest(range({rounds})) AS r) a CROSS JOIN (SELECT pos AS p FROM base) b)"
-    num = "CAST(conv(substr(md5(concat(r, ':', p)), 1, 8), 16, 10) AS BIGINT)"
-    return f"draws AS (SELECT r, {num} % {n} AS pos FROM (SELECT explode(sequence(0, {rounds - 1})) AS r) a CROSS JOIN (SELECT pos AS p FROM base) b)"
+def _outcomes(spark, d, rounds: int):
+    """(r, label, predicted, rnk, k): each round's cells with their outcomes."""
+    cells = cut(resample.joint_cells(run_sql(spark, d, "SELECT doc_id, model, label, predicted, rnk FROM scored"), MODELS))
+    return resample.resampled(cells, rounds).join(F.broadcast(cells.drop("k", "begins")), "cell")  # cells are few
 
 
-def _resampled(duck: bool) -> str:
-    return f"""WITH {_LABELS}, common AS (SELECT doc_id FROM pred GROUP BY doc_id HAVING count(DISTINCT model) = 3), base AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM common),
-    {_draws(ROUNDS, duck)}, picked AS (SELECT d.r, s.model, s.label, s.predicted FROM draws d JOIN base b ON d.pos = b.pos JOIN scored s ON s.doc_id = b.doc_id),
-    agg AS (SELECT r, model, label, predicted, count(*) AS n FROM picked GROUP BY r, model, label, predicted),
-    cl AS (SELECT a.r, a.model, t.l, sum(CASE WHEN label = l AND predicted = l THEN n ELSE 0 END) AS tp, sum(CASE WHEN label <> l AND predicted = l THEN n ELSE 0 END) AS fp, sum(CASE WHEN label = l AND predicted <> l THEN n ELSE 0 END) AS fn FROM agg a CROSS JOIN labels3 t GROUP BY a.r, a.model, t.l),
-    sc AS (SELECT r, model, avg(CASE WHEN tp + fn > 0 THEN coalesce(CAST(2 * tp AS DOUBLE) / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0.0) END) AS f FROM cl GROUP BY r, model)"""
+def _draws_sql(rounds: int) -> str:
+    """The oracle's cells, and every single draw by the same mix of numbers, each looked up among the cells."""
+    mix = lambda h, f: f"(xor({h}, {h} >> 15) * {f}) % 2147483648"
+    one = ", ".join(f"max(CASE WHEN model = '{m}' THEN {c} END) AS {c}_{m}" for m in MODELS for c in ("predicted", "rnk"))
+    order = "label, " + ", ".join(f"{c}_{m}" for c in ("predicted", "rnk") for m in MODELS)
+    return f"""joint AS (SELECT doc_id, label, {one} FROM scored GROUP BY doc_id, label HAVING count(DISTINCT model) = 3), cells0 AS (SELECT {order}, count(*) AS k FROM joint GROUP BY ALL),
+    cells AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS cell, sum(k) OVER (ORDER BY {order}) - k AS lo, sum(k) OVER (ORDER BY {order}) AS hi FROM cells0), tot AS (SELECT sum(k) AS n FROM cells),
+    d0 AS (SELECT r, CAST((r * 40503 + i * 69069 + 12345) % 2147483648 AS BIGINT) AS h FROM (SELECT unnest(range({rounds})) AS r) CROSS JOIN (SELECT unnest(range((SELECT CAST(n AS BIGINT) FROM tot))) AS i)),
+    d1 AS (SELECT r, {mix("h", 1274126177)} AS h FROM d0), d2 AS (SELECT r, {mix("h", 1812433253)} AS h FROM d1), d3 AS (SELECT r, {mix("h", 747796405)} AS h FROM d2),
+    d4 AS (SELECT r, CAST(h * (SELECT CAST(n AS BIGINT) FROM tot) >> 31 AS BIGINT) AS pos, count(*) AS m FROM d3 GROUP BY ALL),
+    drawn AS (SELECT d.r, c.cell, sum(d.m) AS k FROM d4 d JOIN cells c ON d.pos >= c.lo AND d.pos < c.hi GROUP BY ALL),
+    said AS ({" UNION ALL ".join(f"SELECT d.r, '{m}' AS model, c.label, c.predicted_{m} AS predicted, c.rnk_{m} AS rnk, d.k FROM drawn d JOIN cells c ON d.cell = c.cell" for m in MODELS)})"""
 
 
-_CI = f" , o AS (SELECT model, f, row_number() OVER (PARTITION BY model ORDER BY f) - 1 AS k FROM sc) SELECT model, round(max(CASE WHEN k = {int(0.025 * ROUNDS)} THEN f END), 6) AS lo, round(max(CASE WHEN k = {int(0.975 * ROUNDS) - 1} THEN f END), 6) AS hi FROM o GROUP BY model"
-_DIFF = f""" , df AS (SELECT a.r, a.model AS m1, b.model AS m2, a.f - b.f AS diff FROM sc a JOIN sc b ON a.r = b.r AND a.model < b.model),
+_F1_SQL = """, cl AS (SELECT r, model, l, sum(k) FILTER (label = l AND predicted = l) AS tp, sum(k) FILTER (label <> l AND predicted = l) AS fp, sum(k) FILTER (label = l AND predicted <> l) AS fn
+      FROM said CROSS JOIN (SELECT unnest(['major', 'other', 'rare']) AS l) GROUP BY r, model, l),
+    sc AS (SELECT r, model, avg(2 * coalesce(tp, 0) / CAST(2 * coalesce(tp, 0) + coalesce(fp, 0) + coalesce(fn, 0) AS DOUBLE)) FILTER (coalesce(tp, 0) + coalesce(fn, 0) > 0) AS f FROM cl GROUP BY r, model)"""
+_AREA_SQL = """, lv AS (SELECT r, model, rnk, sum(k) AS n, sum(CASE WHEN label <> predicted THEN k ELSE 0 END) AS bad FROM said GROUP BY ALL),
+    cu AS (SELECT r, model, n, sum(n) OVER w AS cn, sum(bad) OVER w AS cb, sum(n) OVER (PARTITION BY r, model) AS tot FROM lv WINDOW w AS (PARTITION BY r, model ORDER BY rnk DESC)),
+    sc AS (SELECT r, model, sum(CAST(cb AS DOUBLE) / cn * n / tot) AS f FROM cu GROUP BY r, model)"""
+
+
+def _ends(rounds: int, value: str) -> str:
+    return f"round(max(CASE WHEN k = {int(0.025 * rounds)} THEN {value} END), 6) AS lo, round(max(CASE WHEN k = {int(0.975 * rounds) - 1} THEN {value} END), 6) AS hi"
+
+
+def _pairs_sql(rounds: int) -> str:
+    return f""", df AS (SELECT a.r, a.model AS m1, b.model AS m2, round(a.f - b.f, 12) AS diff FROM sc a JOIN sc b ON a.r = b.r AND a.model < b.model),
     o AS (SELECT *, row_number() OVER (PARTITION BY m1, m2 ORDER BY diff) - 1 AS k FROM df),
-    t AS (SELECT m1, m2, max(CASE WHEN k = {int(0.025 * ROUNDS)} THEN diff END) AS lo, max(CASE WHEN k = {int(0.975 * ROUNDS) - 1} THEN diff END) AS hi, avg(CASE WHEN diff <= 0 THEN 1e0 ELSE 0e0 END) AS w FROM o GROUP BY m1, m2),
-    u AS (SELECT *, CAST(2 * least(w, 1 - w) AS DOUBLE) AS p FROM t), h AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY 1) - row_number() OVER (PARTITION BY 1 ORDER BY p, m1, m2) + 1)) AS raw FROM u)
-    SELECT m1, m2, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p, round(max(raw) OVER (PARTITION BY 1 ORDER BY p, m1, m2 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS p_holm FROM h"""
-for _name, _tail_sql in (("w10_bootstrap_ci", _CI), ("w9_paired_bootstrap", _DIFF)):
-    QUERIES[_name] = lambda spark, d, t=_tail_sql: run_sql(spark, d, _resampled(False) + t)
-    ORACLES[_name] = with_views(_resampled(True) + _tail_sql, duck=True)
+    t AS (SELECT m1, m2, {_ends(rounds, "diff")}, avg(CASE WHEN diff <= 0 THEN 1e0 ELSE 0e0 END) AS w FROM o GROUP BY m1, m2), u AS (SELECT *, 2 * least(w, 1 - w) AS p FROM t),
+    h AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, m1, m2) + 1)) AS raw FROM u)
+    SELECT m1, m2, lo, hi, round(p, 6) AS p, round(max(raw) OVER (ORDER BY p, m1, m2 ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM h"""
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"WITH {_draws_sql(resample.PAIRED_ROUNDS)}{_F1_SQL}{_pairs_sql(resample.PAIRED_ROUNDS)}")
+def w9_paired_bootstrap(spark, d):
+    scores = resample.macro_f1(_outcomes(spark, d, resample.PAIRED_ROUNDS), MODELS, LABELS)
+    return _rounded(resample.differences(scores, resample.PAIRED_ROUNDS))
 
 
-def _aurc(duck: bool) -> str:
-    return f"""WITH common AS (SELECT doc_id FROM pred GROUP BY doc_id HAVING count(DISTINCT model) = 3), base AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM common),
-    {_draws(ROUNDS, duck)}, lv AS (SELECT d.r, s.model, s.rnk, count(*) AS n, sum(CASE WHEN s.label = s.predicted THEN 0 ELSE 1 END) AS bad FROM draws d JOIN base b ON d.pos = b.pos JOIN scored s ON s.doc_id = b.doc_id GROUP BY d.r, s.model, s.rnk),
-    cu AS (SELECT r, model, rnk, n, sum(n) OVER (PARTITION BY r, model ORDER BY rnk DESC) AS cn, sum(bad) OVER (PARTITION BY r, model ORDER BY rnk DESC) AS cb, sum(n) OVER (PARTITION BY r, model) AS tot FROM lv),
-    au AS (SELECT r, model, sum(CAST(cb AS DOUBLE) / cn * n / tot) AS aurc FROM cu GROUP BY r, model),
-    df AS (SELECT a.model AS m1, b.model AS m2, a.aurc - b.aurc AS diff FROM au a JOIN au b ON a.r = b.r AND a.model < b.model)
-    SELECT m1, m2, round(avg(diff), 6) AS mean_diff, round(avg(CASE WHEN diff >= 0 THEN 1e0 ELSE 0e0 END), 6) AS not_better FROM df GROUP BY m1, m2"""
+@query(f"WITH {_draws_sql(resample.INTERVAL_ROUNDS)}{_F1_SQL}, o AS (SELECT model, f, row_number() OVER (PARTITION BY model ORDER BY f) - 1 AS k FROM sc) SELECT model, {_ends(resample.INTERVAL_ROUNDS, 'f')} FROM o GROUP BY model")
+def w10_bootstrap_ci(spark, d):
+    scores = resample.macro_f1(_outcomes(spark, d, resample.INTERVAL_ROUNDS), MODELS, LABELS)
+    return _rounded(resample.intervals(scores, resample.INTERVAL_ROUNDS))
 
 
-QUERIES["w11_aurc_bootstrap"] = lambda spark, d: run_sql(spark, d, _aurc(False))
-ORACLES["w11_aurc_bootstrap"] = with_views(_aurc(True), duck=True)
+@query(f"WITH {_draws_sql(resample.AREA_ROUNDS)}{_AREA_SQL}{_pairs_sql(resample.AREA_ROUNDS)}")
+def w11_aurc_bootstrap(spark, d):
+    scores = resample.risk_areas(_outcomes(spark, d, resample.AREA_ROUNDS), MODELS)
+    return _rounded(resample.differences(scores, resample.AREA_ROUNDS))
