@@ -1,56 +1,95 @@
-"""Space restoration: boundary contexts counted over the corpus, log odds averaged per boundary, scored over thresholds."""
+"""Space restoration: boundary contexts counted over the corpus, log odds averaged per boundary, spaces put in, and scores over thresholds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.session import cut
 
-#: Windows of characters (left, right) around a boundary, and the fewest sightings of a context that count.
-WINDOWS = ((1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (3, 2))
+# Characters (left, right) of the contexts of a boundary, sightings a context needs, the bound of its log odds, thresholds tried.
+WINDOWS = ((1, 1), (2, 1), (1, 2), (2, 2), (3, 2), (2, 3))
 MIN_COUNT, CLAMP = 3, 4.0
 THRESHOLDS = (-1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0)
+JUNK = "[\\x{0}-\\x{8}\\x{b}-\\x{1f}\\x{7f}\\x{ad}\\x{200b}-\\x{200f}\\x{2028}\\x{2029}\\x{2244}\\x{feff}]"
+_EDGE = "\x01"  # JUNK removes it from texts, so it can stand for what is beyond a line's ends
+_FAR = max(max(w) for w in WINDOWS)
+
+
+def lines_of(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4) -> DataFrame:
+    """(id, line, raw): the lines of each text without junk, blanks in one; lines shorter than least are left out."""
+    clean = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), JUNK, "")
+    out = rows.select(F.col(id_col).alias("id"), F.posexplode(F.split(clean, "\n")).alias("line", "raw"))
+    out = out.withColumn("raw", F.trim(F.regexp_replace("raw", "[ \t]+", " ")))
+    return out.filter(F.char_length("raw") >= least)
 
 
-def boundaries(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, i, spaced, contexts): every boundary between two characters of the text without spaces, and its contexts.
+def boundaries(lines: DataFrame) -> DataFrame:
+    """(id, line, i, spaced, contexts): every boundary between two characters of a line without spaces, and the contexts that lie within the line.
 
-    The text is cut at its spaces once; a boundary is spaced where one piece ends.
+    A boundary is spaced where blanks stand between its characters. Every array is walked once, so a long line costs its length.
     """
-    flat = F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"\s+", " "))
-    base = rows.select(F.col(id_col).alias("id"), F.replace(flat, F.lit(" "), F.lit("")).alias("t"), F.transform(F.split(flat, " "), lambda w: F.char_length(w)).alias("sizes"))
-    ends = F.aggregate("sizes", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
-    base = base.filter(F.char_length("t") > 1).withColumn("ends", ends)
-    cut_at = base.select("id", F.explode("ends").alias("i")).distinct().withColumn("spaced", F.lit(1))
-    around = F.concat(F.lit("^^^"), F.col("t"), F.lit("$$$"))
-    grams = base.select("id", F.split(around, "").alias("c"), F.char_length("t").alias("n"))
-    places = grams.select("id", F.posexplode(F.arrays_zip(*[F.slice("c", k, F.col("n") + 5).alias(f"c{k}") for k in range(1, 7)])).alias("p", "z"), "n").filter("p < n - 1")
-    left = lambda k: F.concat(*[F.col(f"z.c{j}") for j in range(5 - k, 5)])  # noqa: E731  the character before the boundary is c4 of its window
-    at = places.select("id", (F.col("p") + 1).alias("i"), "z")
-    right = lambda k: F.concat(*[F.col(f"z.c{j}") for j in range(5, 5 + k)])
-    ctx = F.array(*[F.concat(F.lit(f"{a}{b}:"), left(a), F.lit("|"), right(b)) for a, b in WINDOWS])
-    return at.select("id", "i", ctx.alias("contexts")).join(cut_at, ["id", "i"], "left").select("id", "i", F.coalesce("spaced", F.lit(0)).alias("spaced"), "contexts")
-
-
-def train(rows: DataFrame) -> DataFrame:
-    """(context, odds): clamped log odds of a space at each context seen at least MIN_COUNT times."""
-    seen = boundaries(rows).select("spaced", F.explode("contexts").alias("context")).groupBy("context").agg(F.sum("spaced").alias("s"), F.count(F.lit(1)).alias("n"))
+    every = F.split("raw", "")
+    marked = F.zip_with(every, F.slice(every, 2, F.greatest(F.char_length("raw"), F.lit(1))), lambda c, after: F.struct(c.alias("c"), (after == " ").alias("s")))
+    base = lines.select("id", "line", F.filter(marked, lambda x: x["c"] != " ").alias("m")).filter(F.size("m") > 1)
+    edge = F.array_repeat(F.lit(_EDGE), _FAR)
+    base = base.select("id", "line", F.transform("m", lambda x: F.coalesce(x["s"], F.lit(False)).cast("int")).alias("s"), F.concat(edge, F.transform("m", lambda x: x["c"]), edge).alias("chars"))
+    n = F.size("s")
+    around = F.arrays_zip(F.col("s"), *[F.slice("chars", k, n).alias(f"c{k}") for k in range(2, 2 * _FAR + 2)])
+    places = base.select("id", "line", n.alias("n"), F.posexplode(around).alias("p", "z")).filter("p < n - 1")
+    # the character before the boundary is the last of the left half of its window
+    part = lambda a, b: F.concat(*[F.col(f"z.c{k}") for k in range(_FAR + 2 - a, _FAR + 2 + b)])
+    contexts = F.array(*[F.concat(F.lit(f"{a}_{b}:"), part(a, b)) for a, b in WINDOWS])
+    return places.select("id", "line", (F.col("p") + 1).alias("i"), F.col("z.s").alias("spaced"), F.filter(contexts, lambda c: ~F.contains(c, F.lit(_EDGE))).alias("contexts"))
+
+
+def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+    """(context, odds) of the contexts seen at least MIN_COUNT times, their log odds of a space clamped; and the log odds of all of them together."""
+    seen = boundaries(lines_of(rows, id_col, text_col)).select("spaced", F.explode("contexts").alias("context"))
+    seen = seen.groupBy("context").agg(F.sum("spaced").alias("s"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_COUNT)
     odds = F.log((F.col("s") + 0.5) / (F.col("n") - F.col("s") + 0.5))
-    return cut(seen.filter(F.col("n") >= MIN_COUNT).select("context", F.greatest(F.lit(-CLAMP), F.least(F.lit(CLAMP), odds)).alias("odds")))
+    model = cut(seen.select("context", "s", "n", F.greatest(F.lit(-CLAMP), F.least(F.lit(CLAMP), odds)).alias("odds")))
+    s, n = (x or 0 for x in model.agg(F.sum("s"), F.sum("n")).first())
+    return model.select("context", "odds"), math.log((s + 1) / (n - s + 1))
+
+
+def scored(model: tuple[DataFrame, float], lines: DataFrame) -> DataFrame:
+    """(id, line, i, spaced, score): mean log odds of a boundary's known contexts, those of the whole model where none is known."""
+    table, prior = model
+    b = boundaries(lines).select("id", "line", "i", "spaced", F.explode_outer("contexts").alias("context"))
+    return b.join(table, "context", "left").groupBy("id", "line", "i").agg(F.max("spaced").alias("spaced"), F.coalesce(F.avg("odds"), F.lit(prior)).alias("score"))
+
+
+def restore(model: tuple[DataFrame, float], rows: DataFrame, threshold: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, restored): every text with a space at each boundary whose score is above the threshold; spaces that are there stay.
+
+    Junk goes, as in training. Null text counts as empty. Lines of any length take part; texts without two characters come back without junk.
+    """
+    clean = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), JUNK, "")
+    lines = rows.select(F.col(id_col).alias("id"), F.posexplode(F.split(clean, "\n")).alias("line", "raw"))
+    put = F.struct("i", ((F.col("spaced") == 1) | (F.col("score") > threshold)).alias("put"))
+    puts = scored(model, lines).groupBy("id", "line").agg(F.sort_array(F.collect_list(put)).alias("puts"))
+    chars = F.filter(F.split("raw", ""), lambda c: c != " ")
+    flags = F.concat(F.array(F.lit(False)), F.transform("puts", lambda x: x["put"]))
+    spaced = F.array_join(F.zip_with(chars, flags, lambda c, at: F.when(at, F.concat(F.lit(" "), c)).otherwise(c)), "")
+    done = lines.join(puts, ["id", "line"], "left").select("id", "line", F.when(F.col("puts").isNull(), F.col("raw")).otherwise(spaced).alias("t"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")
+    return done.groupBy("id").agg(whole.alias("restored")).withColumnRenamed("id", id_col)
 
 
-def scored(model: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, i, spaced, score): mean log odds of a boundary's known contexts; unknown boundaries score the lowest."""
-    b = boundaries(rows).select("id", "i", "spaced", F.explode("contexts").alias("context"))
-    return b.join(model, "context", "left").groupBy("id", "i").agg(F.max("spaced").alias("spaced"), F.coalesce(F.avg("odds"), F.lit(-CLAMP)).alias("score"))
+def _ratio(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def evaluate(model: DataFrame, rows: DataFrame) -> DataFrame:
-    """(threshold, tp, predicted, gold, precision_, recall, f1) for every threshold."""
-    s = scored(model, rows)
+def evaluate(model: tuple[DataFrame, float], rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(threshold, tp, predicted, gold, precision_, recall, f1, best) for every threshold; best is the first of largest F1."""
+    s = scored(model, lines_of(rows, id_col, text_col))
     s = s.select("spaced", F.round("score", 9).alias("score"), F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("threshold"))
-    hit = (F.col("score") >= F.col("threshold")).cast("int")
+    hit = (F.col("score") > F.col("threshold")).cast("int")
     out = s.groupBy("threshold").agg(F.sum(hit * F.col("spaced")).alias("tp"), F.sum(hit).alias("predicted"), F.sum("spaced").alias("gold"))
-    p, r = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("tp"), F.col("gold")), F.lit(0.0))
-    return out.select("threshold", "tp", "predicted", "gold", F.round(p, 6).alias("precision_"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
+    p, r = _ratio(F.col("tp"), F.col("predicted")), _ratio(F.col("tp"), F.col("gold"))
+    out = out.select("*", F.round(p, 6).alias("precision_"), F.round(r, 6).alias("recall"), F.round(_ratio(2 * p * r, p + r), 6).alias("f1"))
+    first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f1"), "threshold"))  # one row a threshold
+    return out.withColumn("best", first == 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import stats
 from quillstone.functions.text import squeeze
+from quillstone.operators import base_rates, criteria, passages, spacing
 from quillstone.operators import rules as R
 from quillstone.operators.ngrams import char_grams
 from quillstone.plans.views import run_sql, with_views
@@ -14,6 +15,8 @@ from quillstone.session import cut, read_table
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+_LABELS3 = "labels3 AS (SELECT 'major' AS label UNION ALL SELECT 'other' UNION ALL SELECT 'rare')"
+
 
 def query(oracle: str | None = None):
     def add(fn):
@@ -62,7 +65,21 @@ def r10_rule_stability(spark, d):
     return R.stability(cut(s.withColumn("pos", F.expr("cast(pos / 3 as bigint)"))))
 
 
-@query()
+_TERMS = " UNION ALL ".join(f"SELECT doc_id, label, unnest(list_distinct(list_transform(range(1, length(t) - {k} + 2), lambda i: substr(t, i, {k})))) AS term FROM sq" for k in (2, 3, 4, 5, 6))
+
+
+@query(
+    rf"""WITH sq AS (SELECT doc_id, label, regexp_replace(text, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}]+', '', 'g') AS t FROM gold), posts AS ({_TERMS}),
+    terms AS (SELECT term, count(*) AS support, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS docs, count(*) FILTER (label = 'major') AS a, count(*) FILTER (label = 'other') AS b, count(*) FILTER (label = 'rare') AS c FROM posts GROUP BY term HAVING count(*) >= 12),
+    sets AS (SELECT (min({{'l': length(term), 't': term}})).t AS term, support, docs, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c FROM terms GROUP BY support, docs),
+    best AS (SELECT term, support, greatest(a, b, c) AS hits, CASE WHEN c = greatest(a, b, c) THEN 'rare' WHEN b = greatest(a, b, c) THEN 'other' ELSE 'major' END AS label FROM sets),
+    prior AS (SELECT label, count(*) / CAST((SELECT count(*) FROM gold) AS DOUBLE) AS prior FROM gold GROUP BY label),
+    cases AS (SELECT DISTINCT support, hits, label FROM best),
+    tails AS (SELECT support, hits, label, sum(exp(lgamma(support + 1) - lgamma(i + 1) - lgamma(support - i + 1) + i * ln(prior) + (support - i) * ln(1 - prior))) AS p FROM (SELECT c.*, prior, unnest(range(hits, support + 1)) AS i FROM cases c JOIN prior USING (label)) GROUP BY ALL),
+    o AS (SELECT b.term, b.label, b.support, b.hits, b.hits / CAST(b.support AS DOUBLE) / prior AS lift, round(least(1.0, t.p), 12) AS p FROM best b JOIN prior USING (label) JOIN tails t ON t.support = b.support AND t.hits = b.hits AND t.label = b.label),
+    r AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, term) + 1)) AS raw FROM o)
+    SELECT term, label, support, hits, round(lift, 6) AS lift, round(p, 6) AS p, round(max(raw) OVER (ORDER BY p, term ROWS UNBOUNDED PRECEDING), 5) AS p_holm FROM r"""
+)
 def a17_leakage_audit(spark, d):
     """Terms whose documents lean to one label more than chance allows, Holm-adjusted: one row per distinct document set."""
     g = run_sql(spark, d, "SELECT doc_id, text, label FROM gold")
@@ -75,25 +92,16 @@ def a17_leakage_audit(spark, d):
     best = F.greatest(*[F.struct(F.col(f"n_{x}").alias("c"), F.lit(x).alias("l")) for x in labels])
     prior = g.groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("prior"))
     out = sets.withColumn("b", best).select(F.col("t.term").alias("term"), "support", F.col("b.l").alias("label"), F.col("b.c").alias("hits")).join(prior, "label")
-    out = out.withColumn("lift", F.col("hits") / F.col("support") / F.col("prior")).withColumn("p", stats.binomial_tail("hits", "support", "prior"))
-    out = stats.holm(out, "p", "term")
-    return out.select("term", "label", "support", "hits", F.round("lift", 6).alias("lift"), F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
+    out = out.withColumn("lift", F.col("hits") / F.col("support") / F.col("prior")).withColumn("p", F.round(stats.binomial_tail("hits", "support", "prior"), 12))
+    out = stats.holm_ranged(out, "p", "term")
+    return out.select("term", "label", "support", "hits", F.round("lift", 6).alias("lift"), F.round("p", 6).alias("p"), F.round("p_holm", 5).alias("p_holm"))
 
 
 @query(
-    r"WITH c AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(regexp_replace(d.text, '\s+', ' ', 'g'), regexp_replace(b.text, '\s+', ' ', 'g'))) SELECT item_id, count(*) AS docs, min(doc_id) AS first_doc FROM c GROUP BY item_id"
+    r"WITH c AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g')))) SELECT item_id, count(*) AS docs, min(doc_id) AS first_doc FROM c GROUP BY item_id"
 )
 def a17_benchmark_passages(spark, d):
-    """Benchmark passages found whole in documents: hashed word windows of each passage's length meet by equality, then the text is compared."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    items = read_table(spark, d, "benchmark").select("item_id", flat(F.col("text")).alias("quote"))
-    items = items.withColumn("words", F.split("quote", " ")).withColumn("key", F.xxhash64(F.array_join(F.slice("words", 2, 6), " ")))
-    docs = read_table(spark, d, "documents").select("doc_id", flat(F.col("text")).alias("text"))
-    words = docs.select("doc_id", F.split("text", " ").alias("w"))
-    keys = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 6), " ")))).alias("key"))
-    pairs = keys.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = pairs.join(items.select("item_id", "quote"), "item_id").join(docs, "doc_id").filter(F.contains("text", "quote"))
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+    return passages.found(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
 
 
 _ANS = """ans AS (SELECT doc_id, label, 0 AS j, CASE WHEN text LIKE '%***%' THEN 1 ELSE 0 END AS yes FROM gold UNION ALL SELECT doc_id, label, 1, CASE WHEN text LIKE '%!!%' THEN 1 ELSE 0 END FROM gold
@@ -118,11 +126,68 @@ both(
 )
 
 
-@query()
+_CHARS = "list_transform(range(1, length(raw) + 1), lambda i: substr(raw, i, 1))"
+_SPACED = """ln0 AS (SELECT doc_id, pos, unnest(string_split(regexp_replace(text, '[\\x{0}-\\x{8}\\x{b}-\\x{1f}\\x{7f}\\x{ad}\\x{200b}-\\x{200f}\\x{2028}\\x{2029}\\x{2244}\\x{feff}]', '', 'g'), chr(10))) AS raw0, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM split),
+  ln1 AS (SELECT doc_id, pos, line, trim(regexp_replace(raw0, '[ \t]+', ' ', 'g')) AS raw FROM ln0), ln AS (SELECT *, replace(raw, ' ', '') AS t FROM ln1 WHERE length(raw) >= 4),
+  ch AS (SELECT doc_id, line, pos, t, raw, unnest(range(1, length(raw) + 1)) AS k FROM ln), at0 AS (SELECT doc_id, line, pos, t, k, substr(raw, k, 1) = ' ' AS blank, count(*) FILTER (substr(raw, k, 1) <> ' ') OVER (PARTITION BY doc_id, line ORDER BY k) AS i FROM ch),
+  bd AS (SELECT doc_id, line, pos, t, i, max(CAST(blank AS INT)) AS spaced FROM at0 WHERE i < length(t) GROUP BY ALL),
+  cx AS (SELECT doc_id, line, pos, i, spaced, unnest([{ctx}]) AS context FROM bd)""".replace("{ctx}", ", ".join(f"CASE WHEN i >= {a} AND i + {b} <= length(t) THEN '{a}_{b}:' || substr(t, CAST(i AS BIGINT) - {a - 1}, {a + b}) END" for a, b in spacing.WINDOWS))
+
+
+@query(
+    f"""WITH {_SPACED}, mo AS (SELECT context, sum(spaced) AS s, count(*) AS n FROM cx WHERE pos % 10 <> 0 AND context IS NOT NULL GROUP BY context HAVING count(*) >= 3),
+    od AS (SELECT context, greatest(-4.0, least(4.0, ln((s + 0.5) / (n - s + 0.5)))) AS odds FROM mo), pr AS (SELECT ln((sum(s) + 1) / (sum(n) - sum(s) + 1)) AS prior FROM mo),
+    sc AS (SELECT doc_id, line, i, max(spaced) AS spaced, round(coalesce(avg(odds), (SELECT prior FROM pr)), 9) AS score FROM cx LEFT JOIN od USING (context) WHERE pos % 10 = 0 GROUP BY ALL),
+    th AS (SELECT CAST(unnest([-1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0]) AS DOUBLE) AS threshold), k AS (SELECT threshold, CAST(sum(CASE WHEN score > threshold THEN spaced ELSE 0 END) AS BIGINT) AS tp, count(*) FILTER (score > threshold) AS predicted, CAST(sum(spaced) AS BIGINT) AS gold_ FROM sc CROSS JOIN th GROUP BY threshold),
+    f AS (SELECT threshold, tp, predicted, gold_ AS spaces, round(coalesce(tp / nullif(CAST(predicted AS DOUBLE), 0), 0), 6) AS precision_, round(coalesce(tp / nullif(CAST(gold_ AS DOUBLE), 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(CAST(predicted + gold_ AS DOUBLE), 0), 0), 6) AS f1 FROM k)
+    SELECT *, row_number() OVER (ORDER BY f1 DESC, threshold) = 1 AS best FROM f"""
+)
 def p25_p26_spacing(spark, d):
-    """Spaces restored in held-out texts by boundary contexts learned on the rest: precision, recall and F1 over the thresholds."""
-    from quillstone.operators.spacing import evaluate, train
+    """Spaces restored in held-out texts by boundary contexts learned on the rest: precision, recall and F1 over the thresholds, and the best."""
+    g = cut(run_sql(spark, d, "SELECT doc_id, text, pos FROM split"))
+    return spacing.evaluate(spacing.train(g.filter("pos % 10 <> 0")), g.filter("pos % 10 = 0")).withColumnRenamed("gold", "spaces")
+
 
+@query()
+def p25_restored(spark, d):
+    """Held-out texts whose spaces were all taken out, with those the model puts in."""
     g = cut(run_sql(spark, d, "SELECT doc_id, text, pos FROM split"))
-    model = train(g.filter("pos % 10 <> 0"))
-    return evaluate(model, g.filter("pos % 10 = 0"))
+    bare = g.filter("pos % 10 = 0").withColumn("text", F.replace("text", F.lit(" "), F.lit("")))
+    return spacing.restore(spacing.train(g.filter("pos % 10 <> 0")), bare)
+
+
+@query(
+    f"""WITH {_LABELS3}, s AS (SELECT source, label FROM gold UNION ALL SELECT '*', label FROM gold), n AS (SELECT source, count(*) AS n FROM s GROUP BY source),
+    r AS (SELECT n.source, n.n, l.label, count(s.label) / CAST(n.n AS DOUBLE) AS rate FROM n CROSS JOIN labels3 l LEFT JOIN s ON s.source = n.source AND s.label = l.label GROUP BY n.source, n.n, l.label),
+    t AS (SELECT source, max(n) AS n, string_agg(label || ' ' || CAST(CAST(round_even(100 * rate, 0) AS INT) AS VARCHAR) || '%', ', ' ORDER BY label) AS parts, coalesce(string_agg(CASE WHEN rate = 0 THEN label END, ', ' ORDER BY label), '') AS absent FROM r GROUP BY source)
+    SELECT t.source, CASE WHEN t.n >= 5 THEN 'Of ' || t.n || ' past cases of ' || t.source || ': ' || t.parts || '.' || CASE WHEN t.absent <> '' THEN ' Never: ' || t.absent || '.' ELSE '' END ELSE 'Of ' || a.n || ' past cases: ' || a.parts || '.' END AS sentence
+    FROM t CROSS JOIN (SELECT * FROM t WHERE source = '*') a WHERE t.source <> '*'"""
+)
+def p27_base_rate_sentences(spark, d):
+    return base_rates.sentences(run_sql(spark, d, "SELECT source, label FROM gold"), "source", ["major", "other", "rare"])
+
+
+_ASKED = """c AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS reasoning, CASE WHEN u.turn % 4 = 1 THEN '' ELSE substr(u.text, 1, 12) END AS name,
+  CASE WHEN u.turn % 3 = 0 THEN substr(u.text, 1, 30) ELSE substr(a.text, 5, 30) END AS quote, CASE WHEN u.conv_id % 5 = 0 THEN 'unknown' ELSE 'major' END AS implies
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+_NORM = r"regexp_replace(regexp_replace(regexp_replace({}, '[\x{{0}}-\x{{8}}\x{{b}}-\x{{1f}}\x{{7f}}\x{{ad}}\x{{200b}}-\x{{200f}}\x{{2028}}\x{{2029}}\x{{2044}}\x{{2244}}\x{{feff}}]', '', 'g'), '[□○◦▪●·•▶◆∙]', '', 'g'), '\s+', '', 'g')"
+
+
+@query(
+    f"""WITH {_ASKED}, r AS (SELECT *, {_NORM.format("quote")} AS q, {_NORM.format("reasoning")} AS s FROM c)
+    SELECT conv_id, turn, concat_ws(';', CASE WHEN trim(name) = '' THEN 'no_name' END, CASE WHEN trim(question) = '' THEN 'no_question' END, CASE WHEN trim(question) <> '' AND regexp_matches(question, 'the [a-z]*tion|which outcome') THEN 'circular' END,
+      CASE WHEN q = '' OR NOT contains(s, q) THEN 'ungrounded' END, CASE WHEN implies <> 'major' THEN 'unknown_label' END) AS problems FROM r"""
+)
+def p19_p20_criteria(spark, d):
+    """Questions of users as criteria, quotations of the answers as their grounds; a stand-in pattern for questions that ask for the conclusion."""
+    rows = run_sql(spark, d, f"WITH {_ASKED} SELECT * FROM c")
+    why = criteria.problems(F.col("name"), F.col("question"), F.col("quote"), F.col("implies"), F.col("reasoning"), ["major", "other", "rare"], ("the [a-z]*tion", "which outcome"))
+    return rows.select("conv_id", "turn", F.array_join(why, ";").alias("problems"))
+
+
+@query()
+def a27_consolidated_criteria(spark, d):
+    """First lines of labelled documents as criteria, those that ask alike as one, where their decision's share of support is reached."""
+    g = cut(run_sql(spark, d, "SELECT doc_id, text, label, source FROM gold"))
+    items = g.select(F.col("doc_id").alias("id"), F.substring(F.split("text", "\n")[0], 1, 80).alias("question"), F.col("source").alias("name"), F.col("label").alias("implies"), F.col("doc_id").alias("serial"), F.col("label").alias("decision"))
+    return criteria.consolidate(items, g.select("label"))
