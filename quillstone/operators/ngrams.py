@@ -27,9 +27,18 @@ def char_grams(text: Column, sizes: tuple[int, ...] = (4,), short: bool = True)
     return out
 
 
-def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, g, tf): the multiset of 4-grams of each text."""
-    return df.select(F.col(id_col), F.explode(char_grams(normalize_grams(F.col(text_col)))).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("tf"))
+def four_grams(text: Column) -> Column:
+    return char_grams(normalize_grams(text))
+
+
+def word_grams(text: Column) -> Column:
+    """The lower-case words of a text, as often as they occur."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0b\\x0c\\r]+"), lambda w: w != "")
+
+
+def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams=four_grams) -> DataFrame:
+    """(id, g, tf): the multiset of each text's grams, by default its 4-grams."""
+    return df.select(F.col(id_col), F.explode(grams(F.col(text_col))).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf(tf: DataFrame, n: int) -> DataFrame:
@@ -37,10 +46,10 @@ def idf(tf: DataFrame, n: int) -> DataFrame:
     return tf.groupBy("g").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(max(1, n))) / (1 + F.col("df"))) + 1)
 
 
-def vectors(df: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def vectors(df: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", grams=four_grams) -> DataFrame:
     """(id, g, w): L2-normalised tf-idf postings; grams the corpus lacks weigh as idf 1. Written once, as every similarity join reads them."""
-    tf = cut(counts(df, id_col))
-    base = tf if corpus is None else counts(corpus, id_col)
+    tf = cut(counts(df, id_col, grams=grams))
+    base = tf if corpus is None else counts(corpus, id_col, grams=grams)
     n = (df if corpus is None else corpus).count()
     w = tf.join(idf(base, n).select("g", "idf"), "g", "left").select(id_col, "g", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
     norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -22,10 +22,11 @@ class Policy:
     floor: float = DOUBT
     top_k: int = 5
     fallback: str = "major"
+    labels: tuple[str, ...] = ("major", "other", "rare")
 
 
 POLICIES = {
-    "naive": Policy(False, False, False, False, 0.0, 1),
+    "naive": Policy(use_router=False, use_rules=False, allow_abstain=False, validate=False, floor=0.0, top_k=1),
     "always-precedent": Policy(use_router=False, use_rules=False),
     "router": Policy(),
     "router-noabstain": Policy(allow_abstain=False),
@@ -34,7 +35,12 @@ POLICIES = {
 
 
 def route_sql(p: Policy, hits: str = "hits", fired: str = "fired", risk: str = "risk", requests: str = "requests") -> str:
-    """CTEs sig, routed, voted and decided over hits (q, rank, label, s, source, year), fired (q, ord, label, prec), risk (band, risk) and requests (q, year)."""
+    """CTEs sig, routed, voted and decided over hits (q, rank, label, s, source, year, grounded), fired (q, ord, label, prec), risk (band, risk) and requests (q, year).
+
+    grounded says whether a precedent's quotation stands in its text; null: it has none. Validation, after the decision: V3 drops precedents whose
+    quotation does not; V1 (a known label) and V5 (evidence left that has the decision's label) withdraw the decision; V3, V4 (no
+    precise rule against it) and V6 (one label in all evidence) lower medium confidence. V2 (what is cited exists) holds, as only evidence at hand is cited.
+    """
     rules = fired if p.use_rules else f"(SELECT * FROM {fired} WHERE false)"
     to_rules = lambda r: f"CASE WHEN rule_ok THEN 'rule:{r}' WHEN rule_conflict THEN 'abstain:R1' ELSE 'abstain:{r}' END"
     table = f"""CASE WHEN n_evidence = 0 AND n_rules = 0 THEN 'abstain:R2' WHEN n_evidence = 0 THEN {to_rules('R3')} WHEN trap_risk > {RISK_CEILING} THEN {to_rules('R5')}
@@ -44,7 +50,8 @@ def route_sql(p: Policy, hits: str = "hits", fired: str = "fired", risk: str = "
         table = f"CASE WHEN coalesce(best, 0) >= {p.floor} AND best IS NOT NULL THEN 'precedent:always-A' ELSE 'abstain:no-evidence' END"
     vote = lambda name, src: f"""{name} AS (SELECT q, label FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY votes DESC, total DESC, seen) AS k
       FROM (SELECT q, label, count(*) AS votes, round(sum(s), 9) AS total, min(rank) AS seen FROM {src} GROUP BY q, label) v) w WHERE k = 1)"""
-    fails = "(high_against > 0 OR labels_seen > 1)" if p.validate else "false"
+    fails = "(high_against > 0 OR labels_seen > 1 OR dropped > 0)" if p.validate else "false"
+    blocked = f"(decision IS NOT NULL AND (decision NOT IN ({', '.join(repr(x) for x in p.labels)}) OR backing = 0))" if p.validate else "false"
     return f"""top AS (SELECT * FROM {hits} WHERE rank < {p.top_k}), use_ AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) - 1 AS u FROM top WHERE s >= {DOUBT}),
     lead_ AS (SELECT q, label, s, year FROM use_ WHERE u = 0), rr AS (SELECT q, ord AS rank, label, prec AS s FROM {rules}),
     ev AS (SELECT x.q, count(*) AS n_evidence, max(CASE WHEN u = 0 THEN x.s END) AS top_s, max(CASE WHEN u = 1 THEN x.s END) AS second_s,
@@ -57,15 +64,17 @@ def route_sql(p: Policy, hits: str = "hits", fired: str = "fired", risk: str = "
       FROM {requests} r LEFT JOIN ev e ON r.q = e.q LEFT JOIN lead_ l ON r.q = l.q LEFT JOIN ru ON r.q = ru.q LEFT JOIN bs ON r.q = bs.q),
     routed AS (SELECT *, {table} AS pr FROM sig),
     floored AS (SELECT q, rank, label, s FROM top WHERE s >= {p.floor}), {vote('v_prec', 'floored')}, {vote('v_all', 'top')}, {vote('v_rule', 'rr')},
-    val AS (SELECT q, count(DISTINCT label) AS labels_seen FROM (SELECT q, label FROM top UNION ALL SELECT q, label FROM rr) a GROUP BY q),
+    left_ AS (SELECT q, label FROM top WHERE coalesce(grounded, true) UNION ALL SELECT q, label FROM rr),
+    val AS (SELECT q, count(DISTINCT label) AS labels_seen FROM left_ GROUP BY q), gone AS (SELECT q, count(*) AS dropped FROM top WHERE NOT coalesce(grounded, true) GROUP BY q),
     decided AS (SELECT d.q, split_part(pr, ':', 1) AS path, split_part(pr, ':', 2) AS reason, margin, coalesce(vp.label, va.label, vr.label, '{p.fallback}') AS guess,
-      CASE split_part(pr, ':', 1) WHEN 'precedent' THEN vp.label WHEN 'rule' THEN vr.label ELSE {"NULL" if p.allow_abstain else f"coalesce(vp.label, vr.label, '{p.fallback}')"} END AS decision, v.labels_seen
-      FROM routed d LEFT JOIN v_prec vp ON d.q = vp.q LEFT JOIN v_all va ON d.q = va.q LEFT JOIN v_rule vr ON d.q = vr.q LEFT JOIN val v ON d.q = v.q),
+      CASE split_part(pr, ':', 1) WHEN 'precedent' THEN vp.label WHEN 'rule' THEN vr.label ELSE {"NULL" if p.allow_abstain else f"coalesce(vp.label, vr.label, '{p.fallback}')"} END AS decision, v.labels_seen, coalesce(gone.dropped, 0) AS dropped
+      FROM routed d LEFT JOIN v_prec vp ON d.q = vp.q LEFT JOIN v_all va ON d.q = va.q LEFT JOIN v_rule vr ON d.q = vr.q LEFT JOIN val v ON d.q = v.q LEFT JOIN gone ON d.q = gone.q),
     against AS (SELECT d.q, count(*) AS high_against FROM decided d JOIN rr ON rr.q = d.q WHERE rr.s >= {HIGH_PRECISION} AND rr.label <> d.decision GROUP BY d.q),
-    outcome AS (SELECT d.q, path, reason, decision, decision IS NULL AS abstained, coalesce(decision, guess) AS predicted,
-      CASE WHEN decision IS NOT NULL THEN NULL WHEN reason IN ('R1', 'R6') THEN 'conflicting' WHEN reason = 'R5' THEN 'surface' WHEN reason = 'R9' THEN 'ambiguous' ELSE 'no_evidence' END AS abstain_reason,
-      CASE WHEN decision IS NULL OR path = 'abstain' THEN 'low' WHEN margin >= 0.30 THEN 'high' WHEN margin >= 0.10 AND NOT {fails} THEN 'medium' ELSE 'low' END AS confidence
-      FROM (SELECT d.*, coalesce(g.high_against, 0) AS high_against FROM decided d LEFT JOIN against g ON d.q = g.q) d)"""
+    backed AS (SELECT d.q, count(*) AS backing FROM decided d JOIN left_ e ON e.q = d.q AND e.label = d.decision GROUP BY d.q),
+    checked AS (SELECT *, {blocked} AS blocked FROM (SELECT d.*, coalesce(g.high_against, 0) AS high_against, coalesce(b.backing, 0) AS backing FROM decided d LEFT JOIN against g ON d.q = g.q LEFT JOIN backed b ON d.q = b.q) x),
+    outcome AS (SELECT q, path, reason, CASE WHEN blocked THEN NULL ELSE decision END AS decision, decision IS NULL OR blocked AS abstained, coalesce(decision, guess) AS predicted,
+      CASE WHEN blocked THEN 'validation_failed' WHEN decision IS NOT NULL THEN NULL WHEN reason IN ('R1', 'R6') THEN 'conflicting' WHEN reason = 'R5' THEN 'surface' WHEN reason = 'R9' THEN 'ambiguous' ELSE 'no_evidence' END AS abstain_reason,
+      CASE WHEN decision IS NULL OR blocked OR path = 'abstain' THEN 'low' WHEN margin >= 0.30 THEN 'high' WHEN margin >= 0.10 AND NOT {fails} THEN 'medium' ELSE 'low' END AS confidence FROM checked)"""
 
 
 def route(policy: Policy, hits: DataFrame, fired: DataFrame, risk: DataFrame, requests: DataFrame) -> DataFrame:

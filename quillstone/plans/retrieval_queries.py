@@ -25,22 +25,37 @@ _LOO = f"""{_VEC}, loo AS (SELECT a.doc_id AS q, b.doc_id AS p, least(1.0, great
 lnear AS MATERIALIZED (SELECT l.q, l.s, g.label, h.label AS nlabel, CASE WHEN l.s >= 0.6 THEN 'trust' WHEN l.s >= 0.15 THEN 'middle' ELSE 'doubt' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, p) AS k FROM loo) l JOIN gold g ON g.doc_id = l.q JOIN gold h ON h.doc_id = l.p WHERE k = 1)"""
 
 
+def _state(spark, d) -> tuple:
+    """What tells one content of the directory's tables from another: their files' paths, sizes and times."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for t in ("documents", "labels"):
+        at = path(f"{d}/{t}.parquet")
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return tuple(out)
+
+
 class World:
-    """The dev/test split with its vectors: built once per directory and session, as written tables."""
+    """The dev/test split with its vectors, as written tables: built once for one content of a directory and one session."""
 
     _held: dict = {}
 
+    @classmethod
+    def forget(cls) -> None:
+        """Build anew for the next query, as a benchmark of single queries needs."""
+        cls._held.clear()
+
     def __init__(self, spark, d):
         self.gold = cut(run_sql(spark, d, "SELECT doc_id, text, label, source, lang, pos FROM split"))
         self.dev, self.test = self.gold.filter("pos % 3 = 0"), self.gold.filter("pos % 3 <> 0")
         self.vec = N.vectors(self.gold)
         keys = lambda df: df.select("doc_id")
         self.dev_vec, self.test_vec = (self.vec.join(keys(x), "doc_id", "left_semi") for x in (self.dev, self.test))
-        self._near = self._loo = None
+        self._near = self._loo = self._words = None
 
     @classmethod
     def of(cls, spark, d) -> World:
-        key = (spark.sparkContext.applicationId, d)
+        key = (spark.sparkContext.applicationId, d, _state(spark, d))
         if key not in cls._held:
             cls._held[key] = cls(spark, d)
         return cls._held[key]
@@ -51,6 +66,15 @@ class World:
             self._near = cut(N.top_k(N.similarities(self.test_vec, self.dev_vec), self.test, self.dev, 20))
         return self._near
 
+    @property
+    def words(self) -> DataFrame:
+        """The second retriever's nearest: by the words two texts share."""
+        if self._words is None:
+            vec = N.vectors(self.gold, grams=N.word_grams)
+            sims = N.similarities(*(vec.join(x.select("doc_id"), "doc_id", "left_semi") for x in (self.test, self.dev)))
+            self._words = cut(N.top_k(sims, self.test, self.dev, 20))
+        return self._words
+
     @property
     def loo(self) -> DataFrame:
         if self._loo is None:
@@ -137,10 +161,11 @@ def v14_group_accuracy(spark, d):
 
 @query(f"WITH {_HITS}, m AS (SELECT q, max(s) AS s FROM sims GROUP BY q), o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS k, count(*) OVER () AS n FROM m) SELECT round(max(CASE WHEN k = n // 2 THEN s END), 6) AS upper_median, round(avg(CASE WHEN s >= 0.15 THEN 1e0 ELSE 0e0 END), 6) AS share FROM o")
 def v15_relevance_preview(spark, d):
-    m = World.of(spark, d).near.groupBy("q").agg(F.max("s").alias("s"))
+    from quillstone.operators.splits import indexed
+
+    m = indexed(World.of(spark, d).near.groupBy("q").agg(F.max("s").alias("s")), "s", "q")
     n = m.count()
-    ranked = F.sort_array(F.collect_list("s"))  # one value per request of a preview
-    return m.agg(F.round(F.element_at(ranked, n // 2 + 1), 6).alias("upper_median"), F.round(F.avg((F.col("s") >= T.DOUBT).cast("double")), 6).alias("share"))
+    return m.agg(F.round(F.max(F.when(F.col("pos") == n // 2, F.col("s"))), 6).alias("upper_median"), F.round(F.avg((F.col("s") >= T.DOUBT).cast("double")), 6).alias("share"))
 
 
 @query()
@@ -162,27 +187,59 @@ def v9_dense_neighbor(spark, d):
     return nearest_dense(e.filter("vec_id % 3 <> 0"), e.filter("vec_id % 3 = 0"), "vec_id", "embedding").select("q", "p", F.round("s", 6).alias("similarity"))
 
 
-_LEN = "lens AS (SELECT q, p, row_number() OVER (PARTITION BY q ORDER BY abs(lq - lp), p) - 1 AS rank FROM (SELECT n.q, n.p, length(a.text) AS lq, length(b.text) AS lp FROM near n JOIN gold a ON a.doc_id = n.q JOIN gold b ON b.doc_id = n.p WHERE n.rank < 20) x)"
+_WORDS = """wg AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> '')) AS g FROM gold), wtf AS MATERIALIZED (SELECT doc_id, g, count(*) AS tf FROM wg GROUP BY doc_id, g),
+widf AS (SELECT g, ln((SELECT count(*) FROM gold) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM wtf GROUP BY g), ww AS (SELECT doc_id, g, tf * idf AS w FROM wtf JOIN widf USING (g)),
+wvec AS MATERIALIZED (SELECT ww.doc_id, g, w / n AS w FROM ww JOIN (SELECT doc_id, sqrt(sum(w * w)) AS n FROM ww GROUP BY doc_id) z ON ww.doc_id = z.doc_id),
+wsims AS (SELECT a.doc_id AS q, b.doc_id AS p, least(1.0, greatest(0.0, sum(a.w * b.w))) AS s FROM wvec a JOIN wvec b ON a.g = b.g WHERE a.doc_id IN (SELECT doc_id FROM test) AND b.doc_id IN (SELECT doc_id FROM dev) GROUP BY 1, 2),
+wnear0 AS (SELECT q, p, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, p) - 1 AS rank FROM wsims),
+wnear AS MATERIALIZED (SELECT * FROM wnear0 WHERE rank < 20 UNION ALL SELECT doc_id, (SELECT min(doc_id) FROM dev), 0.0, 0 FROM test WHERE doc_id NOT IN (SELECT q FROM wnear0)),
+fused AS (SELECT q, p, sum(1e0 / (61 + rank)) AS score FROM (SELECT q, p, rank FROM near WHERE rank < 20 UNION ALL SELECT q, p, rank FROM wnear) u GROUP BY q, p),
+hyb AS MATERIALIZED (SELECT f.q, f.p, coalesce(n.s, 0.0) AS s, row_number() OVER (PARTITION BY f.q ORDER BY round(score, 9) DESC, f.p) - 1 AS rank FROM fused f LEFT JOIN (SELECT * FROM near WHERE rank < 20) n ON n.q = f.q AND n.p = f.p)"""
 
 
-@query(f"WITH {_HITS}, {_LEN}, u AS (SELECT q, p, rank FROM near WHERE rank < 20 UNION ALL SELECT q, p, rank FROM lens WHERE rank < 20), f AS (SELECT q, p, sum(1e0 / (61 + rank)) AS score FROM u GROUP BY q, p), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, p) - 1 AS k FROM f) SELECT q, p, round(score, 6) AS score FROM r WHERE k < 5")
-def v10_rrf_hybrid(spark, d):
-    w = World.of(spark, d)
-    near = w.near.filter("rank < 20")
-    a, b = w.gold.select(F.col("doc_id").alias("q"), F.length("text").alias("lq")), w.gold.select(F.col("doc_id").alias("p"), F.length("text").alias("lp"))
+def _hybrid(w) -> DataFrame:
+    """(q, p, s, rank): the lists of both retrievers fused; s is the first one's similarity, 0 for what only the second found."""
     from pyspark.sql import Window
 
-    lens = near.join(a, "q").join(b, "p").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.abs(F.col("lq") - F.col("lp")), "p")) - 1)
-    fused = N.rrf([near, lens])
-    k = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "p"))
-    return fused.withColumn("k", k).filter("k <= 5").select("q", "p", F.round("score", 6).alias("score"))
+    near = w.near.filter("rank < 20")
+    fused = N.rrf([near, w.words]).join(near.select("q", "p", "s"), ["q", "p"], "left")
+    k = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "p")) - 1
+    return fused.select("q", "p", F.coalesce("s", F.lit(0.0)).alias("s"), k.alias("rank"))
+
 
+@query(f"WITH {_HITS}, {_WORDS} SELECT q, p, CAST(rank AS INT) AS rank, round(s, 6) AS similarity FROM hyb WHERE rank < 5")
+def v10_rrf_hybrid(spark, d):
+    return _hybrid(World.of(spark, d)).filter("rank < 5").select("q", "p", "rank", F.round("s", 6).alias("similarity"))
+
+
+_COMPARED = " UNION ALL ".join(f"SELECT '{k}' AS retriever, q, p, s FROM {t} WHERE rank = 0" for k, t in (("L", "near"), ("W", "wnear"), ("H", "hyb")))
 
-@query(_LINK + " SELECT label, CAST(sum(CASE WHEN part = 'trap' THEN 1 ELSE 0 END) AS BIGINT) AS trap, CAST(sum(CASE WHEN part <> 'unanchored' THEN 1 ELSE 0 END) AS BIGINT) AS anchored, round(sum(CASE WHEN part = 'trap' THEN 1e0 ELSE 0e0 END) / nullif(sum(CASE WHEN part <> 'unanchored' THEN 1e0 ELSE 0e0 END), 0), 6) AS trap_rate FROM link GROUP BY label")
+
+@query(
+    f"""WITH {_HITS}, {_WORDS}, tops AS ({_COMPARED}), m AS (SELECT t.retriever, g.label, t.s >= 0.15 AS anchored, t.s >= 0.15 AND g.label <> h.label AS trap FROM tops t JOIN gold g ON g.doc_id = t.q JOIN gold h ON h.doc_id = t.p),
+    a AS (SELECT retriever, label, anchored, trap FROM m UNION ALL SELECT retriever, '*', anchored, trap FROM m)
+    SELECT retriever, label, count(*) AS n, count(*) FILTER (NOT anchored) AS unanchored, count(*) FILTER (anchored AND NOT trap) AS agree, count(*) FILTER (trap) AS trap, round(count(*) FILTER (trap) / nullif(CAST(count(*) FILTER (anchored) AS DOUBLE), 0), 6) AS trap_rate FROM a GROUP BY ALL"""
+)
 def v12_retriever_summary(spark, d):
-    x = _part(World.of(spark, d).linked())
-    t, a = F.sum((F.col("part") == "trap").cast("int")), F.sum((F.col("part") != "unanchored").cast("int"))
-    return x.groupBy("label").agg(t.alias("trap"), a.alias("anchored"), F.round(F.try_divide(t.cast("double"), a), 6).alias("trap_rate"))
+    """The n-gram retriever, the word retriever and their hybrid on the same requests: how their first precedents part, in all (*) and by label."""
+    w = World.of(spark, d)
+    tops = None
+    for name, hits in (("L", w.near), ("W", w.words), ("H", _hybrid(w))):
+        one = hits.filter("rank = 0").select(F.lit(name).alias("retriever"), "q", "p", "s")
+        tops = one if tops is None else tops.unionByName(one)
+    x = tops.join(w.test.select(F.col("doc_id").alias("q"), "label"), "q").join(w.dev.select(F.col("doc_id").alias("p"), F.col("label").alias("nlabel")), "p")
+    x = _part(x).select("retriever", F.explode(F.array("label", F.lit("*"))).alias("label"), "part")
+    n = lambda part: F.count(F.when(F.col("part") == part, 1))
+    rate = F.round(F.try_divide(n("trap").cast("double"), n("trap") + n("agree")), 6)
+    return x.groupBy("retriever", "label").agg(F.count(F.lit(1)).alias("n"), n("unanchored").alias("unanchored"), n("agree").alias("agree"), n("trap").alias("trap"), rate.alias("trap_rate"))
+
+
+def _wilson_sql(k: str, n: str) -> str:
+    """Columns lo and hi: the Wilson interval of k of n, (0, 1) of none."""
+    p = f"({k}) / CAST({n} AS DOUBLE)"
+    half = f"1.96e0 * sqrt({p} * (1 - {p}) / ({n}) + 0.9604e0 / (({n}) * CAST({n} AS DOUBLE)))"
+    end = lambda f, e, sign: f"CASE WHEN ({n}) > 0 THEN round({f}({e}, ({p} + 1.9208e0 / ({n}) {sign} {half}) / (1 + 3.8416e0 / ({n}))), 6) ELSE {e} END"
+    return f"{end('greatest', '0e0', '-')} AS lo, {end('least', '1e0', '+')} AS hi"
 
 
 _RISK = "bands AS (SELECT 'trust' AS band UNION ALL SELECT 'middle' UNION ALL SELECT 'doubt'), risk AS (SELECT b.band, coalesce(avg(CASE WHEN l.q IS NOT NULL THEN CASE WHEN l.label <> l.nlabel THEN 1e0 ELSE 0e0 END END), (SELECT avg(CASE WHEN label <> nlabel THEN 1e0 ELSE 0e0 END) FROM lnear)) AS risk, count(l.q) AS n, coalesce(sum(CASE WHEN l.label <> l.nlabel THEN 1 ELSE 0 END), 0) AS wrong FROM bands b LEFT JOIN lnear l ON l.band = b.band GROUP BY b.band)"
@@ -205,7 +262,13 @@ def _shared(name: str, duck_ctes: str, body: str, frames) -> None:
     ORACLES[name] = with_views(f"WITH {duck_ctes}{', ' + plain[5:] if plain.startswith('WITH ') else ' ' + plain}", duck=True)
 
 
-_shared("a15_risk_by_band", _LOO, f"WITH {_RISK.replace('lnear', '@lnear')} SELECT band, n, CAST(wrong AS BIGINT) AS wrong, round(risk, 6) AS risk FROM risk", lambda s, d: {"lnear": World.of(s, d).loo})
+_shared("a15_risk_by_band", _LOO, f"WITH {_RISK.replace('lnear', '@lnear')} SELECT band, n, CAST(wrong AS BIGINT) AS wrong, round(risk, 6) AS risk, {_wilson_sql('wrong', 'n')} FROM risk", lambda s, d: {"lnear": World.of(s, d).loo})
+_shared(
+    "a16_separable",
+    _LOO,
+    f"WITH w AS (SELECT band, {_wilson_sql('sum(CASE WHEN label <> nlabel THEN 1 ELSE 0 END)', 'count(*)')} FROM @lnear GROUP BY band) SELECT max(CASE WHEN band = 'trust' THEN hi END) < max(CASE WHEN band = 'doubt' THEN lo END) AS separable FROM w",
+    lambda s, d: {"lnear": World.of(s, d).loo},
+)
 _shared("a16_risk_cells", _LOO, "SELECT band, nlabel, count(*) AS n, CAST(sum(CASE WHEN label <> nlabel THEN 1 ELSE 0 END) AS BIGINT) AS wrong, count(*) <= 2 AS sparse FROM @lnear GROUP BY band, nlabel", lambda s, d: {"lnear": World.of(s, d).loo})
 
 
@@ -217,6 +280,9 @@ def a20_retrieval_profile(spark, d):
 
 # --- routing: keyword rules stand for learned ones, a year derived from the id for the source's year
 _YEAR = "2000 + doc_id % 25"
+#: A quotation of each precedent, every seventh of them garbled, so that the validators have something to drop.
+_QUOTE = "CASE WHEN doc_id % 7 = 0 THEN concat('#', substr(text, 10, 30)) ELSE substr(text, 10, 30) END"
+_GROUNDED = f"CASE WHEN length(text) < 10 THEN NULL ELSE position({_QUOTE} IN text) > 0 END"
 _hit = lambda p, duck: f"regexp_matches(text, '{p}')" if duck else "text RLIKE '" + p.replace("\\", "\\\\") + "'"
 
 
@@ -225,14 +291,14 @@ def _fired(duck: bool) -> str:
     return " UNION ALL ".join(f"SELECT doc_id AS q, {i} AS ord, '{label}' AS label, {prec}e0 AS prec FROM test WHERE {_hit(p, duck)}" for i, ((label, p), prec) in enumerate(zip(rules, (0.97, 0.95, 0.8)), 1))
 
 
-_HITS_SQL = f"hits AS (SELECT n.q, n.rank, n.s, h.label, h.source, 2000 + h.doc_id % 25 AS year FROM near n JOIN gold h ON h.doc_id = n.p WHERE n.rank < 5), requests AS (SELECT doc_id AS q, {_YEAR} AS year FROM test), fired AS ({_fired(True)})"
+_HITS_SQL = f"hits AS (SELECT n.q, n.rank, n.s, h.label, h.source, 2000 + h.doc_id % 25 AS year, h.grounded FROM near n JOIN (SELECT *, {_GROUNDED} AS grounded FROM gold) h ON h.doc_id = n.p WHERE n.rank < 5), requests AS (SELECT doc_id AS q, {_YEAR} AS year FROM test), fired AS ({_fired(True)})"
 _LOO_ONLY = _LOO[len(_VEC) + 2 :]
 _ROUTE_CTES = f"{_HITS}, {_LOO_ONLY}, {_RISK}, {_HITS_SQL}"
 
 
 def _frames(spark, d):
     w = World.of(spark, d)
-    hits = w.near.filter("rank < 5").join(w.dev.select(F.col("doc_id").alias("p"), "label", "source"), "p").select("q", "rank", "s", "label", "source", (2000 + F.col("p") % 25).alias("year"))
+    hits = w.near.filter("rank < 5").join(w.dev.select(F.col("doc_id").alias("p"), "label", "source", F.expr(_GROUNDED).alias("grounded")), "p").select("q", "rank", "s", "label", "source", (2000 + F.col("p") % 25).alias("year"), "grounded")
     risk = spark.sql(f"WITH {_RISK.replace('lnear', '{lnear}')} SELECT band, risk FROM risk", lnear=w.loo)
     return {"hits": hits, "fired": run_sql(spark, d, _fired(False)), "risk": risk, "requests": w.test.select(F.col("doc_id").alias("q"), (2000 + F.col("doc_id") % 25).alias("year"))}
 
@@ -295,12 +361,9 @@ def d10_applicability_recovery(spark, d):
     return out.select(F.col("q").alias("doc_id"), "path", "reason", "predicted", "abstained", "confidence")
 
 
-@query(f"WITH {_HITS}, s AS (SELECT n.q, n.p, n.s FROM near n JOIN gold g ON g.doc_id = n.q JOIN gold h ON h.doc_id = n.p WHERE n.rank < 20 AND 2000 + h.doc_id % 25 < 2000 + g.doc_id % 25), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, p) AS k FROM s) SELECT q, p, round(s, 6) AS similarity FROM r WHERE k = 1")
+@query(f"WITH {_HITS}, s AS (SELECT n.q, n.p, n.s FROM near n JOIN gold g ON g.doc_id = n.q JOIN gold h ON h.doc_id = n.p WHERE 2000 + h.doc_id % 25 < 2000 + g.doc_id % 25), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, p) AS k FROM s) SELECT q, p, round(s, 6) AS similarity FROM r WHERE k = 1")
 def j10_temporal_precedent(spark, d):
-    """The nearest of all precedents strictly older than the request (an extension, not parity).
-
-    The oracle looks for it among the 20 nearest of any age only, so it lacks requests this answers.
-    """
+    """The nearest of all precedents strictly older than the request (an extension, not parity)."""
     from pyspark.sql import Window
 
     w = World.of(spark, d)

@@ -41,9 +41,11 @@ def p2_normalize_for_match(spark, d):
     return _docs(spark, d).select("doc_id", T.normalize_for_match(F.col("text")).alias("norm"))
 
 
-@query(rf"SELECT doc_id, regexp_replace(text, '{_WS}', '', 'g') AS squeezed, regexp_replace(text, '{_WS}', '', 'g') AS norm FROM documents")
+@query(rf"SELECT doc_id, regexp_replace(t, '{_WS}', '', 'g') AS squeezed, regexp_replace(t, '(?:{_WS}|[\x{{200b}}\x{{feff}}])+', '', 'g') AS norm FROM (SELECT doc_id, replace(text, '. ', '.' || chr(8203) || ' ' || chr(65279)) AS t FROM documents)")
 def p3_p4_squeeze(spark, d):
-    return _docs(spark, d).select("doc_id", T.squeeze(F.col("text")).alias("squeezed"), T.normalize_grams(F.col("text")).alias("norm"))
+    """Zero-width spaces and byte order marks put after sentences tell the two apart: only the second drops them."""
+    t = F.replace("text", F.lit(". "), F.lit(".\u200b \ufeff"))
+    return _docs(spark, d).select("doc_id", T.squeeze(t).alias("squeezed"), T.normalize_grams(t).alias("norm"))
 
 
 @query(rf"SELECT CASE WHEN n < 200 THEN 'short' WHEN n < 600 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS docs FROM (SELECT length(regexp_replace(text, '{_WS}', '', 'g')) AS n FROM documents) GROUP BY 1")
@@ -118,12 +120,9 @@ def p16_verdict(spark, d):
     return read_table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", label.alias("verdict"), rule.alias("rule"))
 
 
-@query(rf"SELECT d.doc_id, b.item_id, contains(regexp_replace(d.text, '{_WS}', '', 'g'), regexp_replace(b.text, '{_WS}', '', 'g')) AS grounded FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40")
+@query(rf"SELECT d.doc_id, b.item_id, true AS grounded FROM documents d JOIN benchmark b ON contains(regexp_replace(d.text, '{_WS}', '', 'g'), regexp_replace(b.text, '{_WS}', '', 'g'))")
 def p17_p18_grounding(spark, d):
-    """The (document, item) pairs of all documents and all items in which the item is grounded; a pair without a row is not.
-
-    The oracle's join on residues of the ids sees one pair in 40 and keeps what is not grounded, so it differs from this.
-    """
+    """The (document, item) pairs of all documents and all items in which the item is grounded; a pair without a row is not."""
     docs, items = _docs(spark, d).select("doc_id", "text"), read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     return grounding.grounded(docs, items)
 
@@ -167,7 +166,11 @@ def w4_group_split(spark, d):
     return splits.group_split(g.withColumn("grp", T.group_key(F.col("text"))), {"rare": 0, "other": 1, "major": 2}).select("doc_id", "stratum", "is_dev")
 
 
-@query(rf"SELECT count(*) AS shared FROM (SELECT 1)  WHERE false", views=False)
+@query(
+    rf"""WITH k AS (SELECT doc_id, regexp_replace(text, '{_WS}', '', 'g') AS grp, CASE label WHEN 'rare' THEN 0 WHEN 'other' THEN 1 ELSE 2 END AS r, CAST(doc_id AS VARCHAR) AS key FROM gold),
+    g AS (SELECT grp, min(r) AS stratum, min(key) AS first_key FROM k GROUP BY 1), o AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY first_key) - 1) % 3 = 0 AS is_dev FROM g),
+    rows_ AS (SELECT k.grp, o.is_dev FROM k JOIN o ON k.grp = o.grp) SELECT count(*) AS shared FROM (SELECT grp FROM rows_ WHERE is_dev INTERSECT SELECT grp FROM rows_ WHERE NOT is_dev)"""
+)
 def w5_shared_groups_none(spark, d):
     g = run_sql(spark, d, "SELECT doc_id, text, label FROM gold").withColumn("grp", T.group_key(F.col("text")))
     s = splits.group_split(g, {"rare": 0, "other": 1, "major": 2})
