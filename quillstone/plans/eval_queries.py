@@ -43,12 +43,19 @@ both(
 )
 both("j2_common_keys", "SELECT doc_id, count(DISTINCT model) AS models FROM pred GROUP BY doc_id HAVING count(DISTINCT model) = 3")
 both("j3_semi_dev", "SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM dev)")
-both("j6_lookup", "SELECT g.doc_id, coalesce(b.risk, 0.5) AS risk FROM gold g LEFT JOIN (SELECT 'en' AS lang, 0.1 AS risk UNION ALL SELECT 'fr', 0.2) b ON g.lang = b.lang")
+both(
+    "j6_lookup",
+    """WITH v AS (SELECT event_id, CASE WHEN value >= 0.6 THEN 'trust' WHEN value >= 0.15 THEN 'middle' ELSE 'doubt' END AS band, event_type = 'purchase' AS wrong FROM events),
+    risk AS (SELECT band, avg(CASE WHEN wrong THEN 1e0 ELSE 0e0 END) AS risk FROM v WHERE band <> 'doubt' GROUP BY band), overall AS (SELECT avg(CASE WHEN wrong THEN 1e0 ELSE 0e0 END) AS risk FROM v)
+    SELECT v.event_id, v.band, round(coalesce(r.risk, o.risk), 6) AS risk FROM v CROSS JOIN overall o LEFT JOIN risk r ON v.band = r.band""",
+)
 both(
     "j9_w16_integrity",
     """SELECT (SELECT count(*) FROM dev WHERE doc_id IN (SELECT doc_id FROM test)) AS overlap, (SELECT count(*) FROM (SELECT doc_id FROM dev UNION SELECT doc_id FROM test) u) AS together,
     (SELECT count(*) FROM (SELECT doc_id FROM gold EXCEPT (SELECT doc_id FROM dev UNION SELECT doc_id FROM test)) x) AS lost, (SELECT count(*) FROM (SELECT text FROM gold GROUP BY text HAVING count(*) > 1) c) AS shared_texts,
-    (SELECT count(*) FROM gold WHERE text IS NULL OR text = '') AS empty_texts""",
+    (SELECT count(*) FROM gold WHERE text IS NULL OR text = '') AS empty_texts, (SELECT count(*) - count(DISTINCT doc_id) FROM gold) AS duplicate_rows,
+    (SELECT count(*) FROM (SELECT lang, source, length(text) AS n FROM test GROUP BY lang, source, length(text) HAVING count(*) > 1) c) AS triple_collisions, (SELECT count(*) FROM test WHERE text LIKE '%idiot%' OR text LIKE '%stupid%') AS masked_rows,
+    (SELECT count(*) FROM (SELECT doc_id FROM dev INTERSECT SELECT doc_id FROM test) x) AS seen_in_both""",
 )
 both(
     "a1_base_rates",
@@ -154,12 +161,30 @@ def w8_w14_holm(spark, d):
     return stats.holm(c, "tail", "source").select("source", "n", "k", F.round("tail", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
 
 
-both(
-    "w17_validity",
-    f"""WITH g AS (SELECT count(*) AS total FROM gold), r AS (SELECT label, count(*) / CAST((SELECT total FROM g) AS DOUBLE) AS share FROM gold GROUP BY label),
-    s AS (SELECT model, label, count(*) AS n FROM scored GROUP BY model, label), t AS (SELECT model, sum(n) AS n FROM s GROUP BY model)
-    SELECT s.model, s.label, CAST(t.n AS BIGINT) AS sample, CAST(t.n AS BIGINT) < (SELECT total FROM g) AS partial_, round(s.n / (t.n * r.share), 6) AS ratio, t.n * r.share >= 1 AND (s.n / (t.n * r.share) >= 1.5 OR s.n / (t.n * r.share) <= 0.67) AS skewed FROM s JOIN t ON s.model = t.model JOIN r ON s.label = r.label""",
-)
+_REACH = """WITH g AS (SELECT count(*) AS total FROM gold), r AS (SELECT label, count(*) / CAST((SELECT total FROM g) AS DOUBLE) AS share FROM gold GROUP BY label), m AS (SELECT model, count(*) AS n, sum(CASE WHEN label = predicted THEN 1 ELSE 0 END) AS k FROM scored GROUP BY model),
+  s AS (SELECT model, label, count(*) AS n FROM scored GROUP BY model, label), e AS (SELECT m.model, r.label, m.n * r.share AS expected, coalesce(s.n, 0) AS n FROM m CROSS JOIN r LEFT JOIN s ON s.model = m.model AND s.label = r.label),
+  sk AS (SELECT model, count(CASE WHEN expected >= 1 AND (n / expected >= 1.5 OR n / expected <= 0.67) THEN 1 END) AS skewed FROM e GROUP BY model)"""
+
+
+@query(
+    f"""{_REACH}, t AS (SELECT model, n AS denominator, CAST(unnest(range(0, n + 1)) AS DOUBLE) AS h, CAST(n AS DOUBLE) AS n FROM m), w AS (SELECT model, h, {_WILSON} FROM t),
+    v AS (SELECT model, count(*) FILTER (lo > 0.7) > 0 AS can_exceed, count(*) FILTER (hi < 0.7) > 0 AS can_fall_short FROM w GROUP BY model),
+    o AS (SELECT model, CAST(k AS DOUBLE) AS h, CAST(n AS DOUBLE) AS n FROM m), own AS (SELECT model, {_WILSON} FROM o)
+    SELECT m.model, m.n AS sample, m.n < (SELECT total FROM g) AS partial_, sk.skewed, v.can_exceed, v.can_fall_short,
+      CASE WHEN m.n < (SELECT total FROM g) OR sk.skewed > 0 OR NOT (v.can_exceed OR v.can_fall_short) THEN 'invalid' WHEN own.lo > 0.7 THEN 'above' WHEN own.hi < 0.7 THEN 'below' ELSE 'undecided' END AS verdict
+    FROM m JOIN sk USING (model) JOIN v USING (model) JOIN own USING (model)"""
+)
+def w17_validity(spark, d):
+    """Whether each model's accuracy may be judged against 0.7 at all: a whole sample, like its population, whose size allows a verdict.
+
+    The lower bound rises and the upper bound falls with the hits, so the ends 0 and n say which verdicts any number of hits could reach.
+    """
+    rows = run_sql(spark, d, _REACH + " SELECT m.model, m.n, CAST(m.k AS BIGINT) AS k, (SELECT total FROM g) AS total, sk.skewed FROM m JOIN sk ON m.model = sk.model")
+    lo, hi = stats.wilson(F.col("k"), F.col("n"))
+    up, down = stats.wilson(F.col("n"), F.col("n"))[0] > 0.7, stats.wilson(F.lit(0), F.col("n"))[1] < 0.7
+    bad = (F.col("n") < F.col("total")) | (F.col("skewed") > 0) | ~(up | down)
+    return rows.select("model", F.col("n").alias("sample"), (F.col("n") < F.col("total")).alias("partial_"), "skewed", up.alias("can_exceed"), down.alias("can_fall_short"), F.when(bad, "invalid").otherwise(stats.verdict_against(lo, hi, 0.7)).alias("verdict"))
+
 
 # --- resampling: draws are a fixed mix of (round, draw), so both engines and all models see the same ones
 MODELS, LABELS = ["keyword", "length", "majority"], ["major", "other", "rare"]

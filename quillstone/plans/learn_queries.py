@@ -50,6 +50,14 @@ def r1_r9_a21_induced_rules(spark, d):
     return R.apply_rules(rules, default, s.filter("pos % 3 <> 0"))
 
 
+@query()
+def r9_a21_rule_transfer(spark, d):
+    """Each rule learned on dev as it fares on test, first match wins; rules that never fire, the default and the whole list in rows of their own."""
+    s = cut(run_sql(spark, d, "SELECT doc_id, text, source, label, pos FROM split"))
+    rules, default = R.induce(s.filter("pos % 3 = 0"))
+    return R.transfer(rules, default, s.filter("pos % 3 <> 0"))
+
+
 @query()
 def r4_maximal_forms(spark, d):
     """The n-grams of a rule list learned on dev and the phrases they are pieces of."""

@@ -272,10 +272,15 @@ _shared(
 _shared("a16_risk_cells", _LOO, "SELECT band, nlabel, count(*) AS n, CAST(sum(CASE WHEN label <> nlabel THEN 1 ELSE 0 END) AS BIGINT) AS wrong, count(*) <= 2 AS sparse FROM @lnear GROUP BY band, nlabel", lambda s, d: {"lnear": World.of(s, d).loo})
 
 
-@query(_LINK + " SELECT part, CASE WHEN s >= 0.6 THEN 'trust' WHEN s >= 0.15 THEN 'middle' ELSE 'doubt' END AS band, label, source, count(*) AS n FROM link GROUP BY ALL")
+_BY = "SELECT 'label' AS kind, label AS value, part FROM {t} UNION ALL SELECT 'year', CAST(2000 + q % 25 AS STRING), part FROM {t} UNION ALL SELECT 'source', source, part FROM {t} UNION ALL SELECT 'band', CASE WHEN s >= 0.6 THEN 'trust' WHEN s >= 0.15 THEN 'middle' ELSE 'doubt' END, part FROM {t}"
+_PROFILE = f"SELECT kind, value, count(*) AS n, count(CASE WHEN part = 'agree' THEN 1 END) AS agree, count(CASE WHEN part = 'trap' THEN 1 END) AS trap, count(CASE WHEN part = 'unanchored' THEN 1 END) AS unanchored, {_wilson_sql("count(CASE WHEN part = 'trap' THEN 1 END)", "count(CASE WHEN part <> 'unanchored' THEN 1 END)")} FROM by_ GROUP BY kind, value"
+
+
+@query(_LINK + f", by_ AS ({_BY.format(t='link').replace('AS STRING', 'AS VARCHAR')}) {_PROFILE}")
 def a20_retrieval_profile(spark, d):
-    x = _part(World.of(spark, d).linked())
-    return x.groupBy("part", T.similarity_band(F.col("s")).alias("band"), "label", "source").agg(F.count(F.lit(1)).alias("n"))
+    """How first precedents part by label, year, source and band, and the interval of the trap share among anchored ones."""
+    link = _part(World.of(spark, d).linked())
+    return spark.sql(f"WITH by_ AS ({_BY.format(t='{link}')}) {_PROFILE}", link=link)
 
 
 # --- routing: keyword rules stand for learned ones, a year derived from the id for the source's year
@@ -322,11 +327,13 @@ def a22_router_profile(spark, d):
     return _routed(spark, d).groupBy("path", "reason", "label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("predicted") == F.col("label")).cast("int")).alias("would_be_correct"))
 
 
-@query(_OUT + " SELECT part, CAST(sum(CASE WHEN NOT abstained AND predicted = label THEN 1 ELSE 0 END) AS BIGINT) AS correct, CAST(sum(CASE WHEN NOT abstained AND predicted <> label THEN 1 ELSE 0 END) AS BIGINT) AS wrong, CAST(sum(CASE WHEN abstained THEN 1 ELSE 0 END) AS BIGINT) AS abstained FROM routed_ GROUP BY part")
+_TRAPS = f"SELECT part, count(CASE WHEN NOT abstained AND predicted = label THEN 1 END) AS correct, count(CASE WHEN NOT abstained AND predicted <> label THEN 1 END) AS wrong, count(CASE WHEN abstained THEN 1 END) AS abstained, {_wilson_sql("count(CASE WHEN NOT abstained AND predicted <> label THEN 1 END)", "count(CASE WHEN NOT abstained THEN 1 END)")} FROM {{t}} GROUP BY part"
+
+
+@query(_OUT + " " + _TRAPS.format(t="routed_"))
 def a23_trap_breakdown(spark, d):
-    ok = F.col("predicted") == F.col("label")
-    n = lambda c: F.sum(c.cast("int"))
-    return _routed(spark, d).groupBy("part").agg(n(~F.col("abstained") & ok).alias("correct"), n(~F.col("abstained") & ~ok).alias("wrong"), n(F.col("abstained")).alias("abstained"))
+    """Answers by partition, and the interval of the share that is wrong."""
+    return spark.sql(_TRAPS.format(t="{routed}"), routed=_routed(spark, d))
 
 
 @query(_OUT + " SELECT q AS doc_id, path, reason, predicted, part FROM routed_ WHERE label = 'rare'")
@@ -334,10 +341,17 @@ def a24_rare_trace(spark, d):
     return _routed(spark, d).filter("label = 'rare'").select(F.col("q").alias("doc_id"), "path", "reason", "predicted", "part")
 
 
-@query(_OUT + " SELECT coalesce(abstain_reason, 'answered') AS reason, count(*) AS n, round(avg(CASE WHEN predicted = label THEN 1e0 ELSE 0e0 END), 6) AS accuracy, round(avg(CASE WHEN predicted <> label THEN 1e0 ELSE 0e0 END), 6) AS rightly_withheld FROM routed_ GROUP BY 1")
+_SCORE = f"""ans AS (SELECT label, decision FROM {{t}} WHERE NOT abstained), l3 AS (SELECT 'major' AS l UNION ALL SELECT 'other' UNION ALL SELECT 'rare'),
+  cl AS (SELECT l, sum(CASE WHEN label = l AND decision = l THEN 1e0 ELSE 0e0 END) AS tp, sum(CASE WHEN label <> l AND decision = l THEN 1e0 ELSE 0e0 END) AS fp, sum(CASE WHEN label = l AND decision <> l THEN 1e0 ELSE 0e0 END) AS fn FROM ans CROSS JOIN l3 GROUP BY l),
+  f AS (SELECT avg(CASE WHEN tp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END) AS f1 FROM cl), w AS (SELECT count(CASE WHEN abstained THEN 1 END) AS withheld, count(CASE WHEN abstained AND predicted <> label THEN 1 END) AS rightly FROM {{t}})"""
+_SCORED = f"""SELECT coalesce(abstain_reason, 'answered') AS reason, count(*) AS n, round(avg(CASE WHEN predicted = label THEN 1e0 ELSE 0e0 END), 6) AS accuracy, round(max(f.f1), 6) AS macro_f1_answered,
+  round(max(w.withheld) / CAST((SELECT count(*) FROM {{t}}) AS DOUBLE), 6) AS withheld_share, {_wilson_sql("max(w.rightly)", "max(w.withheld)")} FROM {{t}} CROSS JOIN f CROSS JOIN w GROUP BY 1"""
+
+
+@query(_OUT + f", {_SCORE.format(t='routed_')} {_SCORED.format(t='routed_')}")
 def a25_a26_workflow_score(spark, d):
-    ok = (F.col("predicted") == F.col("label")).cast("double")
-    return _routed(spark, d).groupBy(F.coalesce("abstain_reason", F.lit("answered")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok), 6).alias("accuracy"), F.round(F.avg(1 - ok), 6).alias("rightly_withheld"))
+    """Outcomes by reason; macro-F1 of the answered; the share withheld, and the interval of the share of it that would have been wrong."""
+    return spark.sql(f"WITH {_SCORE.format(t='{routed}')} {_SCORED.format(t='{routed}')}", routed=_routed(spark, d))
 
 
 @query(_OUT + " SELECT q AS doc_id, CASE WHEN confidence = 'high' THEN decision END AS decision, confidence <> 'high' OR decision IS NULL AS abstained FROM routed_")
