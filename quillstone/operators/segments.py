@@ -3,18 +3,76 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from itertools import combinations_with_replacement
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import control_squeeze, squeeze
 
 
-def healthy(df: DataFrame, text: str, least: float = 0.8) -> DataFrame:
-    """df with healthy: whether the share of readable characters reaches the limit."""
-    readable = F.length(F.regexp_replace(text, "[^\\x20-\\x7e\\x{a0}-\\x{ffff}\\n\\t]", ""))
-    return df.withColumn("healthy", F.try_divide(readable, F.length(text)) >= least)
+# How far extraction looks to tell a readable text, a text that lost its spaces, a case's decision and a divider page.
+HEALTH_CHARS, SPACING_CHARS, DECISION_CHARS, DIVIDER_CHARS = 20_000, 4000, 200, 90
+
+
+def healthy(df: DataFrame, text: str, least: float = 0.8, chars: int = HEALTH_CHARS) -> DataFrame:
+    """df with healthy: whether the share of readable characters among the first ones reaches the limit; this gate reads no further by definition."""
+    head = F.substring(text, 1, chars)
+    readable = F.length(F.regexp_replace(head, "[^\\x20-\\x7e\\x{a0}-\\x{ffff}\\n\\t]", ""))
+    return df.withColumn("healthy", F.try_divide(readable, F.length(head)) >= least)
+
+
+@F.pandas_udf("string")
+def composed(name: pd.Series) -> pd.Series:
+    """Names with combining characters composed (NFC), as file systems that decompose them need; null stays null."""
+    return name.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def divider(text: Column, patterns: list[str], chars: int = DIVIDER_CHARS) -> Column:
+    """The title a page divides sections by: the page is that short, without its blanks, and a pattern is in it; else null."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when((F.char_length(flat) <= chars) & flat.rlike("|".join(patterns)), flat)
+
+
+def case_fields(part: Column, serial: str, decisions: list[str], chars: int = DECISION_CHARS) -> tuple[Column, Column, Column, Column]:
+    """(serial, decisions, label, warnings) of a segment: the serial's first match, the distinct decisions in its head in order, the label if there is one only."""
+    number = F.nullif(F.regexp_extract(part, serial, 1), F.lit(""))
+    said = F.array_distinct(F.regexp_extract_all(F.substring(part, 1, chars), F.lit(f"({'|'.join(decisions)})"), F.lit(1)))
+    label = F.when(F.size(said) == 1, said[0])
+    warnings = F.array_compact(F.array(F.when(number.isNull(), "no_serial"), F.when(F.size(said) == 0, "no_decision"), F.when(F.size(said) > 1, "several_decisions")))
+    return number, said, label, warnings
+
+
+def extraction_report(cases: DataFrame) -> DataFrame:
+    """(kind, value, n): cases by label and by warning, and serials that occur more than once, from (label, serial, warnings)."""
+    rows = [cases.select(F.lit("label").alias("kind"), F.coalesce("label", F.lit("none")).alias("value")), cases.select(F.lit("warning"), F.explode("warnings"))]
+    out = rows[0].union(rows[1]).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    twice = cases.filter("serial is not null").groupBy("serial").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out.union(twice.select(F.lit("duplicate_serial"), "serial", "n"))
+
+
+def fill_rates(rows: DataFrame, source: str, fields: list[str]) -> DataFrame:
+    """(source, field, rate): the share of a source's rows in which each field says something, to four places."""
+    filled = [F.round(F.avg((F.length(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) > 0).cast("double")), 4).alias(c) for c in fields]
+    return rows.groupBy(source).agg(*filled).unpivot(source, fields, "field", "rate")
+
+
+def mark_histogram(rows: DataFrame, source: str, text: str, marks: str) -> DataFrame:
+    """(source, pattern, n): how often each sequence of check marks, as it stands in a row, occurs in a source; rows without any are left out."""
+    seen = F.array_join(F.regexp_extract_all(F.col(text), F.lit(f"([{marks}])"), F.lit(1)), "")
+    return rows.select(source, seen.alias("pattern")).filter("pattern <> ''").groupBy(source, "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_recon(pages: DataFrame, html: str, least: int = 5) -> DataFrame:
+    """(kind, value, n): tags, class tokens used at least so often, link targets' first path parts, and pages with tables and forms."""
+    found = lambda kind, pattern: pages.select(F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("value"))
+    classes = found("class", 'class="([^"]*)"').select("kind", F.explode(F.split("value", " +")).alias("value"))
+    rows = found("tag", "<([a-z0-9]+)").union(classes).union(found("link", '<a [^>]*href="/([A-Za-z]*)')).filter("value <> ''")
+    counts = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).filter((F.col("kind") != "class") | (F.col("n") >= least))
+    have = pages.agg(*[F.sum(F.contains(html, F.lit(f"<{t}")).cast("long")).alias(t) for t in ("table", "form")]).unpivot([], ["table", "form"], "value", "n")
+    return counts.union(have.select(F.lit("pages_with"), "value", "n"))
 
 
 def offsets(pages: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -47,8 +105,10 @@ def slices(df: DataFrame, text: str, header: str) -> DataFrame:
     return df.select("*", F.posexplode(F.split(text, header, -1)).alias("pos", "part")).filter("pos > 0")
 
 
-def spacing_lost(text: Column, not_letter: str) -> Column:
-    letters, blanks = F.length(F.regexp_replace(text, not_letter, "")), F.length(F.regexp_replace(text, "[^ ]", ""))
+def spacing_lost(text: Column, not_letter: str = "[^가-힣]", chars: int = SPACING_CHARS) -> Column:
+    """Whether a text lost its spaces in extraction: of its first characters at least 200 are letters, and blanks are less than a twentieth of those."""
+    head = F.substring(text, 1, chars)
+    letters, blanks = F.length(F.regexp_replace(head, not_letter, "")), F.length(F.regexp_replace(head, "[^ ]", ""))
     return (letters >= 200) & (blanks < 0.05 * letters)
 
 

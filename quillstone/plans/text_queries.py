@@ -85,12 +85,18 @@ def p11_gold_clean(spark, d):
     return run_sql(spark, d, "SELECT doc_id, text FROM gold").select("doc_id", T.clean_gold(F.col("text")).alias("request"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT doc_id AS id, string_split(replace(text, chr(10), ' '), '. ') AS parts FROM documents), n AS (SELECT id, parts, least(3, len(parts)) AS n FROM s)
+    SELECT id, num, part FROM (SELECT id, CAST(i AS INT) AS num, trim(['①', '②', '③'][i] || ' ' || parts[i]) AS part FROM (SELECT id, parts, unnest(range(1, n + 1)) AS i FROM n WHERE n >= 2)) UNION ALL SELECT id, NULL, NULL FROM n WHERE n < 2"""
+)
 def p12_p13_marks(spark, d):
-    rows = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
-    rows = rows.withColumn("marks", T.sequence_marks(F.col("text")))
-    parts = rows.select("id", F.explode_outer(T.slice_by_marks(F.col("text"), F.col("marks"))).alias("p"))
-    return parts.select("id", F.col("p.num").alias("num"), F.col("p.part").alias("part"))
+    """The first three sentences of each document under enumeration marks, found again as a rising chain and sliced; one mark is no chain."""
+    parts = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1), 1, 3)
+    marks = F.array(*[F.lit(x) for x in "①②③"])
+    body = F.array_join(F.transform(parts, lambda p, i: F.concat(F.element_at(marks, i + 1), F.lit(" "), p)), " ")
+    rows = _docs(spark, d).select(F.col("doc_id").alias("id"), body.alias("text")).withColumn("marks", T.sequence_marks(F.col("text")))
+    found = rows.select("id", F.explode_outer(T.slice_by_marks(F.col("text"), F.col("marks"))).alias("p"))
+    return found.select("id", F.col("p.num").alias("num"), F.col("p.part").alias("part"))
 
 
 @query("SELECT g.doc_id, p.predicted, p.confidence FROM gold g JOIN pred p ON g.doc_id = p.doc_id WHERE p.model = 'keyword'")
@@ -189,7 +195,13 @@ def w6_stratified_sample(spark, d):
 # --- sources and segments
 
 
-@query("SELECT page_id, length(html) AS n, length(regexp_replace(html, '[^\\x20-\\x7e\\x{a0}-\\x{ffff}\\n\\t]', '', 'g')) / length(html) >= 0.8 AS healthy FROM pages")
+@query("SELECT page_id, nfc_normalize(replace(url, 'e', 'e' || chr(769))) AS name FROM pages")
+def s5_composed_names(spark, d):
+    """File names with decomposed accents, made from the pages' addresses, composed again."""
+    return read_table(spark, d, "pages").select("page_id", segments.composed(F.replace("url", F.lit("e"), F.lit("e\u0301"))).alias("name"))
+
+
+@query("SELECT page_id, length(html) AS n, length(regexp_replace(substr(html, 1, 20000), '[^\\x20-\\x7e\\x{a0}-\\x{ffff}\\n\\t]', '', 'g')) / length(substr(html, 1, 20000)) >= 0.8 AS healthy FROM pages")
 def s5_health(spark, d):
     return segments.healthy(read_table(spark, d, "pages"), "html").select("page_id", F.length("html").cast("long").alias("n"), "healthy")
 
@@ -219,18 +231,68 @@ def s7_divider_fill(spark, d):
     return segments.fill_sections(e, "user_id", ["ts", "event_id"], major, minor).select("event_id", "section", "subsection")
 
 
+_DIVIDES = {"major": "^[A-Z][a-z]+ [a-z]+", "minor": "^[A-Z][a-z]+[.]"}
+
+
+@query(
+    r"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations), m AS (SELECT *, CASE WHEN length(t) <= 90 AND regexp_matches(t, '^[A-Z][a-z]+ [a-z]+') THEN t END AS major, CASE WHEN length(t) <= 90 AND regexp_matches(t, '^[A-Z][a-z]+[.]') THEN t END AS minor FROM p),
+    f AS (SELECT *, last_value(major IGNORE NULLS) OVER w AS section, count(major) OVER w AS part FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, section, last_value(minor IGNORE NULLS) OVER (PARTITION BY conv_id, part ORDER BY turn) AS subsection FROM f"""
+)
+def s7_divider_pages(spark, d):
+    """Turns as pages: short ones that match a pattern head the section or subsection of those after them."""
+    c = read_table(spark, d, "conversations")
+    major, minor = (segments.divider(F.col("text"), [_DIVIDES[k]]) for k in ("major", "minor"))
+    return segments.fill_sections(c, "conv_id", ["turn"], major, minor).select("conv_id", "turn", "section", "subsection")
+
+
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' ELSE lang END AS name FROM documents")
 def s8_alias(spark, d):
     return _docs(spark, d).select("doc_id", segments.canonical(F.col("lang"), {"en": "english", "fr": "french", "de": "german"}).alias("name"))
 
 
+_CASES = r"""p AS (SELECT page_id, regexp_split_to_array(html, '<p[^>]*>') AS parts FROM pages), q AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS part FROM p),
+  b AS (SELECT page_id, CAST(pos AS INT) AS pos, trim(regexp_replace(part, '<[^>]*>', '', 'g'), ' ' || chr(10)) AS body FROM q WHERE pos > 0),
+  c0 AS (SELECT *, nullif(regexp_extract(body, '([A-Z][a-z]{9,})', 1), '') AS serial, regexp_extract_all(substr(body, 1, 200), '(and|the|der|que)', 1) AS every FROM b),
+  c AS (SELECT *, list_sort(list_distinct(every), 'ASC', 'NULLS LAST') AS said FROM c0),
+  cases AS (SELECT *, CASE WHEN len(said) = 1 THEN said[1] END AS label, list_filter([CASE WHEN serial IS NULL THEN 'no_serial' END, CASE WHEN len(said) = 0 THEN 'no_decision' END, CASE WHEN len(said) > 1 THEN 'several_decisions' END], lambda x: x IS NOT NULL) AS warnings FROM c)"""
+
+
+def _cases(spark, d):
+    parts = segments.slices(read_table(spark, d, "pages"), "html", "<p[^>]*>").select("page_id", "pos", F.trim(F.regexp_replace("part", "<[^>]*>", ""), F.lit(" \n")).alias("body"))
+    serial, said, label, warnings = segments.case_fields(F.col("body"), "([A-Z][a-z]{9,})", ["and", "the", "der", "que"])
+    return parts.select("page_id", "pos", "body", serial.alias("serial"), said.alias("said"), label.alias("label"), warnings.alias("warnings"))
+
+
+@query(f"WITH {_CASES} SELECT page_id, pos, body, serial, array_to_string(said, ',') AS decisions, label, array_to_string(warnings, ',') AS warnings FROM cases")
+def s9_s10_segments(spark, d):
+    """Paragraphs of pages as cases, each with a serial, the decisions its head names, a label if it is one, and warnings."""
+    c = _cases(spark, d)
+    return c.select("page_id", "pos", "body", "serial", F.array_join(F.sort_array("said"), ",").alias("decisions"), "label", F.array_join("warnings", ",").alias("warnings"))
+
+
 @query(
-    r"""WITH p AS (SELECT page_id, regexp_split_to_array(html, '<p[^>]*>') AS parts FROM pages),
-    q AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS part FROM p)
-    SELECT page_id, CAST(pos AS INT) AS pos, trim(regexp_replace(part, '<[^>]*>', '', 'g'), ' ' || chr(10)) AS body FROM q WHERE pos > 0"""
+    f"""WITH {_CASES} SELECT 'label' AS kind, coalesce(label, 'none') AS value, count(*) AS n FROM cases GROUP BY 2 UNION ALL SELECT 'warning', w, count(*) FROM (SELECT unnest(warnings) AS w FROM cases) GROUP BY 2
+    UNION ALL SELECT 'duplicate_serial', serial, count(*) FROM cases WHERE serial IS NOT NULL GROUP BY 2 HAVING count(*) > 1"""
 )
-def s9_s10_segments(spark, d):
-    return segments.slices(read_table(spark, d, "pages"), "html", "<p[^>]*>").select("page_id", "pos", F.trim(F.regexp_replace("part", "<[^>]*>", ""), F.lit(" \n")).alias("body"))
+def s14_extraction_report(spark, d):
+    return segments.extraction_report(_cases(spark, d))
+
+
+@query(
+    " UNION ALL ".join(f"SELECT source, '{c}' AS field, round(avg(CASE WHEN length(trim(coalesce(CAST({c} AS VARCHAR), ''))) > 0 THEN 1e0 ELSE 0e0 END), 4) AS rate FROM f GROUP BY source" for c in ("lang", "label", "quality", "toxic", "masked")).join(
+        ["WITH f AS (SELECT d.source, d.lang, CASE WHEN l.toxic = 1 THEN 'rare' ELSE '' END AS label, l.quality, l.toxic, CASE WHEN contains(d.text, '@') THEN 'x' ELSE ' ' END AS masked FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ", ""]
+    )
+)
+def s15_fill_rates(spark, d):
+    rows = _docs(spark, d).join(read_table(spark, d, "labels"), "doc_id", "left")
+    rows = rows.select("source", "lang", F.when(F.col("toxic") == 1, "rare").otherwise("").alias("label"), "quality", "toxic", F.when(F.contains("text", F.lit("@")), "x").otherwise(" ").alias("masked"))
+    return segments.fill_rates(rows, "source", ["lang", "label", "quality", "toxic", "masked"])
+
+
+@query("SELECT source, array_to_string(regexp_extract_all(text, '([#%&$])', 1), '') AS pattern, count(*) AS n FROM documents WHERE regexp_matches(text, '[#%&$]') GROUP BY 1, 2")
+def s15_mark_histogram(spark, d):
+    return segments.mark_histogram(_docs(spark, d), "source", "text", "#%&$")
 
 
 _S12 = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '[\x{{0}}-\x{{9}}\x{{b}}-\x{{1f}}]', '', 'g'), ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
@@ -251,7 +313,7 @@ def s12_control_squeeze(spark, d):
     return _docs(spark, d).select("doc_id", T.control_squeeze(F.col("text")).alias("body"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text, '[^a-z]', '', 'g')) >= 200 AND length(regexp_replace(text, '[^ ]', '', 'g')) < 0.05 * length(regexp_replace(text, '[^a-z]', '', 'g')) AS lost FROM documents")
+@query(r"SELECT doc_id, length(regexp_replace(t, '[^a-z]', '', 'g')) >= 200 AND length(regexp_replace(t, '[^ ]', '', 'g')) < 0.05 * length(regexp_replace(t, '[^a-z]', '', 'g')) AS lost FROM (SELECT doc_id, substr(text, 1, 4000) AS t FROM documents)")
 def s13_spacing_lost(spark, d):
     return _docs(spark, d).select("doc_id", segments.spacing_lost(F.col("text"), "[^a-z]").alias("lost"))
 
@@ -262,10 +324,29 @@ def s14_s15_inventory(spark, d):
 
 
 @query(
-    r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages) SELECT tag, count(*) AS uses, count(DISTINCT page_id) AS on_pages FROM c GROUP BY 1 HAVING count(*) >= 5"""
+    r"""WITH r AS (SELECT 'tag' AS kind, unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS value FROM pages UNION ALL SELECT 'class', unnest(string_split_regex(c, ' +')) FROM (SELECT unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) AS c FROM pages)
+      UNION ALL SELECT 'link', unnest(regexp_extract_all(html, '<a [^>]*href="/([A-Za-z]*)', 1)) FROM pages)
+    SELECT kind, value, count(*) AS n FROM r WHERE value <> '' GROUP BY kind, value HAVING kind <> 'class' OR count(*) >= 5
+    UNION ALL SELECT 'pages_with', 'table', count(*) FILTER (contains(html, '<table')) FROM pages UNION ALL SELECT 'pages_with', 'form', count(*) FILTER (contains(html, '<form')) FROM pages"""
 )
 def s16_site_recon(spark, d):
-    return segments.tag_counts(read_table(spark, d, "pages"), "html")
+    return segments.page_recon(read_table(spark, d, "pages"), "html")
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS sha, length(text) AS n FROM documents")
+def s17_append_new(spark, d):
+    """Documents streamed into a sink twice: the second run, with a checkpoint of its own, finds every key done and adds nothing."""
+    import uuid
+
+    from quillstone.session import cut, shared_dir
+    from quillstone.streaming.resume import append_new
+
+    rows = cut(_docs(spark, d).select("doc_id", "text").withColumn("sha", T.fingerprint(F.col("text"))))
+    base = f"{shared_dir(spark)}/quillstone-stream-{uuid.uuid4().hex}"
+    for k in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rpartition("/")[0])
+        append_new(stream, f"{base}/out", ["doc_id", "sha"], f"{base}/checkpoint{k}", lambda df: df.select("doc_id", "sha", F.length("text").cast("long").alias("n"))).awaitTermination()
+    return spark.read.parquet(f"{base}/out")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
