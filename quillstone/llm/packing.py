@@ -54,7 +54,11 @@ class Packer:
 
 
 def pack_frame(pdf: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
-    """Packs one shard: longest pieces first, ties by id; pieces of a whole capacity fill bins of their own."""
+    """Packs one shard: longest pieces first, ties by id; pieces of a whole capacity fill bins of their own; rows without tokens come last, without a bin."""
+    empty, pdf = pdf[pdf["n"] <= 0], pdf[pdf["n"] > 0]
+    bare = pd.DataFrame({"id": empty["id"].to_numpy(), "part": np.zeros(len(empty), np.int32), "n_tokens": 0, **{c: pd.array([None] * len(empty), "Int64") for c in ("shard", "bin", "start", "filled")}})
+    if pdf.empty:
+        return bare
     pdf = pdf.sort_values(["n", "id"], ascending=[False, True], kind="stable", na_position="last", ignore_index=True)
     sources, clusters = pd.factorize(pdf["source"], use_na_sentinel=False)[0], pd.factorize(pdf["cluster"], use_na_sentinel=False)[0]
     pieces = []
@@ -69,7 +73,8 @@ def pack_frame(pdf: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFram
         k, start = packer.add(n, 1 << int(sources[row]), 1 << int(clusters[row]))
         out.append((row, part, n, k, start))
     rows, part, n, k, start = (np.array(x, np.int64) for x in zip(*out))
-    return pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "part": part.astype(np.int32), "n_tokens": n, "shard": int(pdf["shard"].iloc[0]), "bin": k, "start": start, "filled": np.array(packer.filled, np.int64)[k]})
+    packed = pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "part": part.astype(np.int32), "n_tokens": n, "shard": int(pdf["shard"].iloc[0]), "bin": k, "start": start, "filled": np.array(packer.filled, np.int64)[k]})
+    return packed if empty.empty else pd.concat([packed.astype({c: "Int64" for c in ("shard", "bin", "start", "filled")}), bare], ignore_index=True)
 
 
 def pack(
@@ -104,7 +109,5 @@ def pack(
     shards = max(1, round(docs.select(id_col).count() / shard_docs))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col("key").cast("string"), "cluster"), F.lit(shards)).cast("long")).select(*sized.columns, "shard")
     schema = SCHEMA.format(id=sized.schema["id"].dataType.simpleString())
-    packed = rows.filter("n > 0").groupBy("shard").applyInPandas(lambda pdf: pack_frame(pdf, capacity, per_source), schema)
-    nothing = F.lit(None).cast("long")
-    empty = rows.filter("n <= 0").select("id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("n_tokens"), *[nothing.alias(c) for c in ("shard", "bin", "start", "filled")])
-    return packed.union(empty).withColumnRenamed("id", id_col)
+    packed = rows.groupBy("shard").applyInPandas(lambda pdf: pack_frame(pdf, capacity, per_source), schema)
+    return packed.withColumnRenamed("id", id_col)
