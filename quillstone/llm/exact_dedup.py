@@ -34,7 +34,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not shared.isEmpty():  # two texts under one md5: those rows also match on the second digest
         on, rows = ["h", "text_sha256"], keyed.select("id", "h", F.sha2("norm", 256).alias("text_sha256"))
     total = held.agg(F.sum("group_size")).first()[0] or 0
-    out = hot_join(rows, held.withColumn("c", F.col("group_size")), on, "c", total)  # a group may hold a third of all rows
+    out = hot_join(cut(rows), held.withColumn("c", F.col("group_size")), on, "c", total)  # a group may hold a third of all rows
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
