@@ -73,7 +73,7 @@ def repeated_lines(rows: DataFrame, min_words: int = 10) -> DataFrame:
     Lines a up to b (exclusive) go; from is where the range before ended, so lines from up to a stay.
     """
     lines = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
-    lines = lines.select("doc", "i", F.unhex(F.md5("raw")).alias("line"), F.regexp_count("raw", F.lit(WORD)).alias("w"))
+    lines = cut(lines.select("doc", "i", F.unhex(F.md5("raw")).alias("line"), F.regexp_count("raw", F.lit(WORD)).alias("w")))
     common = cut(lines.groupBy("line").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     lines = cut(hot_join(lines, common, ["line"], "c", common.agg(F.sum("c")).first()[0] or 0).select("doc", "i", "line", "w"))
     runs = repeated_runs(lines)
