@@ -9,6 +9,7 @@ from itertools import combinations_with_replacement
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillstone.functions.text import control_squeeze, squeeze
 
@@ -24,7 +25,7 @@ def healthy(df: DataFrame, text: str, least: float = 0.8, chars: int = HEALTH_CH
     return df.withColumn("healthy", F.try_divide(readable, F.length(head)) >= least)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(name: pd.Series) -> pd.Series:
     """Names with combining characters composed (NFC), as file systems that decompose them need; null stays null."""
     return name.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
