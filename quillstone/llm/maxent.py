@@ -210,22 +210,22 @@ def _gradient(batches, model: Model):
     """Observed and expected counts of every row and outcome over the task's texts: the likelihood's gradient is their difference."""
     sums = np.zeros(2 * model.weights.size + 16, np.float32)
     sums = sums[(-sums.ctypes.data % 64) // 4 :][: 2 * model.weights.size]  # a row's observed and expected counts share a cache line
-    outcome = np.arange(0)
+    pairs, couple = sums.view(np.complex64), np.arange(0)  # outcomes are added two at a time, as the two parts of a complex number
     for b in batches:
         for _, texts in text_chunks(b, 0):
             seq, begins = sequence(texts)
             place, context = model.look_up(seq), features(seq, begins)
             for i in range(0, len(seq), _ROWS):
                 _, slot, rows, p = model.decisions(place[i : i + _ROWS], context[:, i : i + _ROWS])
-                flat = p.reshape(-1).view(np.float32)  # an unpickled dtype is an object of its own, with which add.at is ten times slower
-                if len(outcome) < len(flat):
-                    outcome = np.tile(np.arange(FAN, 2 * FAN), 2 * len(p))
+                # viewed anew: an unpickled dtype is an object of its own, with which add.at is ten times slower
+                flat = p.reshape(-1).view(np.float32).view(np.complex64)
+                if len(couple) < len(flat):
+                    couple = np.tile(np.arange(FAN // 2, FAN), 2 * len(p))
                 for r in rows:
-                    r *= 2 * FAN
-                    cell = np.repeat(r, FAN)
-                    cell += outcome[: len(flat)]
-                    np.add.at(sums, cell, flat)
-                    np.add.at(sums, r + slot, np.float32(1))
+                    cell = np.repeat(r * FAN, FAN // 2)
+                    cell += couple[: len(flat)]
+                    np.add.at(pairs, cell, flat)
+                    np.add.at(sums, r * (2 * FAN) + slot, np.float32(1))
     yield from _blobs(sums)
 
 
