@@ -20,6 +20,13 @@ TEXT, META = BUCKETS + STATS, LANGS + SOURCES + SIZES
 #: Calibrated confidence from which a view passes its label on to the other, and how much such rows weigh against labelled ones.
 SURE, PASSED_WEIGHT = 0.95, 0.5
 
+def _counted(mask: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of the positions of each range are on."""
+    c = np.zeros(len(mask) + 1, np.int32)  # a chunk of text is far shorter than this can count
+    np.cumsum(mask, dtype=np.int32, out=c[1:])
+    return c[ends] - c[begins]
+
+
 _KIND = np.zeros(256, np.int8)
 for _k, _chars in enumerate([b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!#$%&*+<=>@\\^_`{|}~", b".,;:?'\"()-/[]"], 1):
     _KIND[list(_chars)] = _k
@@ -48,22 +55,25 @@ def text_stats(texts: list[bytes]) -> np.ndarray:
     """(n, STATS): words and their repetition, size, line layout and character classes of each text."""
     h, at = word_hashes(texts)
     n = np.diff(at)
-    doc = np.repeat(np.arange(len(texts)), n)
-    order = np.lexsort((h, doc))
-    again = np.zeros(len(h))
-    again[1:] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    near = np.zeros(len(h))
-    near[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    wordy = np.flatnonzero(n)  # a text with words has a byte at least, so 20 bits tell those of a chunk apart
+    doc = np.repeat(np.arange(len(wordy), dtype=np.uint64), n[wordy])
+    key = np.sort((doc << np.uint64(44)) | (h >> np.uint64(20)))
+    twice = key[1:][key[1:] == key[:-1]] >> np.uint64(44)
+    again = np.zeros(len(texts))
+    again[wordy] = np.bincount(twice.astype(np.int64), minlength=len(wordy))
+    echo = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]))
+    near = np.zeros(len(texts))
+    near[wordy] = np.bincount(doc[1:][echo].astype(np.int64), minlength=len(wordy))
     many = np.maximum(n, 1)
-    words = [np.log1p(n) / 10, np.bincount(doc, again, len(texts)) / many, np.bincount(doc, near, len(texts)) / many]
+    words = [np.log1p(n) / 10, again / many, near / many]
     words += [np.sqrt(x) for x in words[1:]]
     raw, edge = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
     a, b = edge[:-1], edge[1:]
     size = np.maximum(b - a, 1)
     kind = _KIND[raw]
-    shares = [_per_text(kind == k, a, b) / size for k in (1, 2, 3, 4)]
-    lines = _per_text(raw == 10, a, b) + 1
-    return np.column_stack([*words, np.log1p(size) / 10, np.log(lines) / 5, np.log(size / lines) / 5, *shares, _per_text(raw >= 128, a, b) / size, *[np.sqrt(s) for s in shares]])
+    shares = [_counted(kind == k, a, b) / size for k in (1, 2, 3, 4)]
+    lines = _counted(raw == 10, a, b) + 1
+    return np.column_stack([*words, np.log1p(size) / 10, np.log(lines) / 5, np.log(size / lines) / 5, *shares, _counted(raw >= 128, a, b) / size, *[np.sqrt(s) for s in shares]])
 
 
 def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:

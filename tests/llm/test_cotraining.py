@@ -38,6 +38,19 @@ def test_trigrams_stay_within_their_text():
     assert [bucket[s:e].tolist() for s, e in zip(a, b)] == [one(t) for t in texts]
 
 
+def test_text_statistics_are_those_counted_by_hand():
+    texts = [b"", b"a b a a\nB!! 7", b"  ", "ÄÄ x".encode(), b"w " * 3000]
+    got = C.text_stats(texts)
+    for i, t in enumerate(texts):
+        words = t.lower().split()
+        size, n = max(len(t), 1), len(words)
+        again, near = n - len(set(words)), sum(x == y for x, y in zip(words, words[1:]))
+        shares = [sum(ok(c) for c in t) / size for ok in (lambda c: 65 <= c < 91, lambda c: 48 <= c < 58, lambda c: c in b"!#$%&*+<=>@\\^_`{|}~", lambda c: c in b".,;:?'\"()-/[]")]
+        lines = t.count(b"\n") + 1
+        want = [np.log1p(n) / 10, again / max(n, 1), near / max(n, 1), (again / max(n, 1)) ** 0.5, (near / max(n, 1)) ** 0.5, np.log1p(size) / 10, np.log(lines) / 5, np.log(size / lines) / 5, *shares, sum(c >= 128 for c in t) / size, *np.sqrt(shares)]
+        assert got[i] == pytest.approx(want)
+
+
 def test_odds_are_those_of_plain_sums_whatever_the_neighbours():
     rng = np.random.default_rng(1)
     m = C.Model(rng.normal(size=C.TEXT + 1), rng.normal(size=C.STATS), np.ones(C.STATS), rng.normal(size=C.META + 1))
