@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values of the decision table.
 RISK_CEILING, MIN_AGREEMENT, MIN_MARGIN, MAX_YEAR_GAP, TOP = 0.20, 0.60, 0.02, 5, 3
@@ -22,15 +23,16 @@ class Policy:
     floor: float = DOUBT
     top_k: int = 5
     fallback: str = "major"
-    labels: tuple[str, ...] = ("major", "other", "rare")
+    labels: tuple[str, ...] = ()  # the label scheme; without one every label is known
 
 
+_SCHEME = ("major", "other", "rare")
 POLICIES = {
-    "naive": Policy(use_router=False, use_rules=False, allow_abstain=False, validate=False, floor=0.0, top_k=1),
-    "always-precedent": Policy(use_router=False, use_rules=False),
-    "router": Policy(),
-    "router-noabstain": Policy(allow_abstain=False),
-    "router-novalidate": Policy(validate=False),
+    "naive": Policy(use_router=False, use_rules=False, allow_abstain=False, validate=False, floor=0.0, top_k=1, labels=_SCHEME),
+    "always-precedent": Policy(use_router=False, use_rules=False, labels=_SCHEME),
+    "router": Policy(labels=_SCHEME),
+    "router-noabstain": Policy(allow_abstain=False, labels=_SCHEME),
+    "router-novalidate": Policy(validate=False, labels=_SCHEME),
 }
 
 
@@ -51,7 +53,8 @@ def route_sql(p: Policy, hits: str = "hits", fired: str = "fired", risk: str = "
     vote = lambda name, src: f"""{name} AS (SELECT q, label FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY votes DESC, total DESC, seen) AS k
       FROM (SELECT q, label, count(*) AS votes, round(sum(s), 9) AS total, min(rank) AS seen FROM {src} GROUP BY q, label) v) w WHERE k = 1)"""
     fails = "(high_against > 0 OR labels_seen > 1 OR dropped > 0)" if p.validate else "false"
-    blocked = f"(decision IS NOT NULL AND (decision NOT IN ({', '.join(repr(x) for x in p.labels)}) OR backing = 0))" if p.validate else "false"
+    unknown = f"decision NOT IN ({', '.join(repr(x) for x in p.labels)})" if p.labels else "false"
+    blocked = f"(decision IS NOT NULL AND ({unknown} OR backing = 0))" if p.validate else "false"
     return f"""top AS (SELECT * FROM {hits} WHERE rank < {p.top_k}), use_ AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) - 1 AS u FROM top WHERE s >= {DOUBT}),
     lead_ AS (SELECT q, label, s, year FROM use_ WHERE u = 0), rr AS (SELECT q, ord AS rank, label, prec AS s FROM {rules}),
     ev AS (SELECT x.q, count(*) AS n_evidence, max(CASE WHEN u = 0 THEN x.s END) AS top_s, max(CASE WHEN u = 1 THEN x.s END) AS second_s,
@@ -79,6 +82,8 @@ def route_sql(p: Policy, hits: str = "hits", fired: str = "fired", risk: str = "
 
 def route(policy: Policy, hits: DataFrame, fired: DataFrame, risk: DataFrame, requests: DataFrame) -> DataFrame:
     """(q, path, reason, decision, abstained, predicted, abstain_reason, confidence) for every request."""
+    if "grounded" not in hits.columns:  # no precedent has a quotation
+        hits = hits.withColumn("grounded", F.lit(None).cast("boolean"))
     text = f"WITH {route_sql(policy, '{hits}', '{fired}', '{risk}', '{requests}')} SELECT * FROM outcome"
     return hits.sparkSession.sql(text, hits=hits, fired=fired, risk=risk, requests=requests)
 

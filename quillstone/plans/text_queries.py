@@ -89,7 +89,7 @@ def p11_gold_clean(spark, d):
     """WITH s AS (SELECT doc_id AS id, string_split(replace(text, chr(10), ' '), '. ') AS parts FROM documents), n AS (SELECT id, parts, least(3, len(parts)) AS n FROM s)
     SELECT id, num, part FROM (SELECT id, CAST(i AS INT) AS num, trim(['①', '②', '③'][i] || ' ' || parts[i]) AS part FROM (SELECT id, parts, unnest(range(1, n + 1)) AS i FROM n WHERE n >= 2)) UNION ALL SELECT id, NULL, NULL FROM n WHERE n < 2"""
 )
-def p12_p13_marks(spark, d):
+def p12_p13_marked_sentences(spark, d):
     """The first three sentences of each document under enumeration marks, found again as a rising chain and sliced; one mark is no chain."""
     parts = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1), 1, 3)
     marks = F.array(*[F.lit(x) for x in "①②③"])
@@ -99,6 +99,15 @@ def p12_p13_marks(spark, d):
     return found.select("id", F.col("p.num").alias("num"), F.col("p.part").alias("part"))
 
 
+@query()
+def p12_p13_marks(spark, d):
+    """Enumeration marks as they stand in the documents, and the text from each to the next."""
+    rows = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    rows = rows.withColumn("marks", T.sequence_marks(F.col("text")))
+    parts = rows.select("id", F.explode_outer(T.slice_by_marks(F.col("text"), F.col("marks"))).alias("p"))
+    return parts.select("id", F.col("p.num").alias("num"), F.col("p.part").alias("part"))
+
+
 @query("SELECT g.doc_id, p.predicted, p.confidence FROM gold g JOIN pred p ON g.doc_id = p.doc_id WHERE p.model = 'keyword'")
 def p14_keyword(spark, d):
     label, _, conf = T.keyword_label(F.col("text"), KEYWORDS, "major")

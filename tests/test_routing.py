@@ -25,7 +25,7 @@ def test_a_dropped_quotation_leaves_the_claim_unsupported(spark):
 
 
 def test_labels_outside_the_scheme_are_withdrawn(spark):
-    out = routed(spark, router.Policy(), [(0, "odd", 0.7, "x", 2020, True)])
+    out = routed(spark, router.Policy(labels=("rare", "major")), [(0, "odd", 0.7, "x", 2020, True)])
     assert (out.decision, out.abstain_reason) == (None, "validation_failed")  # V1
 
 
