@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import append_columns, bounded_sample, fit_logistic, packed_row, sigmoid, summed_tables, text_chunks, word_hashes
+from quillstone.llm.common import append_columns, bounded_sample, fit_logistic, packed_row, sigmoid, spread, summed_tables, text_chunks, word_hashes
 
 BUCKETS, STATS = 2048, 17
 #: Characters added to a text's length before its trigrams are shared out, so that few characters say little.
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     """
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = bounded_sample(known.filter("id is not null"), labelled_rows, "id")
-    rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")))
     seen = rows.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("id", "y", "r.*")
     table = append_columns(seen, "text", "a binary, b array<long>", lambda: _dense).select("id", "y", "a", "b").toArrow().sort_by("id")
     ids, y = table.column("id").to_pylist(), table.column("y").to_numpy().astype(np.float32)
@@ -227,7 +227,7 @@ def _scored(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, **o
 
         return fn
 
-    rows = docs.select(packed_row(docs), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = spread(docs.select(packed_row(docs), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")))
     return append_columns(rows, "text", "p_text double, p_meta double, p double", make).select("row", "p_text", "p_meta", "p")
 
 
