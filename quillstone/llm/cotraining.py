@@ -149,7 +149,7 @@ def _dense(texts, table) -> list[pa.Array]:
     bucket, a, b = trigrams(texts)
     grams = [np.bincount(bucket[s:e], minlength=BUCKETS) / (e - s + SHRINK) * 100 for s, e in zip(a, b)]
     on = metadata(*(table.column(k).to_pylist() for k in ("lang", "source", "n_chars")))
-    text = [np.concatenate([g, s]).astype(np.float32).tobytes() for g, s in zip(grams, text_stats(texts))]
+    text = [np.concatenate([g, s]).astype(np.float16).tobytes() for g, s in zip(grams, text_stats(texts))]
     return [pa.array(text, pa.binary()), pa.array(list(on), pa.list_(pa.int64()))]
 
 
@@ -162,20 +162,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     surrogate for a loss that is known by its gradient), class by class, so that a class that is easier to be sure of
     does not shift the prior. At the end the set-aside rows calibrate each view and weight the vote.
 
-    labelled_rows bounds the sample (about 8 kB each on the driver); a labelled id on several rows takes part with one of them.
+    labelled_rows bounds the sample (about 12 kB each on the driver); a labelled id on several rows takes part with one of them.
     """
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = bounded_sample(known.filter("id is not null"), labelled_rows, "id")
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")))
     seen = rows.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("id", "y", "r.*")
-    table = append_columns(seen, "text", "a binary, b array<long>", lambda: _dense).select("id", "y", "a", "b").toArrow().sort_by("id")
-    ids, y = table.column("id").to_pylist(), table.column("y").to_numpy().astype(np.float32)
+    table = append_columns(seen, "text", "a binary, b array<long>", lambda: _dense).select("id", "y", "a", "b").toArrow()
+    order = np.argsort(table.column("id").to_numpy(), kind="stable")
+    ids, y = table.column("id").take(pa.array(order)).to_pylist(), table.column("y").to_numpy().astype(np.float32)[order]
     if len({*y}) < 2:
         return None
-    text = np.frombuffer(b"".join(x.as_py() for x in table.column("a")), np.float32).reshape(len(y), TEXT).copy()
-    meta = np.zeros((len(y), META), np.float32)
-    np.put_along_axis(meta, np.array(table.column("b").to_pylist()), 1, axis=1)
+    # one copy of each matrix; the fits below take masks of its rows
+    text, meta = np.empty((len(y), TEXT), np.float32), np.zeros((len(y), META), np.float32)
+    for k, i in enumerate(order):
+        text[k] = np.frombuffer(table.column("a")[int(i)].as_buffer(), np.float16)
+        meta[k, table.column("b")[int(i)].as_py()] = 1
     del table
+    pa.default_memory_pool().release_unused()
     mean, sd = text[:, BUCKETS:].mean(axis=0), np.maximum(text[:, BUCKETS:].std(axis=0), 1e-3)
     text[:, BUCKETS:] = (text[:, BUCKETS:] - mean) / sd
     aside = np.array([zlib.crc32(str(i).encode()) % 4 for i in ids]) == 0
@@ -205,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
                     continue
                 passed = (sums[c][: TEXT + 1], sums[c][TEXT + 1 : TEXT + META + 2])[v] / n
                 own = train & (y == c)
-                r = (sigmoid(odds(v)[own]) - c).astype(np.float32) / own.sum()
-                tilt += y[train].mean() * (passed - np.append(r @ views[v][own], r.sum())) if c else (1 - y[train].mean()) * (passed - np.append(r @ views[v][own], r.sum()))
+                r = ((sigmoid(odds(v)) - c) * own).astype(np.float32) / own.sum()
+                tilt += (y[train].mean() if c else 1 - y[train].mean()) * (passed - np.append(r @ views[v], r.sum()))
             share = PASSED_WEIGHT / (1 + PASSED_WEIGHT)
             weights[v] = fit_logistic(views[v], y, l2[v], 60, weights[v], on=train, tilt=(share * tilt).astype(np.float32), near=1e-3)
     out = model()
