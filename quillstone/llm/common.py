@@ -195,8 +195,6 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total
     """
     bound = max(1, total // 256)
     hot = right.filter(F.col(count) > bound).drop(count)
-    if hot.isEmpty():
-        return left.join(right.drop(count), on, how)
     kept = [c for c in hot.columns if c not in on]
     hot = hot.select(*on, *[F.col(c).alias(f"__hot_{c}") for c in kept], F.lit(True).alias("__hot"))
     both = left.join(F.broadcast(hot), on, "left")
