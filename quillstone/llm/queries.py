@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.cotraining import score_quality
 from quillstone.llm.common import fold_of
 from quillstone.llm.exact_dedup import exact_groups
+from quillstone.llm.filter_audit import filter_interactions
 from quillstone.llm.lattice import embedding_links
 from quillstone.llm.line_dedup import drop_repeated_lines
 from quillstone.llm.maxent import score_texts
@@ -66,6 +67,10 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"), lambda i: fold_of(i) == 1)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -76,6 +81,37 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d
+), m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+  FROM f LEFT JOIN (SELECT doc_id, max(coalesce((quality = 1)::INT, 0)) AS good, max(coalesce((toxic = 1)::INT, 0)) AS toxic FROM labels GROUP BY 1) USING (doc_id)
+  GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (
+  SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order FROM l l1, l l2, l l3, l l4, l l5
+  WHERE len(list_distinct([l1.x, l2.x, l3.x, l4.x, l5.x])) = 5
+), s AS (
+  SELECT filter_order, step::INT AS step, (1 << (ascii(filter_order[step]) - 65))::INT AS bit,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::INT AS before FROM o, range(1, 6) r(step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (mask & (coalesce(before, 0) | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & coalesce(before, 0) > 0 AND mask & bit > 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit > 0 AND good = 1), 0) AS good_lost,
+         coalesce(sum(n) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit > 0 AND toxic = 1), 0) AS toxic_lost
+  FROM m, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
 QUERIES = {
     "op1_cotraining": op1_cotraining,
     "op2_minhash": op2_minhash,
@@ -87,5 +123,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_maxent": op10_maxent,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES = {"op9_exact_dedup": OP9_SQL}
+ORACLES = {"op9_exact_dedup": OP9_SQL, "op13_filter_audit": OP13_SQL}
