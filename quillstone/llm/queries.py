@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.conversations import damaged, repair_report
 from quillstone.llm.cotraining import score_quality
 from quillstone.llm.common import fold_of
 from quillstone.llm.exact_dedup import exact_groups
@@ -67,6 +68,11 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"), lambda i: fold_of(i) == 1)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -81,6 +87,60 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+#: Row by row instead of by runs: for each conversation, row and state the least (cost, audit) so far.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab
+), k AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), c0 AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(key) + 1), lambda i: ascii(key[i])::BIGINT)),
+                         lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT) % 20 AS kind FROM k, crc
+), c1 AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c0, range(2) r(k) WHERE kind <> 0 AND (k = 0 OR kind = 3)
+), c2 AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM c1
+), c3 AS (
+  SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM c2
+), d AS (
+  SELECT *, CASE WHEN tail = '' THEN 1 WHEN again THEN 2 WHEN tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM c3
+), ins(q, e, p, cost) AS (VALUES (0,'',0,0),(0,'I',2,5),(0,'II',3,10),(1,'',1,0),(1,'I',2,5),(1,'II',3,10),(2,'',2,0),(2,'I',3,5),(3,'',3,0),(3,'I',2,5)),
+edit(q, r, e, p, cost) AS (
+  SELECT q, NULL::VARCHAR, 'D', q, 2 FROM range(4) s(q)
+  UNION ALL VALUES (0,'s','K',1,0),(0,'u','K',2,0),(1,'u','K',2,0),(2,'a','K',3,0),(3,'u','K',2,0),(0,NULL,'R',2,1),(1,NULL,'R',2,1),(2,NULL,'R',3,1),(3,NULL,'R',2,1)
+), go(conv_id, i, q, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, {'c': 0::BIGINT, 'a': ''} FROM d
+  UNION ALL
+  SELECT g.conv_id, g.i + 1, edit.p::BIGINT, min({'c': (g.best.c + ins.cost + edit.cost + CASE WHEN fault = 3 AND edit.e <> 'D' THEN 5 ELSE 0 END)::BIGINT, 'a': g.best.a || ins.e || edit.e})
+  FROM go g JOIN d ON d.conv_id IS NOT DISTINCT FROM g.conv_id AND d.i = g.i + 1 JOIN ins ON ins.q = g.q
+  JOIN edit ON edit.q = ins.p AND (edit.r IS NULL OR edit.r = d.r) AND (edit.e = 'D' OR d.fault NOT IN (1, 2))
+  GROUP BY g.conv_id, g.i, edit.p
+), size AS (SELECT conv_id, max(i) AS n FROM d GROUP BY 1), last AS (
+  SELECT g.conv_id, min({'c': g.best.c + e.cost, 'a': g.best.a || e.e}) AS best
+  FROM go g JOIN size s ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.n
+  JOIN (VALUES (0, '', 0), (1, 'II', 10), (2, 'I', 5), (3, '', 0)) e(q, e, cost) ON e.q = g.q GROUP BY 1
+), chars AS (
+  SELECT conv_id, best.a AS audit, k, best.a[k] AS e, len(replace(best.a[:k], 'I', '')) AS i, len(replace(best.a[:k], 'D', '')) AS o,
+         len(replace(best.a, 'D', '')) % 2 AS system FROM last, range(1, len(best.a) + 1) r(k)
+), text AS (
+  SELECT c.conv_id, string_agg(CASE WHEN c.e = 'K' THEN d.role WHEN (o + system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN c.e = 'I' THEN '' ELSE d.text END, chr(10) ORDER BY k) AS t
+  FROM chars c LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM c.conv_id AND d.i = c.i AND c.e <> 'I' WHERE c.e <> 'D' GROUP BY 1
+), f AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM d GROUP BY 1
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(last.best.c, 0)::BIGINT AS cost,
+       coalesce(last.best.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN text ON text.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -123,6 +183,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_maxent": op10_maxent,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLES = {"op9_exact_dedup": OP9_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES = {"op9_exact_dedup": OP9_SQL, "op12_conversation_repair": OP12_SQL, "op13_filter_audit": OP13_SQL}
