@@ -16,6 +16,7 @@ from quillstone.llm.maxent import score_texts
 from quillstone.llm.minhash import near_duplicates
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.packing import pack
+from quillstone.llm.secrets import scan_secrets
 from quillstone.llm.surrogates import replace_entities
 from quillstone.llm.toxicity import score_toxicity
 from quillstone.session import read_table
@@ -68,6 +69,11 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"), lambda i: fold_of(i) == 1)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
     return repair_report(damaged(rows), rows)
@@ -183,6 +189,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_maxent": op10_maxent,
+    "op11_secret_scan": op11_secret_scan,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
