@@ -1,4 +1,4 @@
-"""Dense retrieval: exact nearest vectors by blocks, and latent coordinates by a distributed SVD."""
+"""Dense retrieval: exact nearest vectors by blocks."""
 
 from __future__ import annotations
 
@@ -12,15 +12,19 @@ BLOCK = 4096
 
 
 def _unit(column) -> np.ndarray:
-    v = np.array([x.values.to_numpy(zero_copy_only=False) for x in column], np.float64)
+    """Rows of unit length; a null vector, a null component and a zero vector are zeros."""
+    rows = [x.as_py() or [] for x in column]
+    v = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+    for i, r in enumerate(rows):
+        v[i, : len(r)] = [0.0 if c is None else c for c in r]
     return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def nearest_dense(queries: DataFrame, base: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(q, p, s): the base vector of largest cosine for each query, ties to the smaller id.
+def nearest_dense(queries: DataFrame, base: DataFrame, id_col: str, vector_col: str, k: int = 1, least: float = -1.0) -> DataFrame:
+    """(q, rank, p, s): the k base vectors of largest cosine for each query, ties to the smaller id; cosines below least count as least.
 
-    The base is cut into blocks of about BLOCK vectors; each block meets the stated queries once, in numpy, and gives one best row per
-    query, reduced by an aggregation. Neither side is broadcast; rows are queries times blocks.
+    The base is cut into blocks of about BLOCK vectors; each block meets the stated queries once, in numpy, and gives its k best rows a
+    query, reduced by an aggregation. Neither side is broadcast; rows are queries times blocks. Vectors are of one length; null ones are zeros.
     """
     blocks = max(1, round(base.count() / BLOCK))
     b = base.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("blk"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -31,10 +35,14 @@ def nearest_dense(queries: DataFrame, base: DataFrame, id_col: str, vector_col:
             return pa.table({"q": pa.array([], pa.int64()), "p": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
         ids = right.column("id").to_numpy()
         order = np.argsort(ids)
-        s = _unit(left.column("v")) @ _unit(right.column("v"))[order].T
-        at = np.round(s, 9).argmax(axis=1)
-        return pa.table({"q": left.column("id"), "p": pa.array(ids[order][at]), "s": pa.array(s[np.arange(len(s)), at])})
+        a, c = _unit(left.column("v")), _unit(right.column("v"))[order]
+        if a.shape[1] != c.shape[1]:  # only where one side has nothing but nulls
+            a, c = (np.pad(x, ((0, 0), (0, max(a.shape[1], c.shape[1]) - x.shape[1]))) for x in (a, c))
+        s = np.maximum(a @ c.T, least)
+        at = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
+        n = at.shape[1]
+        return pa.table({"q": pa.array(np.repeat(left.column("id").to_numpy(), n)), "p": pa.array(ids[order][at].ravel()), "s": pa.array(np.take_along_axis(s, at, 1).ravel())})
 
     found = q.groupBy("blk").cogroup(b.groupBy("blk")).applyInArrow(best, "q long, p long, s double")
-    k = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("s", 9)), "p"))
-    return found.withColumn("k", k).filter("k = 1").drop("k")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("s", 9)), "p")) - 1
+    return found.withColumn("rank", rank).filter(F.col("rank") < k).select("q", "rank", "p", "s")

@@ -51,7 +51,7 @@ class World:
         self.vec = N.vectors(self.gold)
         keys = lambda df: df.select("doc_id")
         self.dev_vec, self.test_vec = (self.vec.join(keys(x), "doc_id", "left_semi") for x in (self.dev, self.test))
-        self._near = self._loo = self._words = None
+        self._near = self._loo = self._words = self._latent = None
 
     @classmethod
     def of(cls, spark, d) -> World:
@@ -75,6 +75,19 @@ class World:
             self._words = cut(N.top_k(sims, self.test, self.dev, 20))
         return self._words
 
+    @property
+    def latent(self) -> DataFrame:
+        """The latent retriever's nearest."""
+        if self._latent is None:
+            from quillstone.operators.dense import nearest_dense
+            from quillstone.operators.latent import coordinates, fit_latent
+
+            space = fit_latent(self.gold)
+            at = coordinates(self.gold, space)
+            test, dev = (at.join(x.select("doc_id"), "doc_id", "left_semi") for x in (self.test, self.dev))
+            self._latent = cut(nearest_dense(test, dev, "doc_id", "vector", 20, least=0.0))
+        return self._latent
+
     @property
     def loo(self) -> DataFrame:
         if self._loo is None:
@@ -187,6 +200,13 @@ def v9_dense_neighbor(spark, d):
     return nearest_dense(e.filter("vec_id % 3 <> 0"), e.filter("vec_id % 3 = 0"), "vec_id", "embedding").select("q", "p", F.round("s", 6).alias("similarity"))
 
 
+@query()
+def v9_latent_neighbor(spark, d):
+    """The nearest precedent in the latent space of all labelled texts."""
+    near = World.of(spark, d).latent.filter("rank = 0")
+    return near.select(F.col("q").alias("doc_id"), F.col("p").alias("neighbour"), F.round("s", 6).alias("similarity"))
+
+
 _WORDS = """wg AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> '')) AS g FROM gold), wtf AS MATERIALIZED (SELECT doc_id, g, count(*) AS tf FROM wg GROUP BY doc_id, g),
 widf AS (SELECT g, ln((SELECT count(*) FROM gold) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM wtf GROUP BY g), ww AS (SELECT doc_id, g, tf * idf AS w FROM wtf JOIN widf USING (g)),
 wvec AS MATERIALIZED (SELECT ww.doc_id, g, w / n AS w FROM ww JOIN (SELECT doc_id, sqrt(sum(w * w)) AS n FROM ww GROUP BY doc_id) z ON ww.doc_id = z.doc_id),
@@ -197,12 +217,12 @@ fused AS (SELECT q, p, sum(1e0 / (61 + rank)) AS score FROM (SELECT q, p, rank F
 hyb AS MATERIALIZED (SELECT f.q, f.p, coalesce(n.s, 0.0) AS s, row_number() OVER (PARTITION BY f.q ORDER BY round(score, 9) DESC, f.p) - 1 AS rank FROM fused f LEFT JOIN (SELECT * FROM near WHERE rank < 20) n ON n.q = f.q AND n.p = f.p)"""
 
 
-def _hybrid(w) -> DataFrame:
-    """(q, p, s, rank): the lists of both retrievers fused; s is the first one's similarity, 0 for what only the second found."""
+def _hybrid(w, second: DataFrame | None = None) -> DataFrame:
+    """(q, p, s, rank): the lists of the n-gram retriever and a second one, by default that by words, fused; s is the first one's similarity, 0 for what only the second found."""
     from pyspark.sql import Window
 
     near = w.near.filter("rank < 20")
-    fused = N.rrf([near, w.words]).join(near.select("q", "p", "s"), ["q", "p"], "left")
+    fused = N.rrf([near, w.words if second is None else second]).join(near.select("q", "p", "s"), ["q", "p"], "left")
     k = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "p")) - 1
     return fused.select("q", "p", F.coalesce("s", F.lit(0.0)).alias("s"), k.alias("rank"))
 
@@ -223,8 +243,19 @@ _COMPARED = " UNION ALL ".join(f"SELECT '{k}' AS retriever, q, p, s FROM {t} WHE
 def v12_retriever_summary(spark, d):
     """The n-gram retriever, the word retriever and their hybrid on the same requests: how their first precedents part, in all (*) and by label."""
     w = World.of(spark, d)
+    return _summary(w, (("L", w.near), ("W", w.words), ("H", _hybrid(w))))
+
+
+@query()
+def v12_retriever_summary_latent(spark, d):
+    """The same of the latent retriever (D) beside the n-gram one and the fusion of these two."""
+    w = World.of(spark, d)
+    return _summary(w, (("L", w.near), ("D", w.latent), ("LD", _hybrid(w, w.latent))))
+
+
+def _summary(w, retrievers) -> DataFrame:
     tops = None
-    for name, hits in (("L", w.near), ("W", w.words), ("H", _hybrid(w))):
+    for name, hits in retrievers:
         one = hits.filter("rank = 0").select(F.lit(name).alias("retriever"), "q", "p", "s")
         tops = one if tops is None else tops.unionByName(one)
     x = tops.join(w.test.select(F.col("doc_id").alias("q"), "label"), "q").join(w.dev.select(F.col("doc_id").alias("p"), F.col("label").alias("nlabel")), "p")
