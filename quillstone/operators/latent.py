@@ -20,6 +20,8 @@ from quillstone.session import cut
 COMPONENTS, ROWS, COLS = 128, 4096, 16384
 #: Entries of a block multiplied at once; bounds the memory of a product beside its result.
 _AT_ONCE = 1 << 15
+#: Corpora of up to so many documents are spanned whole, so their axes are exact; a square of this size is the largest matrix the driver meets.
+WHOLE = 1024
 #: Singular values up to here are no axes.
 NO_AXIS = 1e-12
 
@@ -165,25 +167,26 @@ def _orthonormal(tall: DataFrame, width: int) -> tuple[DataFrame, int]:
     return cut(tall), width
 
 
-def fit_latent(corpus: DataFrame, components: int = COMPONENTS, id_col: str = "doc_id", rounds: int = 8, tolerance: float = 1e-8, seed: int = 1) -> Latent | None:
+def fit_latent(corpus: DataFrame, components: int = COMPONENTS, id_col: str = "doc_id", rounds: int = 4, tolerance: float = 1e-6, seed: int = 1) -> Latent | None:
     """The latent space of the corpus's texts (id, text): the leading axes of its document-by-gram matrix.
 
-    A random range of twice the components is turned towards the leading axes by up to rounds products with the matrix and its
-    transpose, until the leading singular values move by less than tolerance, relatively; where the corpus has no more documents than the range it is the
-    whole space, and exact. Axes with singular values up to 1e-12 are dropped. None where the corpus has no gram.
+    The range of a random product spans a corpus of up to WHOLE documents, whose axes are exact. In larger ones a range of twice the components is turned
+    towards the leading axes by up to rounds products with the matrix and its transpose, until the leading singular values move by less than
+    tolerance, relatively: their last axes are approximate, as the gaps between singular values allow. Axes with singular values up to 1e-12 are dropped. None where the corpus has no gram.
     """
     vocab = vocabulary(corpus, id_col)
     blocks = _blocks(indexed(corpus.select(id_col, "text"), id_col), vocab, id_col)
     if blocks.isEmpty():
         return None
-    width = min(max(2 * components, components + 32), corpus.count())
+    n = corpus.count()
+    width = n if n <= WHOLE else max(2 * components, components + 32)
     q, width = _orthonormal(_times(blocks, None, width, seed), width)
     before = None
     for k in range(max(1, rounds)):
         z = cut(_times_transposed(blocks, q, width))
         weight, vectors = np.linalg.eigh(_gram(z, width))
         lead = np.sqrt(np.maximum(weight[::-1][:components], 0))
-        if k + 1 == rounds or before is not None and len(before) == len(lead) and np.abs(lead - before).max() <= tolerance * lead[0]:
+        if n <= WHOLE or k + 1 == rounds or before is not None and len(before) == len(lead) and np.abs(lead - before).max() <= tolerance * lead[0]:
             break
         before = lead
         q, width = _orthonormal(_times(blocks, z, width), width)

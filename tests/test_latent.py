@@ -37,8 +37,9 @@ def by_numpy(corpus, queries, components):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), s[kept]
 
 
-@pytest.mark.parametrize("n,components,rows,cols", [(50, 128, 4096, 16384), (50, 128, 16, 40), (160, 6, 64, 100)])
-def test_cosines_equal_numpy_svd(spark, monkeypatch, n, components, rows, cols):
+@pytest.mark.parametrize("n,components,rows,cols,whole", [(50, 128, 4096, 16384, 1024), (50, 20, 16, 40, 1024), (160, 6, 64, 100, 30)])
+def test_cosines_equal_numpy_svd(spark, monkeypatch, n, components, rows, cols, whole):
+    monkeypatch.setattr(latent, "WHOLE", whole)
     monkeypatch.setattr(latent, "ROWS", rows)
     monkeypatch.setattr(latent, "COLS", cols)
     corpus = texts(n, 3)
