@@ -35,12 +35,32 @@ _F1 = """cells AS (
     CAST(sum(CASE WHEN s.label = t.l AND s.predicted <> t.l THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM scored s CROSS JOIN labels3 t GROUP BY s.model, t.l),
 f1 AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS pr, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS rc, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0) AS f FROM cells)"""
 
-both(
-    "j1_a4_harness",
-    f"""WITH {_LABELS}, m AS (SELECT m.model, g.doc_id, g.label, p.predicted FROM gold g CROSS JOIN models m LEFT JOIN pred p ON p.doc_id = g.doc_id AND p.model = m.model)
-    SELECT model, count(*) AS gold_rows, CAST(sum(CASE WHEN predicted IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN predicted IN ('major', 'other', 'rare') THEN 1 ELSE 0 END) AS BIGINT) AS matched,
-      round(avg(CASE WHEN predicted IS NOT NULL THEN CASE WHEN predicted = label THEN 1e0 ELSE 0e0 END END), 6) AS accuracy, round(count(predicted) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM m GROUP BY model""",
+#: Predictions as they come: the keyword model matches nothing on every 13th row, the length model fails on every 17th, and its answers to every 5th are revised.
+_ANSWERS = """answers AS (
+  SELECT model, doc_id, CASE WHEN model = 'keyword' AND doc_id % 13 = 0 THEN '미분류' ELSE predicted END AS predicted, CASE WHEN model = 'length' AND doc_id % 17 = 0 THEN 'timeout' END AS error,
+    CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 3 <> 0 END AS evidence_grounded, 0 AS seq FROM pred
+  UNION ALL SELECT model, doc_id, 'major', NULL, true, 1 FROM pred WHERE model = 'length' AND doc_id % 5 = 0)"""
+
+
+@query(
+    f"""WITH {_ANSWERS}, final AS (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY model, doc_id ORDER BY seq DESC) = 1),
+    m AS (SELECT m.model, g.doc_id, g.label, f.predicted, f.doc_id IS NOT NULL AS here, f.error, f.evidence_grounded, f.doc_id IS NOT NULL AND f.error IS NULL AND f.predicted <> '미분류' AS scored
+      FROM gold g CROSS JOIN (SELECT DISTINCT model FROM pred) m LEFT JOIN final f ON f.doc_id = g.doc_id AND f.model = m.model),
+    l AS (SELECT model, l, count(*) FILTER (label = l AND predicted = l) AS tp, count(*) FILTER (label = l) AS n, count(*) FILTER (predicted = l) AS k FROM m, (SELECT unnest(['major', 'other', 'rare']) AS l) WHERE scored GROUP BY ALL),
+    f AS (SELECT model, avg(2e0 * tp / (n + k)) FILTER (n > 0) AS macro_f1 FROM l GROUP BY model)
+    SELECT m.model, count(*) AS gold_size, count(*) FILTER (here) AS matched, count(*) FILTER (NOT here) AS missing, count(*) FILTER (predicted = '미분류') AS "unknown", count(*) FILTER (here AND error IS NOT NULL) AS errors,
+      count(*) FILTER (scored) AS n_scored, round(count(*) FILTER (scored) / count(*)::DOUBLE, 6) AS coverage, round(count(*) FILTER (scored AND predicted = label) / count(*) FILTER (scored)::DOUBLE, 6) AS accuracy,
+      round(any_value(f.macro_f1), 6) AS macro_f1, count(*) FILTER (scored AND evidence_grounded = false) AS ungrounded FROM m JOIN f ON f.model = m.model GROUP BY m.model"""
 )
+def j1_a4_harness(spark, d):
+    """Each model against gold: matched, missing, unknown and errored, and the metrics of what is left."""
+    from quillstone.operators.harness import harness
+
+    answers = run_sql(spark, d, f"WITH {_ANSWERS} SELECT * FROM answers")
+    out = harness(run_sql(spark, d, "SELECT doc_id, label FROM gold"), answers, ["major", "other", "rare"], order="seq")
+    return out.withColumns({c: F.round(c, 6) for c in ("coverage", "accuracy", "macro_f1")})
+
+
 both("j2_common_keys", "SELECT doc_id, count(DISTINCT model) AS models FROM pred GROUP BY doc_id HAVING count(DISTINCT model) = 3")
 both("j3_semi_dev", "SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM dev)")
 both(

@@ -78,31 +78,25 @@ _TERMS = " UNION ALL ".join(f"SELECT doc_id, label, unnest(list_distinct(list_tr
 
 @query(
     rf"""WITH sq AS (SELECT doc_id, label, regexp_replace(text, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}]+', '', 'g') AS t FROM gold), posts AS ({_TERMS}),
-    terms AS (SELECT term, count(*) AS support, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS docs, count(*) FILTER (label = 'major') AS a, count(*) FILTER (label = 'other') AS b, count(*) FILTER (label = 'rare') AS c FROM posts GROUP BY term HAVING count(*) >= 12),
-    sets AS (SELECT (min({{'l': length(term), 't': term}})).t AS term, support, docs, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c FROM terms GROUP BY support, docs),
-    best AS (SELECT term, support, greatest(a, b, c) AS hits, CASE WHEN c = greatest(a, b, c) THEN 'rare' WHEN b = greatest(a, b, c) THEN 'other' ELSE 'major' END AS label FROM sets),
+    terms AS (SELECT term, count(*) AS support, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS docs FROM posts GROUP BY term HAVING count(*) >= 12),
+    sets AS (SELECT (min({{'l': length(term), 't': term}})).t AS term, support, count(*) AS surface_forms FROM terms GROUP BY support, docs),
+    led AS (SELECT s.term, s.support, s.surface_forms, p.label, count(*) AS hits, min(doc_id) AS first_doc FROM sets s JOIN posts p USING (term) GROUP BY ALL),
+    best AS (SELECT term, support, surface_forms, label, hits FROM led QUALIFY row_number() OVER (PARTITION BY term ORDER BY hits DESC, first_doc) = 1),
     prior AS (SELECT label, count(*) / CAST((SELECT count(*) FROM gold) AS DOUBLE) AS prior FROM gold GROUP BY label),
     cases AS (SELECT DISTINCT support, hits, label FROM best),
     tails AS (SELECT support, hits, label, sum(exp(lgamma(support + 1) - lgamma(i + 1) - lgamma(support - i + 1) + i * ln(prior) + (support - i) * ln(1 - prior))) AS p FROM (SELECT c.*, prior, unnest(range(hits, support + 1)) AS i FROM cases c JOIN prior USING (label)) GROUP BY ALL),
-    o AS (SELECT b.term, b.label, b.support, b.hits, b.hits / CAST(b.support AS DOUBLE) / prior AS lift, round(least(1.0, t.p), 12) AS p FROM best b JOIN prior USING (label) JOIN tails t ON t.support = b.support AND t.hits = b.hits AND t.label = b.label),
-    r AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, term) + 1)) AS raw FROM o)
-    SELECT term, label, support, hits, round(lift, 6) AS lift, round(p, 6) AS p, round(max(raw) OVER (ORDER BY p, term ROWS UNBOUNDED PRECEDING), 5) AS p_holm FROM r"""
+    o AS (SELECT b.*, prior, b.hits / CAST(b.support AS DOUBLE) AS concentration, b.hits / CAST(b.support AS DOUBLE) - prior AS lift, round(least(1.0, t.p), 12) AS p FROM best b JOIN prior USING (label) JOIN tails t ON t.support = b.support AND t.hits = b.hits AND t.label = b.label),
+    k AS (SELECT *, row_number() OVER (ORDER BY p, round(lift, 9) DESC, support DESC, term) AS place, count(*) OVER () AS m FROM o),
+    h AS (SELECT *, max(least(1.0, p * (m - place + 1))) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS p_holm FROM k)
+    SELECT place, term, surface_forms, label, support, hits, round(concentration, 6) AS concentration, round(prior, 6) AS prior, round(lift, 6) AS lift, round(p, 6) AS p, round(p_holm, 5) AS p_holm, p_holm < 0.05 AS significant FROM h"""
 )
 def a17_leakage_audit(spark, d):
     """Terms whose documents lean to one label more than chance allows, Holm-adjusted: one row per distinct document set."""
-    g = run_sql(spark, d, "SELECT doc_id, text, label FROM gold")
-    n = g.count()
-    posts = g.select("doc_id", "label", F.explode(F.array_distinct(char_grams(squeeze(F.col("text")), (2, 3, 4, 5, 6), short=False))).alias("term"))
-    labels = ["major", "other", "rare"]
-    hits = [F.sum((F.col("label") == x).cast("int")).alias(f"n_{x}") for x in labels]
-    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), *hits).filter("support >= 12")
-    sets = terms.groupBy("support", "x", "y").agg(F.min(F.struct(F.char_length("term").alias("l"), "term")).alias("t"), *[F.first(f"n_{x}").alias(f"n_{x}") for x in labels])
-    best = F.greatest(*[F.struct(F.col(f"n_{x}").alias("c"), F.lit(x).alias("l")) for x in labels])
-    prior = g.groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("prior"))
-    out = sets.withColumn("b", best).select(F.col("t.term").alias("term"), "support", F.col("b.l").alias("label"), F.col("b.c").alias("hits")).join(prior, "label")
-    out = out.withColumn("lift", F.col("hits") / F.col("support") / F.col("prior")).withColumn("p", F.round(stats.binomial_tail("hits", "support", "prior"), 12))
-    out = stats.holm_ranged(out, "p", "term")
-    return out.select("term", "label", "support", "hits", F.round("lift", 6).alias("lift"), F.round("p", 6).alias("p"), F.round("p_holm", 5).alias("p_holm"))
+    from quillstone.operators.leakage import leakage
+
+    found = leakage(run_sql(spark, d, "SELECT doc_id, text, label FROM gold"))
+    six = {c: F.round(c, 6) for c in ("concentration", "prior", "lift", "p")}
+    return found.withColumns({**six, "p_holm": F.round("p_holm", 5)})
 
 
 @query(
