@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import ngrams as N
 from quillstone.operators import overlap, router
+from quillstone.operators.blockjoin import block_similarities
 from quillstone.plans.views import KEYWORDS, run_sql, with_views
 from quillstone.session import cut, read_table
 
@@ -63,7 +64,7 @@ class World:
     @property
     def near(self) -> DataFrame:
         if self._near is None:
-            self._near = cut(N.top_k(N.similarities(self.test_vec, self.dev_vec), self.test, self.dev, 20))
+            self._near = cut(N.top_k(block_similarities(self.test_vec, self.dev_vec, k=20), self.test, self.dev, 20))
         return self._near
 
     @property
@@ -71,7 +72,7 @@ class World:
         """The second retriever's nearest: by the words two texts share."""
         if self._words is None:
             vec = N.vectors(self.gold, grams=N.word_grams)
-            sims = N.similarities(*(vec.join(x.select("doc_id"), "doc_id", "left_semi") for x in (self.test, self.dev)))
+            sims = block_similarities(*(vec.join(x.select("doc_id"), "doc_id", "left_semi") for x in (self.test, self.dev)), k=20)
             self._words = cut(N.top_k(sims, self.test, self.dev, 20))
         return self._words
 
@@ -91,7 +92,7 @@ class World:
     @property
     def loo(self) -> DataFrame:
         if self._loo is None:
-            sims = N.similarities(self.dev_vec, self.dev_vec).filter("q <> p")
+            sims = block_similarities(self.dev_vec, self.dev_vec, k=1, apart=True)
             best = N.top_k(sims, self.dev, self.dev, 1)
             a, b = self.dev.select(F.col("doc_id").alias("q"), "label"), self.dev.select(F.col("doc_id").alias("p"), F.col("label").alias("nlabel"))
             self._loo = cut(best.join(a, "q").join(b, "p").select("q", "s", "label", "nlabel", T.similarity_band(F.col("s")).alias("band")))
@@ -184,7 +185,7 @@ def v15_relevance_preview(spark, d):
 @query()
 def v16_leader_clusters(spark, d):
     w = World.of(spark, d)
-    return N.leaders(N.similarities(w.vec, w.vec), w.gold)
+    return N.leaders(block_similarities(w.vec, w.vec, least=0.55, apart=True), w.gold)
 
 
 _EMB = """e AS (SELECT vec_id, label, embedding, vec_id % 3 = 0 AS dev FROM embeddings), es AS (SELECT a.vec_id AS q, b.vec_id AS p, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM e a JOIN e b ON NOT a.dev AND b.dev),
@@ -412,7 +413,8 @@ def j10_temporal_precedent(spark, d):
     from pyspark.sql import Window
 
     w = World.of(spark, d)
-    x = N.similarities(w.test_vec, w.dev_vec).filter((F.col("p") % 25) < (F.col("q") % 25))
+    test, dev = (v.withColumn("era", 2000 + F.col("doc_id") % 25) for v in (w.test_vec, w.dev_vec))
+    x = block_similarities(test, dev, k=1, older=True)
     return x.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("s", 9)), "p"))).filter("k = 1").select("q", "p", F.round("s", 6).alias("similarity"))
 
 
