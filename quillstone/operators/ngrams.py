@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +38,45 @@ def word_grams(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0b\\x0c\\r]+"), lambda w: w != "")
 
 
+def grams_of(text: str, n: int = 4) -> tuple[list[str] | np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, n up to 4, and how often each occurs; a shorter text is one gram, an empty one none."""
+    if len(text) <= n:
+        return ([text], np.ones(1, np.int64)) if text else ([], np.zeros(0, np.int64))
+    letters, code = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    if len(letters) > 1 << 16 or not letters[0]:  # a NUL would be lost at the end of a numpy string
+        from collections import Counter
+
+        held = Counter(text[i : i + n] for i in range(len(text) - n + 1))
+        return list(held), np.array(list(held.values()), np.int64)
+    key = np.zeros(len(code) - n + 1, np.uint64)
+    for k in range(n):
+        key = (key << np.uint64(16)) | code[k : len(code) - n + 1 + k].astype(np.uint64)
+    key, tf = np.unique(key, return_counts=True)
+    at = np.stack([(key >> np.uint64(16 * (n - 1 - k))) & np.uint64(0xFFFF) for k in range(n)], axis=1)
+    return np.ascontiguousarray(letters[at.astype(np.int64)]).view(f"<U{n}").ravel(), tf
+
+
 def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams=four_grams) -> DataFrame:
-    """(id, g, tf): the multiset of each text's grams, by default its 4-grams."""
-    return df.select(F.col(id_col), F.explode(grams(F.col(text_col))).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, g, tf): the multiset of each text's grams, by default its 4-grams.
+
+    4-grams are counted where the text is, without a shuffle; only where ids repeat are counts of one id added up. Other grams are
+    exploded and grouped.
+    """
+    if grams is not four_grams:
+        return df.select(F.col(id_col), F.explode(grams(F.col(text_col))).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("tf"))
+    rows = df.select(id_col, normalize_grams(F.col(text_col)).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            for i, t in enumerate(b.column(1)):
+                g, tf = grams_of(t.as_py() or "")
+                if len(tf):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(tf), i))), pa.array(g, pa.string()), pa.array(tf, pa.int64())], [id_col, "g", "tf"])
+
+    out = rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, g string, tf long")
+    if df.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return out
+    return out.groupBy(id_col, "g").agg(F.sum("tf").alias("tf"))
 
 
 def idf(tf: DataFrame, n: int) -> DataFrame:
@@ -52,8 +90,8 @@ def vectors(df: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_i
     base = tf if corpus is None else counts(corpus, id_col, grams=grams)
     n = (df if corpus is None else corpus).count()
     w = tf.join(idf(base, n).select("g", "idf"), "g", "left").select(id_col, "g", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return cut(w.join(norms, id_col).select(id_col, "g", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return cut(w.withColumn("norm", norm).select(id_col, "g", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w")))
 
 
 def similarities(queries: DataFrame, base: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -50,3 +50,19 @@ def test_older_only(spark, vec):
 def test_empty_sides(spark, vec):
     none = vec.limit(0)
     assert B.block_similarities(none, vec).count() == B.block_similarities(vec, none).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "a", "abc", "abcd", "abcdabcd", "日本語の日本語の", "a😀b😀a😀b😀", "ab\0cdab\0cd\0", "x" * 5000, "Müller Müller"])
+def test_grams_of_a_text(text):
+    from collections import Counter
+
+    want = Counter(text[i : i + 4] for i in range(len(text) - 3)) if len(text) >= 4 else Counter([text] if text else [])
+    g, tf = N.grams_of(text)
+    assert dict(zip((str(x) for x in g), tf.tolist())) == want
+
+
+def test_counts_equal_exploded_grams_also_for_repeated_ids(spark):
+    rows = [(1, "abcab cab"), (1, "abca"), (2, None), (3, "é日 日é日日"), (None, "abcdef")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = df.select("doc_id", F.explode(N.four_grams(F.col("text"))).alias("g")).groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("tf"))
+    assert sorted(map(str, N.counts(df).collect())) == sorted(map(str, plain.collect()))
