@@ -67,10 +67,9 @@ def _blocks(rows: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
 
     An entry is the gram's share of the document's grams times its idf; grams the vocabulary lacks count in the share only.
     """
-    tf = N.counts(rows, id_col)
-    total = tf.groupBy(id_col).agg(F.sum("tf").alias("total"))
+    tf = N.counts(rows, id_col).withColumn("total", F.sum("tf").over(Window.partitionBy(id_col)))
     place = rows.select(id_col, (F.col("pos") / ROWS).cast("int").alias("r"), (F.col("pos") % ROWS).cast("int").alias("d"))
-    cells = tf.join(vocab, "g").join(total, id_col).join(place, id_col).select("r", "d", "c", "at", (F.col("tf") / F.col("total") * F.col("idf")).alias("val"))
+    cells = tf.join(place, id_col).join(vocab, "g").select("r", "d", "c", "at", (F.col("tf") / F.col("total") * F.col("idf")).alias("val"))
 
     def pack(key, t):
         cols = [t.column(n).to_numpy().astype(kind) for n, kind in (("d", np.int32), ("at", np.int32), ("val", np.float64))]

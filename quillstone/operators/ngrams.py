@@ -64,7 +64,9 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams=
     """
     if grams is not four_grams:
         return df.select(F.col(id_col), F.explode(grams(F.col(text_col))).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("tf"))
-    rows = df.select(id_col, normalize_grams(F.col(text_col)).alias("t"))
+    rows = df.select(id_col, F.col(text_col).alias("t"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = (rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows).withColumn("t", normalize_grams(F.col("t")))
 
     def run(batches):
         for b in batches:

@@ -108,6 +108,33 @@ def p12_p13_marks(spark, d):
     return parts.select("id", F.col("p.num").alias("num"), F.col("p.part").alias("part"))
 
 
+_NUMBERED = "list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN i <= 10 THEN '①②③④⑤⑥⑦⑧⑨⑩'[i] || ' ' ELSE '' END || {0}[i])"
+_PART = "trim(CASE WHEN i < n THEN {0}[i] ELSE array_to_string({0}[i:], ' ') END, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS q, lead(role) OVER w AS next, coalesce(lead(text) OVER w, '') AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    s AS (SELECT conv_id, turn, string_split(q, '. ') AS qs, string_split(a, '. ') AS ans FROM t WHERE role = 'user' AND next = 'assistant'),
+    m AS (SELECT conv_id, turn, {_NUMBERED.format('qs')} AS qs, {_NUMBERED.format('ans')} AS ans, least(10, len(qs)) AS n, least(10, len(ans)) AS k FROM s),
+    one AS (SELECT *, n >= 2 AND n = k AS alike FROM m)
+    SELECT conv_id, turn, i::INT AS pair_index, n::INT AS pair_count, 'paired' AS split_mode, true AS has_enumeration, {_PART.format('qs')} AS question, {_PART.format('ans')} AS answer, false AS mark_mismatch
+    FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM one WHERE alike)
+    UNION ALL SELECT conv_id, turn, 1, 1, 'single', n >= 2 OR k >= 2, array_to_string(qs, ' '), array_to_string(ans, ' '), n >= 2 AND k >= 2 FROM one WHERE NOT alike"""
+)
+def p12_p13_question_answer_pairs(spark, d):
+    """User turns and the answers to them, their sentences numbered on both sides, split into pairs where the numbers agree."""
+    from quillstone.operators.pairs import split_pairs, turns_as_cases
+
+    marks = F.array(*[F.lit(x) for x in "①②③④⑤⑥⑦⑧⑨⑩"])
+
+    def numbered(c):
+        said = F.split(F.coalesce(c, F.lit("")), r"\. ", -1)
+        return F.array_join(F.transform(said, lambda p, i: F.when(i < 10, F.concat(F.try_element_at(marks, i + 1), F.lit(" "), p)).otherwise(p)), " ")
+
+    cases = turns_as_cases(read_table(spark, d, "conversations"))
+    return split_pairs(cases.withColumns({c: numbered(F.col(c)) for c in ("question", "answer")}))
+
+
 @query("SELECT g.doc_id, p.predicted, p.confidence FROM gold g JOIN pred p ON g.doc_id = p.doc_id WHERE p.model = 'keyword'")
 def p14_keyword(spark, d):
     label, _, conf = T.keyword_label(F.col("text"), KEYWORDS, "major")
