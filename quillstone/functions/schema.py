@@ -16,3 +16,23 @@ def problems(schema: object, path: str = "$") -> list[str]:
             out += [f"{at}.{k}: {REFUSED[k]}" for k in part if k in REFUSED]
         open_ = children + open_
     return out
+
+
+def schema_problems(rows, column: str):
+    """rows (a DataFrame) with one row a problem of the JSON schema in a column: place (from 1), path and remedy; schemas without problems give none.
+
+    What is no JSON is one problem, at $. Null has none.
+    """
+    import json
+
+    from pyspark.sql import functions as F
+
+    @F.udf("array<struct<place: int, path: string, remedy: string>>")
+    def found(text):
+        try:
+            told = problems(json.loads(text)) if text is not None else []
+        except ValueError:
+            told = ["$: write valid JSON"]
+        return [(i, *p.split(": ", 1)) for i, p in enumerate(told, 1)]
+
+    return rows.withColumn("__p", F.explode(found(F.col(column)))).select(*rows.columns, "__p.place", "__p.path", "__p.remedy")

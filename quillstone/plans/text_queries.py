@@ -395,6 +395,58 @@ def s17_s18_j4_resume(spark, d):
     return pending(docs, done, ["doc_id", "sha"]).select("doc_id")
 
 
+def _stub(run: int):
+    """A deterministic caller: labels by length; every 5th row fails once, every 7th fails in the first run, every 11th always."""
+    from quillstone.sources.calls import CallError
+
+    def call(prompt: str, attempt: int) -> dict:
+        head, _, text = prompt.partition("\n")
+        k = int(head)
+        if k % 11 == 0:
+            raise CallError("refusal", again=False)
+        if k % 7 == 0 and run == 1 or k % 5 == 0 and attempt == 1:
+            raise CallError("timeout", f"attempt {attempt}")
+        return {"output": {"label": ["major", "other", "rare"][len(text) % 3]}, "input_tokens": len(prompt) // 4, "output_tokens": 5}
+
+    return call
+
+
+@query(
+    """WITH g AS (SELECT doc_id, text, doc_id || chr(10) || text AS prompt, doc_id % 11 = 0 AS refused FROM gold)
+    SELECT doc_id, CASE WHEN NOT refused THEN ['major', 'other', 'rare'][length(text) % 3 + 1] END AS label, CASE WHEN refused THEN 'refusal' END AS error,
+      CASE WHEN refused THEN 1 WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END::INT AS attempts, CASE WHEN refused OR doc_id % 7 = 0 THEN 2 ELSE 1 END::INT AS run,
+      round(CASE WHEN refused THEN 0e0 ELSE (length(prompt) // 4 * 3e0 + 5 * 15e0) / 1e6 END, 9) AS cost, substr(sha256(prompt), 1, 16) AS input_sha FROM g"""
+)
+def s19_structured_calls(spark, d):
+    """Labels asked of a stub that fails now and then, in two runs: the second asks only for what failed in the first."""
+    import uuid
+
+    from quillstone.session import shared_dir
+    from quillstone.sources.calls import latest, run_calls
+
+    schema = {"type": "object", "required": ["label"], "properties": {"label": {"type": "string", "enum": ["major", "other", "rare"]}}}
+    rows = run_sql(spark, d, "SELECT doc_id, text FROM gold").select("doc_id", F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("prompt"))
+    out = f"{shared_dir(spark)}/quillstone-calls-{uuid.uuid4().hex}"
+    for run in (1, 2):
+        run_calls(rows, out, _stub(run), schema, ["doc_id"], "prompt", price_in=3.0, price_out=15.0)
+    return latest(spark.read.parquet(out), ["doc_id"]).select("doc_id", F.get_json_object("output", "$.label").alias("label"), "error", "attempts", "run", F.round("cost", 9).alias("cost"), "input_sha")
+
+
+_SCHEMA_ROWS = """SELECT source, CASE WHEN count(*) % 2 = 0 THEN concat('{"type":"array","maxItems":', CAST(count(*) AS {0}), ',"items":{"tags":[{"minItems":1},{"uniqueItems":true}]}}') ELSE '{"type":"object","properties":{"a":{"enum":["maxItems"]}}}' END AS body FROM documents GROUP BY source"""
+
+
+@query(
+    f"""WITH s AS ({_SCHEMA_ROWS.replace("{0}", "VARCHAR")}) SELECT source, body, p.place::INT AS place, p.path AS path, p.remedy AS remedy
+    FROM (SELECT source, body, unnest([{{'place': 1, 'path': '$.maxItems', 'remedy': 'cut the list afterwards'}}, {{'place': 2, 'path': '$.items.tags[0].minItems', 'remedy': 'check the list afterwards'}},
+      {{'place': 3, 'path': '$.items.tags[1].uniqueItems', 'remedy': 'remove repeated entries afterwards'}}]) AS p FROM s WHERE body LIKE '%minItems%')"""
+)
+def s20_schema_problems(spark, d):
+    """Output schemas, one a source, and what a structured-output service would refuse in them."""
+    from quillstone.functions.schema import schema_problems
+
+    return schema_problems(run_sql(spark, d, _SCHEMA_ROWS.replace("{0}", "STRING")), "body")
+
+
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def s1_s2_s4_jsonl(spark, d):
     """Documents written as JSON Lines to the shared folder and scanned again through a glob."""
