@@ -47,11 +47,40 @@ def case_fields(part: Column, serial: str, decisions: list[str], chars: int = DE
 
 
 def extraction_report(cases: DataFrame) -> DataFrame:
-    """(kind, value, n): cases by label and by warning, and serials that occur more than once, from (label, serial, warnings)."""
-    rows = [cases.select(F.lit("label").alias("kind"), F.coalesce("label", F.lit("none")).alias("value")), cases.select(F.lit("warning"), F.explode("warnings"))]
-    out = rows[0].union(rows[1]).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    twice = cases.filter("serial is not null").groupBy("serial").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return out.union(twice.select(F.lit("duplicate_serial"), "serial", "n"))
+    """(kind, value, n): cases by label, by warning and, where there are such columns, by type and sector; serials that occur more than once; of each type the serials in all.
+
+    cases has label, serial and warnings, and may have type and sector. What is null counts as none. Serials are told apart within their type, named before them.
+    """
+    tallies = [c for c in ("label", "type", "sector") if c in cases.columns]
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(F.col(c), F.lit("none")).alias("value")) for c in tallies])
+    told = F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: F.struct(F.lit("warning").alias("kind"), w.alias("value")))
+    out = cases.select(F.explode(F.concat(kinds, told)).alias("k")).groupBy("k.kind", "k.value").agg(F.count(F.lit(1)).alias("n"))
+    named = F.concat_ws(":", "type", "serial") if "type" in cases.columns else F.col("serial")
+    seen = cases.filter("serial is not null").groupBy(*[c for c in ("type",) if c in cases.columns], named.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    out = out.union(seen.filter("n > 1").select(F.lit("duplicate_serial"), "value", "n"))
+    if "type" in cases.columns:
+        out = out.union(seen.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("serials"), F.coalesce("type", F.lit("none")), "n"))
+    return out
+
+
+# Characters that may stand as check marks, and the least fill rates of a known format.
+CHECK_MARKS = "☑☒þ■▣◉√✓Vv●"
+LEAST_RATES = {"decision": 0.90, "serial": 0.95, "sector": 0.95}
+LEAST_FIELD_RATE = 0.80
+
+
+def format_drift(rates: DataFrame, least: dict[str, float] = LEAST_RATES, others: float = LEAST_FIELD_RATE) -> DataFrame:
+    """fill_rates with the least rate each field should have and whether the source falls below it, a sign that its format has changed."""
+    bound = F.lit(others)
+    for field, x in least.items():
+        bound = F.when(F.col("field") == field, x).otherwise(bound)
+    return rates.withColumn("least", bound).withColumn("drift", F.coalesce(F.col("rate"), F.lit(0.0)) < F.col("least"))
+
+
+def unknown_marks(histogram: DataFrame, known: str) -> DataFrame:
+    """mark_histogram with the characters of each pattern that are none of the known ones, each once in its order; empty: nothing new."""
+    letters = F.array_distinct(F.filter(F.split("pattern", ""), lambda c: (c != "") & ~F.contains(F.lit(known), c)))
+    return histogram.withColumn("unknown", F.array_join(letters, ""))
 
 
 def fill_rates(rows: DataFrame, source: str, fields: list[str]) -> DataFrame:

@@ -125,12 +125,24 @@ both(
     _POINTS
     + ", x AS (SELECT a.r, a.n AS n_a, b.n AS n_b, abs(a.coverage - b.coverage) AS gap, a.risk AS risk_a, b.risk AS risk_b, row_number() OVER (PARTITION BY a.r ORDER BY abs(a.coverage - b.coverage), b.n) AS k FROM points a CROSS JOIN points b WHERE a.model = 'keyword' AND b.model = 'length') SELECT DISTINCT n_a, n_b, round(gap, 6) AS gap, gap > 0.1 AS far, round(risk_a, 6) AS risk_a, round(risk_b, 6) AS risk_b FROM x WHERE k = 1",
 )
-both(
-    "a10_sectors",
-    """WITH b AS (SELECT source, max(n) / CAST(sum(n) AS DOUBLE) AS base FROM (SELECT source, label, count(*) AS n FROM gold GROUP BY source, label) c GROUP BY source),
-    a AS (SELECT model, source, count(*) AS n, CAST(avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END) AS DOUBLE) AS acc FROM scored GROUP BY model, source)
-    SELECT a.model, a.source, a.n, round(a.acc, 6) AS accuracy, round(b.base, 6) AS base, round(a.acc - b.base, 6) AS lift, round(CASE WHEN b.base < 1 THEN (a.acc - b.base) / (1 - b.base) ELSE 0 END, 6) AS norm_lift, a.n < 8 AS small FROM a JOIN b ON a.source = b.source""",
+@query(
+    """WITH c AS (SELECT model, source, label, count(*) AS c, min(doc_id) AS first_doc FROM scored GROUP BY ALL),
+    b AS (SELECT model, source, label AS base_label, c AS base_n FROM c QUALIFY row_number() OVER (PARTITION BY model, source ORDER BY c DESC, first_doc) = 1),
+    a AS (SELECT model, source, count(*) AS n, count(*) FILTER (label = predicted) AS correct FROM scored GROUP BY ALL),
+    l AS (SELECT model, source, l, count(*) FILTER (label = l AND predicted = l) AS tp, count(*) FILTER (label = l) AS n, count(*) FILTER (predicted = l) AS k FROM scored, (SELECT unnest(['major', 'other', 'rare']) AS l) GROUP BY ALL),
+    f AS (SELECT model, source, coalesce(avg(2e0 * tp / (n + k)) FILTER (n > 0), 0) AS macro_f1 FROM l GROUP BY ALL)
+    SELECT a.model, a.source, n, correct, round(correct / n::DOUBLE, 6) AS accuracy, base_label, base_n AS majority_correct, round(base_n / n::DOUBLE, 6) AS base, round(correct / n::DOUBLE - base_n / n::DOUBLE, 6) AS lift,
+      round(CASE WHEN base_n < n THEN (correct / n::DOUBLE - base_n / n::DOUBLE) / (1 - base_n / n::DOUBLE) ELSE 0e0 END, 6) AS norm_lift, correct - base_n AS items_vs_majority, round(macro_f1, 6) AS macro_f1, n < 8 AS small, n >= 3 AS listed
+    FROM a JOIN b USING (model, source) JOIN f USING (model, source)"""
 )
+def a10_sectors(spark, d):
+    """Every model in every sector against the sector's most frequent label."""
+    from quillstone.operators.harness import sector_table
+
+    out = sector_table(run_sql(spark, d, "SELECT model, doc_id, source, label, predicted FROM scored"), ["major", "other", "rare"])
+    return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "base", "lift", "norm_lift", "macro_f1")})
+
+
 both(
     "a11_sector_confidence",
     "SELECT model, source, CAST(sum(CASE WHEN rnk >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS sure, CAST(sum(CASE WHEN rnk < 2 THEN 1 ELSE 0 END) AS BIGINT) AS unsure, round(avg(CASE WHEN rnk >= 2 THEN CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END END), 6) AS acc_sure, round(avg(CASE WHEN rnk < 2 THEN CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END END), 6) AS acc_unsure FROM scored GROUP BY model, source",

@@ -308,11 +308,15 @@ def s9_s10_segments(spark, d):
 
 
 @query(
-    f"""WITH {_CASES} SELECT 'label' AS kind, coalesce(label, 'none') AS value, count(*) AS n FROM cases GROUP BY 2 UNION ALL SELECT 'warning', w, count(*) FROM (SELECT unnest(warnings) AS w FROM cases) GROUP BY 2
-    UNION ALL SELECT 'duplicate_serial', serial, count(*) FROM cases WHERE serial IS NOT NULL GROUP BY 2 HAVING count(*) > 1"""
+    f"""WITH {_CASES}, k AS (SELECT c.*, CASE WHEN c.page_id % 2 = 0 THEN 'nonaction' ELSE 'interpretation' END AS type, nullif(regexp_extract(p.url, '^https?://([^/]+)', 1), '') AS sector FROM cases c JOIN pages p ON p.page_id = c.page_id)
+    SELECT 'label' AS kind, coalesce(label, 'none') AS value, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM k GROUP BY 2 UNION ALL SELECT 'sector', coalesce(sector, 'none'), count(*) FROM k GROUP BY 2
+    UNION ALL SELECT 'warning', w, count(*) FROM (SELECT unnest(warnings) AS w FROM k) GROUP BY 2
+    UNION ALL SELECT 'duplicate_serial', type || ':' || serial, count(*) FROM k WHERE serial IS NOT NULL GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'serials', type, count(DISTINCT serial) FROM k WHERE serial IS NOT NULL GROUP BY 2"""
 )
 def s14_extraction_report(spark, d):
-    return segments.extraction_report(_cases(spark, d))
+    """Cases by label, type (even pages and odd ones), sector (the page's host) and warning, serials met twice, and serials in all."""
+    pages = read_table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, "nonaction").otherwise("interpretation").alias("type"), F.nullif(F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("")).alias("sector"))
+    return segments.extraction_report(_cases(spark, d).join(pages, "page_id"))
 
 
 @query(
@@ -326,6 +330,27 @@ def s15_fill_rates(spark, d):
     return segments.fill_rates(rows, "source", ["lang", "label", "quality", "toxic", "masked"])
 
 
+@query(
+    """WITH f AS (SELECT d.source, CASE WHEN l.quality IS NOT NULL THEN 'x' END AS decision, d.lang AS serial, CASE WHEN length(d.text) > 60 THEN 'x' ELSE ' ' END AS sector, CASE WHEN contains(d.text, '.') THEN 'x' ELSE '' END AS body FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+    r AS (SELECT source, unnest([{'field': 'decision', 'rate': avg((decision IS NOT NULL)::INT), 'least': 0.9e0}, {'field': 'serial', 'rate': avg((trim(coalesce(serial, '')) <> '')::INT), 'least': 0.95e0},
+      {'field': 'sector', 'rate': avg((trim(sector) <> '')::INT), 'least': 0.95e0}, {'field': 'body', 'rate': avg((body <> '')::INT), 'least': 0.8e0}]) AS x FROM f GROUP BY source)
+    SELECT source, x.field AS field, round(x.rate, 4) AS rate, x.least AS least, round(x.rate, 4) < x.least AS drift FROM r"""
+)
+def s15_format_drift(spark, d):
+    """Fill rates of each source against the least rates of a known format."""
+    rows = _docs(spark, d).join(read_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    some = lambda c, e: F.when(c, "x").otherwise(e)
+    rows = rows.select("source", some(F.col("quality").isNotNull(), None).alias("decision"), F.col("lang").alias("serial"), some(F.length("text") > 60, " ").alias("sector"), some(F.contains("text", F.lit(".")), "").alias("body"))
+    return segments.format_drift(segments.fill_rates(rows, "source", ["decision", "serial", "sector", "body"]))
+
+
+@query("""WITH h AS (SELECT source, array_to_string(regexp_extract_all(text, '([#%&$])', 1), '') AS pattern, count(*) AS n FROM documents WHERE regexp_matches(text, '[#%&$]') GROUP BY 1, 2)
+    SELECT source, pattern, n, CASE WHEN contains(pattern, '$') THEN '$' ELSE '' END AS unknown FROM h""")
+def s15_unknown_marks(spark, d):
+    """Sequences of marks of each source, and the marks among them that no known format has."""
+    return segments.unknown_marks(segments.mark_histogram(_docs(spark, d), "source", "text", "#%&$"), "#%&")
+
+
 @query("SELECT source, array_to_string(regexp_extract_all(text, '([#%&$])', 1), '') AS pattern, count(*) AS n FROM documents WHERE regexp_matches(text, '[#%&$]') GROUP BY 1, 2")
 def s15_mark_histogram(spark, d):
     return segments.mark_histogram(_docs(spark, d), "source", "text", "#%&$")

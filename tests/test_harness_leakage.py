@@ -80,3 +80,25 @@ def test_leakage_equals_plain_python(spark):
 def test_leakage_tie_of_labels_goes_to_the_first_document(spark):
     rows = [(i, "same text here", "ba"[i % 2]) for i in range(12)]
     assert {r.label for r in leakage(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()} == {"b"}
+
+
+def test_sector_table_by_hand(spark):
+    from quillstone.operators.harness import sector_table
+
+    rows = [("m", i, "x", y, p) for i, (y, p) in enumerate([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")])] + [("m", 9, None, "a", "a"), ("m", 10, "y", "b", None), ("m", 11, "y", "b", "b")]
+    got = {r.source: r for r in sector_table(spark.createDataFrame(rows, "model string, doc_id long, source string, label string, predicted string"), ["a", "b"], small=2).collect()}
+    x = got["x"]
+    assert (x.n, x.correct, x.base_label, x.majority_correct, x.items_vs_majority, x.small, x.listed) == (4, 3, "a", 2, 1, False, True)
+    assert (x.accuracy, x.base, x.lift, x.norm_lift) == (0.75, 0.5, 0.25, 0.5) and x.macro_f1 == pytest.approx((2 / 3 + 4 / 5) / 2)
+    none = got[UNKNOWN]
+    assert (none.n, none.norm_lift, none.macro_f1, none.small, none.listed) == (1, 0.0, 1.0, True, False)
+    assert (got["y"].correct, got["y"].items_vs_majority, got["y"].listed) == (1, -1, False)
+
+
+def test_format_drift_and_marks(spark):
+    from quillstone.operators import segments
+
+    rates = spark.createDataFrame([("s", "decision", 0.9), ("s", "serial", 0.94), ("s", "body", 0.79), ("t", "body", None)], "source string, field string, rate double")
+    assert {(r.source, r.field): r.drift for r in segments.format_drift(rates).collect()} == {("s", "decision"): False, ("s", "serial"): True, ("s", "body"): True, ("t", "body"): True}
+    seen = spark.createDataFrame([("s", "☑□☑", 3), ("s", "☑", 1), ("t", "◆☑◆□", 1)], "source string, pattern string, n long")
+    assert [r.unknown for r in segments.unknown_marks(seen, segments.CHECK_MARKS).orderBy("pattern").collect()] == ["◆□", "", "□"]
