@@ -85,8 +85,10 @@ def risk_areas(outcomes: DataFrame, models: list[str], most_rank: int = 3) -> Da
     return agg.select("r", name.alias("model"), area.alias("f"))
 
 
-def intervals(scores: DataFrame, rounds: int) -> DataFrame:
-    """(model, lo, hi): the 2.5 and 97.5 per cent places of each model's rounds."""
+def intervals(scores: DataFrame, rounds: int, n: int | None = None) -> DataFrame:
+    """(model, lo, hi): the 2.5 and 97.5 per cent places of each model's rounds; (0, 0) where fewer than two of n rows were there to draw from."""
+    if n is not None and n < 2:
+        return scores.select("model").distinct().select("model", F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
     k = F.row_number().over(Window.partitionBy("model").orderBy("f")) - 1
     at = lambda j: F.max(F.when(F.col("k") == j, F.col("f")))
     return scores.withColumn("k", k).groupBy("model").agg(at(int(0.025 * rounds)).alias("lo"), at(int(0.975 * rounds) - 1).alias("hi"))

@@ -24,14 +24,32 @@ def indexed(df: DataFrame, *order: str, keep_part: bool = False) -> DataFrame:
     return out.drop("__part", "__at", "__start")
 
 
+def grouped_places(df: DataFrame, groups: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """df with a column for each row's 0-based place in its group's order; null is a group like any other.
+
+    indexed() within groups: rows are range-partitioned by group and order, so a large group lies in several ranges. A row's place is its place among
+    the group's rows of its range plus the group's rows of the ranges before, of which one number a group and range is brought together.
+    """
+    parts = cut(df.repartitionByRange(*groups, *order).withColumn("__part", F.spark_partition_id()))
+    mine = [F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]
+    sizes = parts.groupBy(F.col("__part").alias("__p"), *mine).agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy(*[f"__g{i}" for i in range(len(groups))]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(own), F.lit(0))).drop("__n")
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    at = F.row_number().over(Window.partitionBy("__part", *groups).orderBy(*order)) - 1
+    out = parts.withColumn("__at", at).join(starts, same)
+    return out.withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start", "__p", *[f"__g{i}" for i in range(len(groups))])
+
+
 def group_split(rows: DataFrame, ranks: dict[str, int], every: int = 3, id_col: str = "doc_id") -> DataFrame:
     """rows with stratum (rank of the rarest label in the row's group) and is_dev (whole groups, every third of a stratum by first key as text)."""
     rank = F.lit(len(ranks))
     for label, r in ranks.items():
         rank = F.when(F.col("label") == label, r).otherwise(rank)
     groups = rows.groupBy("grp").agg(F.min(rank).alias("stratum"), F.min(F.col(id_col).cast("string")).alias("first_key"))
-    order = F.row_number().over(Window.partitionBy("stratum").orderBy("first_key")) - 1
-    groups = groups.withColumn("is_dev", order % every == 0)
+    groups = grouped_places(groups, ["stratum"], ["first_key"]).withColumn("is_dev", F.col("pos") % every == 0)
     return rows.join(groups.select("grp", "stratum", "is_dev"), "grp")
 
 
@@ -41,8 +59,7 @@ def stratified(rows: DataFrame, strata: list[str], order: str, size: int) -> Dat
     total = counts.agg(F.sum("n")).first()[0] or 1
     want = F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("n") / F.lit(total), 0).cast("long"))
     counts = counts.withColumn("want", want).withColumn("step", F.greatest(F.lit(1), F.expr("n div want")))
-    at = F.row_number().over(Window.partitionBy(*strata).orderBy(order)) - 1
-    out = rows.join(counts, strata).withColumn("i", at)
+    out = grouped_places(rows.join(counts, strata), strata, [order], "i")
     return out.filter("i % step = 0 and i div step < want").drop("n", "want", "step", "i")
 
 

@@ -222,9 +222,13 @@ def w17_validity(spark, d):
 MODELS, LABELS = ["keyword", "length", "majority"], ["major", "other", "rare"]
 
 
-def _outcomes(spark, d, rounds: int):
+def _cells(spark, d):
+    return cut(resample.joint_cells(run_sql(spark, d, "SELECT doc_id, model, label, predicted, rnk FROM scored"), MODELS))
+
+
+def _outcomes(spark, d, rounds: int, cells=None):
     """(r, label, predicted, rnk, k): each round's cells with their outcomes."""
-    cells = cut(resample.joint_cells(run_sql(spark, d, "SELECT doc_id, model, label, predicted, rnk FROM scored"), MODELS))
+    cells = _cells(spark, d) if cells is None else cells
     return resample.resampled(cells, rounds).join(F.broadcast(cells.drop("k", "begins")), "cell")  # cells are few
 
 
@@ -274,8 +278,9 @@ def w9_paired_bootstrap(spark, d):
 
 @query(f"WITH {_draws_sql(resample.INTERVAL_ROUNDS)}{_F1_SQL}, o AS (SELECT model, f, row_number() OVER (PARTITION BY model ORDER BY f) - 1 AS k FROM sc) SELECT model, {_ends(resample.INTERVAL_ROUNDS, 'f')} FROM o GROUP BY model")
 def w10_bootstrap_ci(spark, d):
-    scores = resample.macro_f1(_outcomes(spark, d, resample.INTERVAL_ROUNDS), MODELS, LABELS)
-    return _rounded(resample.intervals(scores, resample.INTERVAL_ROUNDS))
+    cells = _cells(spark, d)
+    scores = resample.macro_f1(_outcomes(spark, d, resample.INTERVAL_ROUNDS, cells), MODELS, LABELS)
+    return _rounded(resample.intervals(scores, resample.INTERVAL_ROUNDS, cells.agg(F.sum("k")).first()[0] or 0))
 
 
 @query(f"WITH {_draws_sql(resample.AREA_ROUNDS)}{_AREA_SQL}{_pairs_sql(resample.AREA_ROUNDS)}")

@@ -169,6 +169,19 @@ def p17_p18_grounding(spark, d):
     return grounding.grounded(docs, items)
 
 
+_QUOTED = "CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN concat('#', substr(text, 10, 30)) WHEN doc_id % 3 = 0 THEN concat('• ', substr(text, 10, 30)) ELSE substr(text, 10, 30) END"
+
+
+@query(
+    rf"""WITH q AS (SELECT doc_id, regexp_replace(text, '{_WS}', '', 'g') AS t, regexp_replace({_QUOTED}, '{_WS}', '', 'g') AS q FROM documents WHERE length(text) >= 40)
+    SELECT doc_id, replace(q, '•', '') <> '' AND contains(t, replace(q, '•', '')) AS quote_grounded, contains(t, q) AS evidence_grounded FROM q"""
+)
+def p17_p18_both_checks(spark, d):
+    """Both checks of one quotation a document: plain, after a bullet, garbled, and empty, where they part."""
+    rows = _docs(spark, d).filter("length(text) >= 40").withColumn("quote", F.expr(_QUOTED))
+    return rows.select("doc_id", T.quote_grounded(F.col("quote"), F.col("text")).alias("quote_grounded"), T.evidence_grounded(F.col("quote"), F.col("text")).alias("evidence_grounded"))
+
+
 @query("""SELECT p.page_id, u.reason FROM (SELECT page_id, [CASE WHEN length(html) < 3000 THEN 'short' END, CASE WHEN NOT contains(html, '<h1') THEN 'no_heading' END, CASE WHEN contains(url, '?') THEN 'query_url' END] AS r FROM pages) p, UNNEST(p.r) AS u(reason) WHERE u.reason IS NOT NULL""")
 def p19_p20_a33_discards(spark, d):
     """All reasons a row fails for, one row each, as a discard log keeps them."""
