@@ -9,7 +9,6 @@ state before each, and then every segment unrolls its own choices.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import groupby
 
 import pandas as pd
@@ -55,11 +54,19 @@ def _edits(symbol: int, q: int) -> list[tuple[str, int, int]]:
     return out
 
 
-@lru_cache(maxsize=None)
+#: Powers and steps met so far; plain tables, as they travel to executors by value with the functions that fill them.
+_powers_met: dict[tuple[int, int], Matrix] = {}
+_steps_met: dict[tuple, tuple] = {}
+
+
 def power(symbol: int, k: int) -> Matrix:
     """The matrix of 2**k rows with one symbol: least cost from each state before them to each state after them."""
-    if k:
-        return _times(power(symbol, k - 1), power(symbol, k - 1))
+    if (symbol, k) not in _powers_met:
+        _powers_met[symbol, k] = _times(power(symbol, k - 1), power(symbol, k - 1)) if k else _one_row(symbol)
+    return _powers_met[symbol, k]
+
+
+def _one_row(symbol: int) -> Matrix:
     inserted = [[INF] * 4 for _ in range(4)]
     for q in range(4):
         p, cost = q, 0
@@ -97,9 +104,13 @@ def matrix_of(symbols: bytes) -> Matrix:
     return out
 
 
-@lru_cache(maxsize=1 << 16)
 def _step(symbol: int, after: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[tuple[str, int], ...]]:
-    """Costs before one row, less their minimum, and for each state the edits that use it up, ASCII-least first, with the state after."""
+    """Costs before one row, less their minimum, and for each state the edits that use it up, ASCII-least first, with the state after.
+
+    Costs less their minimum differ by a few edits at most, so few are ever met.
+    """
+    if (symbol, after) in _steps_met:
+        return _steps_met[symbol, after]
     before, choice = across(symbol, 1, after), []
     for q in range(4):
         done = ""
@@ -111,7 +122,8 @@ def _step(symbol: int, after: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[t
                 break
             done, q = done + "I" + _TURN[q], to
     low = min(before)
-    return tuple(x - low for x in before), tuple(choice)
+    _steps_met[symbol, after] = tuple(x - low for x in before), tuple(choice)
+    return _steps_met[symbol, after]
 
 
 def unrolled(symbols: bytes, after: tuple[int, ...], start: int) -> tuple[list[str], int]:
