@@ -12,8 +12,6 @@ from quillstone.session import cut
 
 #: Bisection steps answered by one aggregation: it evaluates all midpoints those steps could ask for.
 DEPTH = 5
-#: The steepest exponent tried: at it a source a third smaller than the largest has next to no weight.
-LARGEST = 32.0
 
 
 def _spread(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float]]:
@@ -36,15 +34,22 @@ def _spread(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[floa
         )
         .collect()
     )
-    return {r.x: (r.x * r.top + math.log(r.z) - r.x * (r.top + r.zl / r.z), math.exp(min(r.hi - r.lo, 700.0)), math.exp(min(r.hi - r.x * r.top - math.log(r.z), 700.0))) for r in rows}
+    return {r.x: (math.log(r.z) - r.x * r.zl / r.z, math.exp(min(r.hi - r.lo, 700.0)), math.exp(min(r.hi - r.x * r.top - math.log(r.z), 700.0))) for r in rows}
+
+
+def _steepest(shares: DataFrame) -> float:
+    """The exponent at which the second largest share, relative to the largest, is below what a double's sum over sources can tell from nothing."""
+    top = shares.agg(F.max("share")).first()[0] or 1.0
+    gap = shares.filter(F.col("share") < top).agg(F.max(F.log(F.col("share") / F.lit(top)))).first()[0]
+    return 1.0 if gap is None else max(1.0, -45.0 / gap)
 
 
 def find_exponent(shares: DataFrame, target_entropy: float | None, max_repeats: float | None, budget_ratio: float | None, steps: int = 30) -> float:
     """The exponent by bisection: the one whose entropy is the target, or the flattest within the repetition limit.
 
     Exponents from 0 (all sources alike) to 1 (their natural shares) flatten; a target below the natural entropy needs one above 1, so
-    the bracket doubles until it holds the target. Entropies no exponent reaches give the nearest end: 0 above the logarithm of the number
-    of sources, LARGEST below that of the largest sources alone. budget_ratio: budget over all tokens; None: the least budget that shows every source once.
+    the bracket doubles until it holds the target, however near the shares are to one another. Entropies no exponent reaches give the nearest end: 0
+    above the logarithm of the number of sources; at or below that of the largest sources alone, the exponent at which all others weigh nothing. budget_ratio: budget over all tokens; None: the least budget that shows every source once.
     """
 
     def too_flat(at):
@@ -54,13 +59,14 @@ def find_exponent(shares: DataFrame, target_entropy: float | None, max_repeats:
         repeats = against_peer if budget_ratio is None else ratio * budget_ratio
         return repeats > max_repeats * (1 + 1e-12)
 
-    if target_entropy is None:
-        ends = [0.0, 1.0]  # beyond 1 the large sources would be the repeated ones
-    else:
-        ends = [0.0, *(2.0**k for k in range(int(math.log2(LARGEST)) + 1))]
+    ends = [0.0, 1.0]  # without a target nothing is beyond 1: the large sources would be the repeated ones
     flat = {x: too_flat(at) for x, at in _spread(shares, ends).items()}
     if not flat[0.0]:
         return 0.0
+    while flat[ends[-1]] and target_entropy is not None and ends[-1] < (enough := _steepest(shares)):
+        more = [min(ends[-1] * 2**k, enough) for k in range(1, DEPTH + 1)]
+        flat |= {x: too_flat(at) for x, at in _spread(shares, more).items()}
+        ends += more
     hi = min((x for x in ends if not flat[x]), default=ends[-1])
     lo = max(x for x in ends if x < hi)
     for _ in range(math.ceil(steps / DEPTH)):
@@ -88,13 +94,14 @@ def mix_sources(
 
     Source shares of all tokens (words by default) are raised to an exponent found by bisection and normalised.
     Each source's budget is its weight of the total budget; with budget None the total is the least that shows
-    every source once. A source's blocks (documents by id hash) come in a fresh hash permutation every
+    every source once. A source's blocks (documents by hash) come in a fresh hash permutation every
     epoch, and so do the documents of a block; a copy belongs to the result when it ends within the source's budget.
     start counts tokens within the source's stream; mix_key in [0, 1) interleaves the sources by weight.
 
     Positions are prefix sums on three levels (groups of blocks, blocks, documents), so no window holds more than
     about the square root of a source's blocks or one block. A null source is a source of its own. Null or empty texts have no tokens
-    and come once per full epoch of their source; a source without tokens comes once. Rows repeating an id stay apart.
+    and come once per full epoch of their source; a source without tokens comes once. Rows repeating an id, or without one, stay apart; of those with one
+    source the order is by a hash of id, tokens and a running number, so equal input gives equal output whatever order its rows come in.
     An empty table gives an empty result. Further columns are ignored.
     """
     spark = docs.sparkSession
@@ -121,7 +128,10 @@ def mix_sources(
     blocks = max(1, math.ceil(total / block_tokens), math.ceil(8 * n_rows / block_tokens))  # rows without tokens fill blocks too
     wide = max(1, math.isqrt(blocks))
     rank = lambda *cols: F.xxhash64(*cols, F.lit(seed))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(blocks)))
+    # rows alike in id, source and size are counted and numbered, so those of one id, or without one, spread over the blocks and have a stated order
+    rows = _numbered(rows.groupBy("id", "source", "src", "n_tokens").agg(F.count(F.lit(1)).alias("alike")), "alike", "same").drop("alike")
+    own = [F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull(), F.col("n_tokens"), F.col("same")]
+    rows = cut(rows.withColumn("block", F.pmod(rank(*own), F.lit(blocks))))
     sized = rows.groupBy("src", "block").agg(F.sum("n_tokens").alias("b_tokens"))
     sized = sized.join(weights.select("src", "epochs", "tokens", "budget_tokens", "weight").filter("epochs > 0"), "src")
     sized = _numbered(sized, "epochs", "epoch")
@@ -135,7 +145,7 @@ def mix_sources(
     placed = placed.select("src", "block", "epoch", "weight", "budget_tokens", base.alias("base"), "b_tokens")
     placed = placed.filter("base <= budget_tokens")
     out = rows.join(placed, ["src", "block"])
-    out = out.withColumn("start", F.col("base") + before("n_tokens", "src", "block", "epoch", order=[rank(F.col("id").cast("string"), "epoch"), "id"]))
+    out = out.withColumn("start", F.col("base") + before("n_tokens", "src", "block", "epoch", order=[rank(*own, F.col("epoch")), "id", "n_tokens", "same"]))
     out = out.filter("start + n_tokens <= budget_tokens")
     mid = (F.col("start") + F.col("n_tokens") / 2) / F.greatest(F.col("budget_tokens"), F.lit(1))
     return out.select(F.col("id").alias(id_col), "source", "epoch", "n_tokens", "start", "weight", "budget_tokens", mid.alias("mix_key"))

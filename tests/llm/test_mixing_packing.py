@@ -34,11 +34,38 @@ def test_exponent_meets_the_target_entropy(spark, shares, target):
 def test_exponents_at_the_ends(spark, shares):
     df = spark.createDataFrame([(s, n, n / 1000) for s, n in shares.items()], "src string, tokens long, share double")
     assert mixing.find_exponent(df, 5.0, None, None) == 0.0  # more than the logarithm of three
-    assert mixing.find_exponent(df, -1.0, None, None) == mixing.LARGEST
+    steep = mixing.find_exponent(df, -1.0, None, None)  # below what any exponent gives: the largest source has all the weight
+    assert steep < 1000 and (300 / 500) ** steep < 1e-19
     assert mixing.find_exponent(df, None, 1.0, None) == pytest.approx(1.0, abs=1e-6) and mixing.find_exponent(df, None, 100.0, None) == 0.0
     assert mixing.find_exponent(df, None, 1.0, 50.0) == 1.0  # a budget that repeats every source whatever the exponent
 
 
+@pytest.mark.parametrize("target", [0.01, 0.3, 0.9])
+def test_near_equal_shares_reach_any_entropy(spark, target):
+    near = {"a": 0.3334, "b": 0.3333, "c": 0.3333}
+    x = mixing.find_exponent(spark.createDataFrame(list(near.items()), "src string, share double"), target, None, None)
+    w = [(v / 0.3334) ** x for v in near.values()]
+    w = [v / sum(w) for v in w]
+    assert x > 32 and -sum(v * math.log(v) for v in w) == pytest.approx(target, abs=1e-5)
+
+
+def test_tied_largest_sources_bound_the_entropy_from_below(spark):
+    df = spark.createDataFrame([("a", 0.4), ("b", 0.4), ("c", 0.2)], "src string, share double")
+    x = mixing.find_exponent(df, 0.1, None, None)
+    assert 0.5**x < 1e-19 and mixing.find_exponent(df.filter("src <> 'c'"), 0.1, None, None) == 1.0
+
+
+def test_repeated_and_null_ids_give_the_same_stream_in_any_order(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, None, 5, 6, i]), rng.choice([0, 3, 3, 8, 400]), rng.choice(["a", "a", "a", None])) for i in range(160)]
+    runs = []
+    for df in (docs(spark, rows), docs(spark, rows[::-1]).repartition(7)):
+        out = mixing.mix_sources(df, budget=30000, max_repeats=2.0, block_tokens=700).collect()
+        runs.append(Counter((r.doc_id, r.source, r.epoch, r.n_tokens, r.start, round(r.mix_key, 9)) for r in out))
+    first = Counter((r[0], r[1], r[3]) for r in runs[0].elements() if r[2] == 0)
+    assert runs[0] == runs[1] and first == Counter((i, s, n) for i, n, s in rows)
+
+
 def brute_rows(rows, out):
     """What any right result must be, from its own epochs: whole permutations, streams without gaps, cut at the budget."""
     size = {i: n or 0 for i, n, _ in rows}
