@@ -58,6 +58,14 @@ def r9_a21_rule_transfer(spark, d):
     return R.transfer(rules, default, s.filter("pos % 3 <> 0"))
 
 
+@query()
+def r7_rule_discards(spark, d):
+    """Candidates that reached a beam on dev and fell below the least precision, with the order of the rule they stood for."""
+    learned = R.induce_with_discards(cut(run_sql(spark, d, "SELECT doc_id, text, source, label FROM split WHERE pos % 3 = 0")))
+    listed = [(r.order, " AND ".join(f"{kind}:{value}" for kind, value in sorted(r.atoms)), r.label, r.support, round(r.precision, 3)) for r in learned.dropped]
+    return spark.createDataFrame(listed, "ord int, conditions string, label string, support long, precision_ double")
+
+
 @query()
 def r4_maximal_forms(spark, d):
     """The n-grams of a rule list learned on dev and the phrases they are pieces of."""
