@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
+from collections import Counter
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,14 @@ GIVEN = {
 _SYLLABLES = {"latin": ("ba", "den", "fo", "gar", "hel", "ker", "lo", "mar", "nes", "po", "ris", "son", "tal", "vik", "wen", "zor"), "cyrillic": ("ба", "вен", "го", "дар", "жел", "кер", "ло", "мар", "нес", "по", "рис", "сон", "тал", "вик", "фен", "зор")}
 
 _UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
-_TITLE = "|".join(h for hs in HONORIFICS.values() for h in hs)
+# Small words of family names, and words of the calendar, which are names only after a title.
+PARTICLES = ("al", "bin", "da", "de", "del", "den", "der", "di", "du", "el", "la", "le", "ten", "ter", "van", "von", "zu")
+CALENDAR = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+)
+_HONORIFICS = {form: g for g, hs in HONORIFICS.items() for h in hs for form in (h, h.upper())}
+_TITLE = "|".join(sorted(_HONORIFICS, key=lambda h: (-len(h), h)))
 _SECRET = re.compile(r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b["']?\s*[=:]\s*["']?)([^\s"',;]{6,})""")
 _EMAIL = re.compile(r"[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _ACCESS = re.compile(r"\bAKIA[0-9A-Z]{12,20}\b")
@@ -40,14 +50,20 @@ _DIGITS = re.compile(
   | (?P<phone>(?<![\w.+-])(?:
         \+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}     # with a country code
       | (?:1[ .-])?\(\d{2,5}\)[ .-]?\d{3,4}(?:[ .-]\d{2,4}){1,2}  # with an area code in brackets
-      | [2-9]\d{2}([.-])[2-9]\d{2}\5\d{4}                         # area, exchange and number
+      | (?:1[ .-])?[2-9]\d{2}([.-])[2-9]\d{2}\5\d{4}              # area, exchange and number
+      | (?:1[ ])?[2-9]\d{2}[ ]\d{3}[ ]\d{4}                      # the same set apart by spaces
       | 0\d{1,4}[ -]\d{2,4}(?:[ -]\d{2,4}){1,3}                   # with the trunk digit
     )(?![\w-]|\.\d))
     """,
     re.VERBOSE,
 )
-_NAME = re.compile(rf"(?P<title>\b(?:{_TITLE})\.?)\s+(?P<name>[{_UP}][{_LOW}]+(?:\s+[{_UP}][{_LOW}]+)?)")
-_HONORIFICS = tuple(h for hs in HONORIFICS.values() for h in hs)
+#: A word of a name: inner capitals, apostrophes before capitals and hyphens are parts of it, a genitive's ending is not.
+_PART = rf"[{_UP}](?:[{_UP}{_LOW}]|['’](?![sS]\b)[{_UP}])+"
+_WORD = rf"(?:(?:{'|'.join(PARTICLES)})\s+)*{_PART}(?:-{_PART})*"
+#: One title or several, initials, and up to three words with their particles.
+_NAME = re.compile(rf"\b(?P<titles>(?:(?:{_TITLE})(?:\.\s*|\s+))+)(?:[{_UP}]\.\s*)*(?P<name>{_WORD}(?:\s+(?:[{_UP}]\.\s+)?{_WORD}){{0,2}})")
+_HYPHENED = re.compile(rf"[{_UP}][\w'’]*-$")
+_RELEASE = re.compile(r"(?i:\b(?:version|ver|v|release|build|firmware)\.?\s*)$")
 _WORDS_OF_SECRETS = ("password", "passwd", "pwd", "secret", "token", "api")
 _DATE = re.compile(r"(?:\d{4}([ .-])\d{1,2}\1\d{1,2}|\d{1,2}([ .-])\d{1,2}\2\d{4})$")
 
@@ -58,35 +74,57 @@ def _check97(iban: str) -> int:
 
 
 def _is_phone(said: str) -> bool:
-    """Whether digits that look like a phone number are one: 8 to 15 of them, 9 without a country code, and no date."""
+    """Whether digits that look like a phone number are one: 8 to 15 of them, 9 without a country code, no date, and no number grouped by threes."""
     n = sum(c.isdigit() for c in said)
-    return (8 if said[0] == "+" else 9) <= n <= 15 and not _DATE.match(said)
+    return (8 if said[0] == "+" else 9) <= n <= 15 and not _DATE.match(said) and not re.fullmatch(r"\d{3}(?: \d{3})+", said)
+
+
+def _is_card(digits: str) -> bool:
+    """Whether digits without gaps are a card's: a valid last digit, or sixteen of them, but for a mere count (1234...)."""
+    return _luhn_sum(digits) % 10 == 0 or len(digits) == 16 and any((int(b) - int(a)) % 10 != 1 for a, b in zip(digits, digits[1:]))
+
+
+def _person(name: str) -> tuple[list[str], str]:
+    """Given names and the family name (from its first particle on) of a folded name; a family name alone has no given ones."""
+    words = [w for w in name.split() if not w.endswith(".")]
+    at = next((i for i, w in enumerate(words) if w in PARTICLES), len(words) - 1)
+    return words[:at], " ".join(words[at:])
+
+
+def _forms(name: str) -> tuple[set[str], set[str]]:
+    """How a person with a full name is called beside it: by family name (whole, without particles, with the first name), and by given names."""
+    given, family = _person(name)
+    return {family, family.split()[-1], f"{given[0]} {family}"}, {*given, " ".join(given)}
 
 
 def _by_person(text: str, spans: list, titled: list[tuple[int, int, str, str]]) -> list:
     """The name spans of a text with titled names (start, end, gender, name), and its mentions without a title outside spans.
 
-    A full name is one person for each gender its titles give; a single word is the one person of that name and gender, else its own.
-    Capital initials are asked for, so a word that is also a name is replaced where it is written like one.
+    A full name is one person for each gender its titles give; a family name alone is the one person of that name and gender, else its own.
+    Capital initials are asked for, so a word that is also a name is replaced where it is written like one; words of the calendar, and parts of
+    longer hyphenated names, are not.
     """
     full: dict[str, set[str]] = {}
-    for _, _, g, name in titled:
-        if " " in name:
-            full.setdefault(name, set()).add(g)
     lone: dict[str, set[str]] = {}
     for _, _, g, name in titled:
-        if " " not in name:
-            lone.setdefault(name, set()).add(g)
+        (full if _person(name)[0] else lone).setdefault(name, set()).add(g)
+    bearers = Counter(_person(name)[1] for name in full)
+    by_family: dict[str, list[str]] = {}
+    by_given: dict[str, list[str]] = {}
     for name, gs in full.items():
-        family = name.rpartition(" ")[2]
-        alone = sum(x.rpartition(" ")[2] == family for x in full) == 1
-        full[name] = gs - {"n"} or (lone.get(family, set()) - {"n"} if alone and len(lone.get(family, set()) - {"n"}) == 1 else {"n"}) or {"n"}
-
+        family = _person(name)[1]
+        told = lone.get(family, set()) - {"n"}
+        full[name] = gs - {"n"} or (told if bearers[family] == 1 and len(told) == 1 else {"n"})
+        for index, forms in zip((by_family, by_given), _forms(name)):
+            for form in forms:
+                index.setdefault(form, []).append(name)
+
+    @cache
     def key(name: str, g: str) -> str:
         if name in full:
             return f"{g if g in full[name] else min(full[name])}:{name}"
-        for part in (2, 0):  # the family name before the given one
-            fits = [(n, x) for n, gs in full.items() if n.partition(" ")[part] == name for x in sorted(gs) if "n" in (g, x) or g == x]
+        for index in (by_family, by_given):
+            fits = [(n, x) for n in index.get(name, ()) for x in sorted(full[n]) if "n" in (g, x) or g == x]
             if len(fits) == 1:
                 return f"{fits[0][1]}:{fits[0][0]}"
         gs = lone.get(name, set()) - {"n"}
@@ -95,13 +133,15 @@ def _by_person(text: str, spans: list, titled: list[tuple[int, int, str, str]])
     out = spans + [(a, b, "name", key(name, g)) for a, b, g, name in titled]
     taken = sorted((a, b) for a, b, _, _ in out)
     said = {" ".join(text[a:b].split()) for a, b, _, _ in titled}
-    forms = sorted(said | {w for x in said for w in x.split()}, key=lambda x: (-len(x), x))
-    any_form = re.compile(r"(?<!\w)(?:" + "|".join(r"\s+".join(re.escape(w) for w in x.split()) for x in forms) + r")(?!\w)", re.IGNORECASE)
+    forms = {*said, *lone, *full, *by_family, *by_given} - {*CALENDAR, *(x.title() for x in CALENDAR), *(x.upper() for x in CALENDAR)}
+    any_form = re.compile(r"(?<!\w)(?:" + "|".join(r"\s+".join(re.escape(w) for w in x.split()) for x in sorted(forms, key=lambda x: (-len(x), x)) or ["(?!)"]) + r")(?!\w)", re.IGNORECASE)
     at = 0
     for m in any_form.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
-        if (at == len(taken) or taken[at][0] >= m.end()) and all(w[0].isupper() for w in m[0].split()):
+        words = m[0].split()
+        inside = text[m.end() : m.end() + 1] == "-" and text[m.end() + 1 : m.end() + 2].isupper() or _HYPHENED.search(text, max(0, m.start() - 40), m.start())
+        if (at == len(taken) or taken[at][0] >= m.end()) and not inside and words[-1][0].isupper() and all(w[0].isupper() or w in PARTICLES for w in words):
             out.append((m.start(), m.end(), "name", key(" ".join(m[0].casefold().split()), "n")))
     return sorted(out)
 
@@ -126,8 +166,10 @@ def _unnamed(text: str) -> list[tuple[int, int, str, str]]:
             kind = m.lastgroup if m.lastgroup else "phone"
             key = re.sub(r"\D", "", m[0])
             if kind == "ip":
+                if _RELEASE.search(text, max(0, m.start() - 16), m.start()):
+                    continue
                 key = m[0]
-            elif kind == "card" and key == m[0] and _luhn_sum(key) % 10:
+            elif kind == "card" and key == m[0] and not _is_card(key):
                 continue  # a long number
             elif kind == "phone":
                 if not _is_phone(m[0]):
@@ -151,16 +193,23 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, key) of the entities of a text in order; mentions of one entity have one key whatever their format.
 
     Types: secret (a value given for a password, token or key), email, access (a cloud key's id), iban (with valid check digits), ip, ip6, ssn,
-    card (in groups, or with a valid last digit), phone, name (after an honorific, and all its mentions in the text). Dates, versions and lists of
-    numbers are none of them.
+    card (in groups, of 16 digits, or with a valid last digit), phone, name (up to three words after one title or several, and all its mentions in
+    the text). Dates, versions and lists of numbers are none of them; initials before a name stay. A title in capitals needs a name in capitals.
     """
     out = _unnamed(text)
     titled = []
     if any(h in text for h in _HONORIFICS):
         for m in _NAME.finditer(text):
-            gender = next(g for g, hs in HONORIFICS.items() if m["title"].rstrip(".") in hs)
-            if not any(a < m.end("name") and m.start("name") < b for a, b, _, _ in out):
-                titled.append((m.start("name"), m.end("name"), gender, " ".join(m["name"].casefold().split())))
+            titles = re.split(r"[.\s]+", m["titles"].strip(". \t\r\n"))
+            words = list(re.finditer(r"\S+", m["name"]))
+            while len(words) > 1 and words[-1][0].casefold() in CALENDAR:
+                words.pop()
+            a, b = m.start("name"), m.start("name") + words[-1].end()
+            if all(len(t) > 1 and t.isupper() for t in titles) and not text[a:b].isupper():
+                continue
+            gender = next((g for t in titles if (g := _HONORIFICS.get(t, "n")) != "n"), "n")
+            if not any(x < b and a < y for x, y, _, _ in out[max(0, bisect_left(out, (a,)) - 1) :][:2]):
+                titled.append((a, b, gender, " ".join(w for w in text[a:b].casefold().split() if not w.endswith("."))))
     return _by_person(text, out, titled) if titled else out
 
 
@@ -226,7 +275,7 @@ def surrogate(secret: bytes, kind: str, key: str, attempt: int = 0) -> str:
         script = "cyrillic" if re.search("[а-яё]", name) else "latin"
         given = GIVEN[script, gender if gender in "mf" else "mf"[next(stream) % 2]]
         family = "".join(_SYLLABLES[script][next(stream) % 16] for _ in range(4 + attempt // 2))
-        return f"{gender}:" + (f"{given[next(stream) % len(given)].casefold()} {family}" if " " in name else family)
+        return f"{gender}:" + (f"{given[next(stream) % len(given)].casefold()} {family}" if _person(name)[0] else family)
     return _like(key + "0" * (attempt // 4), stream)
 
 
@@ -243,9 +292,12 @@ def render(kind: str, key: str, mention: str, entity: str = "") -> str:
     if kind == "iban" and " " in mention:
         return " ".join(key[i : i + 4] for i in range(0, len(key), 4))
     if kind == "name":
-        new, old, said = key.partition(":")[2].split(), entity.partition(":")[2].split(), mention.casefold().split()
-        if len(new) == 2 and len(said) == 1:
-            new = new[:1] if said[0] == old[0] != old[1] else new[1:]
+        new, said = key.partition(":")[2].split(), " ".join(w for w in mention.casefold().split() if not w.endswith("."))
+        given, family = _person(entity.partition(":")[2])
+        if len(new) == 2 and said in (family, family.split()[-1]):
+            new = new[1:]
+        elif len(new) == 2 and said in (*given, " ".join(given)):
+            new = new[:1]
         return " ".join(new).upper() if len(mention) > 1 and mention.isupper() else " ".join(new).title()
     if kind == "email" and mention != mention.lower():
         return key.upper() if mention == mention.upper() else key
