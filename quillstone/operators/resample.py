@@ -59,6 +59,30 @@ def resampled(cells: DataFrame, rounds: int) -> DataFrame:
     return spark.range(0, rounds if n else 0, 1, spark.sparkContext.defaultParallelism).mapInPandas(draw, "r long, cell long, k long")
 
 
+def redrawn(sizes: np.ndarray, round_: int, seed: int = 0) -> np.ndarray:
+    """How often each cell occurs in one round of as many draws as the cells have rows: binomials, each conditional on those before it.
+
+    The generator counts from the seed and the round, so a round is the same in whatever task it is drawn.
+    """
+    n = int(sizes.sum())
+    return np.random.Generator(np.random.Philox(key=[seed, round_])).multinomial(n, sizes / n) if n else np.zeros(len(sizes), np.int64)
+
+
+def resampled_cells(cells: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
+    """resampled's rows drawn from the cells' counts: work grows with rounds and cells, not with the rows, of which there may be any number."""
+    sizes = cells.orderBy("cell").select("k").toPandas()["k"].to_numpy(np.int64)  # cells are few
+
+    def draw(frames):
+        for frame in frames:
+            for r in frame["id"]:
+                counts = redrawn(sizes, int(r), seed)
+                on = np.flatnonzero(counts)
+                yield pd.DataFrame({"r": np.full(len(on), r), "cell": on, "k": counts[on]})
+
+    spark = cells.sparkSession
+    return spark.range(0, rounds if len(sizes) else 0, 1, spark.sparkContext.defaultParallelism).mapInPandas(draw, "r long, cell long, k long")
+
+
 def macro_f1(outcomes: DataFrame, models: list[str], labels: list[str]) -> DataFrame:
     """(r, model, f): macro-F1 over the labels that occur, of every round and model, from outcomes (r, label, predicted, k)."""
     by_model = outcomes.select("r", "label", "k", F.posexplode("predicted").alias("i", "said"))

@@ -226,10 +226,10 @@ def _cells(spark, d):
     return cut(resample.joint_cells(run_sql(spark, d, "SELECT doc_id, model, label, predicted, rnk FROM scored"), MODELS))
 
 
-def _outcomes(spark, d, rounds: int, cells=None):
+def _outcomes(spark, d, rounds: int, cells=None, draw=resample.resampled):
     """(r, label, predicted, rnk, k): each round's cells with their outcomes."""
     cells = _cells(spark, d) if cells is None else cells
-    return resample.resampled(cells, rounds).join(F.broadcast(cells.drop("k", "begins")), "cell")  # cells are few
+    return draw(cells, rounds).join(F.broadcast(cells.drop("k", "begins")), "cell")  # cells are few
 
 
 def _draws_sql(rounds: int) -> str:
@@ -287,3 +287,13 @@ def w10_bootstrap_ci(spark, d):
 def w11_aurc_bootstrap(spark, d):
     scores = resample.risk_areas(_outcomes(spark, d, resample.AREA_ROUNDS), MODELS)
     return _rounded(resample.differences(scores, resample.AREA_ROUNDS))
+
+
+@query()
+def w9_w10_w11_from_cells(spark, d):
+    """Paired differences of macro-F1 and of the risk-coverage area, with intervals, drawn from cell counts by conditional binomials."""
+    cells = _cells(spark, d)
+    f = resample.macro_f1(_outcomes(spark, d, resample.PAIRED_ROUNDS, cells, resample.resampled_cells), MODELS, LABELS)
+    area = resample.risk_areas(_outcomes(spark, d, resample.AREA_ROUNDS, cells, resample.resampled_cells), MODELS)
+    parts = [resample.differences(scores, rounds).select(F.lit(name).alias("metric"), "*") for name, scores, rounds in (("macro_f1", f, resample.PAIRED_ROUNDS), ("aurc", area, resample.AREA_ROUNDS))]
+    return _rounded(parts[0].unionByName(parts[1]))
