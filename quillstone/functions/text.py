@@ -171,8 +171,9 @@ def sequence_marks(text: Column) -> Column:
             F.when(hit, F.concat(s["out"], F.array(F.struct(pos.alias("pos"), num.alias("num"))))).otherwise(s["out"]).alias("out"),
         )
 
-    pairs = F.transform(marks, lambda m, i: F.struct(F.element_at(gaps, (i + 1).cast("int")).alias("gap"), m.alias("mark"), number(m).cast("int").alias("num")))
-    chain = F.aggregate(pairs, start, step)["out"]
+    # zipped, so the text is split once and not once a mark; the gap after the last mark has none
+    pairs = F.zip_with(gaps, marks, lambda g, m: F.struct(g.alias("gap"), m.alias("mark"), number(m).cast("int").alias("num")))
+    chain = F.aggregate(F.filter(pairs, lambda x: x["mark"].isNotNull()), start, step)["out"]
     return F.when(F.size(chain) >= 2, chain).otherwise(F.array().cast("array<struct<pos:int,num:int>>"))
 
 

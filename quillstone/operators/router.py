@@ -88,6 +88,21 @@ def route(policy: Policy, hits: DataFrame, fired: DataFrame, risk: DataFrame, re
     return hits.sparkSession.sql(text, hits=hits, fired=fired, risk=risk, requests=requests)
 
 
+def unsupported(policy: Policy, outcome: DataFrame, hits: DataFrame, fired: DataFrame) -> DataFrame:
+    """(n, coverage, answered, unsupported, unsupported_rate): how many of the answers have no precedent read and no rule fired of the label they give.
+
+    Every precedent that the policy reads is evidence, below the floor and with an ungrounded quotation too. Shares of nothing are 0.
+    """
+    evidence = hits.filter(F.col("rank") < policy.top_k).select("q", F.col("label").alias("decision"))
+    if policy.use_rules:
+        evidence = evidence.unionByName(fired.select("q", F.col("label").alias("decision")))
+    held = outcome.join(evidence.distinct().withColumn("backed", F.lit(True)), ["q", "decision"], "left")
+    n = lambda c: F.count(F.when(c, 1))
+    got = held.agg(F.count(F.lit(1)).alias("n"), n(~F.col("abstained")).alias("answered"), n(~F.col("abstained") & F.col("backed").isNull()).alias("unsupported"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    return got.select("n", share("answered", "n").alias("coverage"), "answered", "unsupported", share("unsupported", "answered").alias("unsupported_rate"))
+
+
 def recover(outcome: DataFrame, hits: DataFrame, verdicts: DataFrame) -> DataFrame:
     """outcome with the abstentions that a verdict on the top precedent withdraws, and recovered.
 

@@ -386,6 +386,25 @@ def a25_a26_workflow_score(spark, d):
     return spark.sql(f"WITH {_SCORE.format(t='{routed}')} {_SCORED.format(t='{routed}')}", routed=_routed(spark, d))
 
 
+def _unsupported_sql(name: str, p: router.Policy) -> str:
+    rules = " OR EXISTS (SELECT 1 FROM fired f WHERE f.q = o.q AND f.label = o.decision)" if p.use_rules else ""
+    backed = f"(EXISTS (SELECT 1 FROM hits h WHERE h.q = o.q AND h.rank < {p.top_k} AND h.label = o.decision){rules})"
+    counts = f"count(*) AS n, count(*) FILTER (NOT abstained) AS answered, count(*) FILTER (NOT abstained AND NOT {backed}) AS unsupported"
+    return f"""SELECT '{name}' AS variant, n, round(coalesce(answered / nullif(n, 0)::DOUBLE, 0), 6) AS coverage, answered, unsupported, round(coalesce(unsupported / nullif(answered, 0)::DOUBLE, 0), 6) AS unsupported_rate
+      FROM (WITH {router.route_sql(p)} SELECT {counts} FROM outcome o)"""
+
+
+@query(f"WITH {_ROUTE_CTES} " + " UNION ALL ".join(_unsupported_sql(name, p) for name, p in router.POLICIES.items()))
+def a25_unsupported_claims(spark, d):
+    """Of each variant, how many requests it answers and how many of its answers no evidence at hand supports."""
+    f, out = {k: cut(v) for k, v in _frames(spark, d).items()}, None
+    for name, p in router.POLICIES.items():
+        one = router.unsupported(p, cut(router.route(p, **f)), f["hits"], f["fired"])
+        one = one.select(F.lit(name).alias("variant"), "n", F.round("coverage", 6).alias("coverage"), "answered", "unsupported", F.round("unsupported_rate", 6).alias("unsupported_rate"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(_OUT + " SELECT q AS doc_id, CASE WHEN confidence = 'high' THEN decision END AS decision, confidence <> 'high' OR decision IS NULL AS abstained FROM routed_")
 def d8_d11_service_policy(spark, d):
     high = F.col("confidence") == "high"

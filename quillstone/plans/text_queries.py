@@ -85,15 +85,21 @@ def p11_gold_clean(spark, d):
     return run_sql(spark, d, "SELECT doc_id, text FROM gold").select("doc_id", T.clean_gold(F.col("text")).alias("request"))
 
 
+_TEN = "①②③④⑤⑥⑦⑧⑨⑩"
+
+
 @query(
-    """WITH s AS (SELECT doc_id AS id, string_split(replace(text, chr(10), ' '), '. ') AS parts FROM documents), n AS (SELECT id, parts, least(3, len(parts)) AS n FROM s)
-    SELECT id, num, part FROM (SELECT id, CAST(i AS INT) AS num, trim(['①', '②', '③'][i] || ' ' || parts[i]) AS part FROM (SELECT id, parts, unnest(range(1, n + 1)) AS i FROM n WHERE n >= 2)) UNION ALL SELECT id, NULL, NULL FROM n WHERE n < 2"""
+    f"""WITH s AS (SELECT doc_id AS id, string_split(replace(text, chr(10), ' '), '. ') AS parts FROM documents), n AS (SELECT id, parts, least(10, len(parts)) AS n FROM s)
+    SELECT id, CAST(i AS INT) AS num, trim('{_TEN}'[i] || ' ' || CASE WHEN i < n THEN parts[i] ELSE array_to_string(parts[i:], '. ') END) AS part FROM (SELECT id, parts, n, unnest(range(1, n + 1)) AS i FROM n WHERE n >= 2)
+    UNION ALL SELECT id, NULL, NULL FROM n WHERE n < 2 OR n IS NULL"""
 )
 def p12_p13_marked_sentences(spark, d):
-    """The first three sentences of each document under enumeration marks, found again as a rising chain and sliced; one mark is no chain."""
-    parts = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1), 1, 3)
-    marks = F.array(*[F.lit(x) for x in "①②③"])
-    body = F.array_join(F.transform(parts, lambda p, i: F.concat(F.element_at(marks, i + 1), F.lit(" "), p)), " ")
+    """Each document's sentences under enumeration marks, all from the tenth on under the tenth, found again as a rising chain and sliced; one mark is no chain."""
+    parts = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1)
+    marks = F.array(*[F.lit(x) for x in _TEN])
+    first = F.transform(F.slice(parts, 1, 9), lambda p, i: F.concat(F.element_at(marks, i + 1), F.lit(" "), p))
+    rest = F.when(F.size(parts) > 9, F.array(F.concat(F.lit(_TEN[9] + " "), F.array_join(F.slice(parts, F.lit(10), F.greatest(F.size(parts), F.lit(1))), ". ")))).otherwise(F.array().cast("array<string>"))
+    body = F.array_join(F.concat(first, rest), " ")
     rows = _docs(spark, d).select(F.col("doc_id").alias("id"), body.alias("text")).withColumn("marks", T.sequence_marks(F.col("text")))
     found = rows.select("id", F.explode_outer(T.slice_by_marks(F.col("text"), F.col("marks"))).alias("p"))
     return found.select("id", F.col("p.num").alias("num"), F.col("p.part").alias("part"))

@@ -57,3 +57,13 @@ def test_word_vectors_and_fusion(spark):
     a = spark.createDataFrame([(1, 10, 0), (1, 11, 1)], "q long, p long, rank int")
     b = spark.createDataFrame([(1, 11, 0), (1, 12, 1)], "q long, p long, rank int")
     assert {r.p: r.score for r in ngrams.rrf([a, b]).collect()} == pytest.approx({10: 1 / 61, 11: 1 / 61 + 1 / 62, 12: 1 / 62})
+
+
+def test_answers_without_evidence_are_counted(spark):
+    hits = spark.createDataFrame([(1, 0, "a", 0.9), (2, 0, "b", 0.9), (2, 1, "a", 0.8), (4, 0, "b", 0.05)], "q long, rank int, label string, s double")
+    fired = spark.createDataFrame([(3, 1, "c", 0.9)], "q long, ord int, label string, prec double")
+    outcome = spark.createDataFrame([(1, "a", False), (2, "a", False), (3, "c", False), (4, "b", False), (5, "a", False), (6, None, True)], "q long, decision string, abstained boolean")
+    got = lambda **k: tuple(router.unsupported(router.Policy(**k), outcome, hits, fired).first())
+    assert got() == (6, 5 / 6, 5, 1, 0.2)
+    assert got(use_rules=False)[2:4] == (5, 2) and got(use_rules=False, top_k=1)[2:4] == (5, 3)
+    assert tuple(router.unsupported(router.Policy(), outcome.limit(0), hits, fired).first()) == (0, 0.0, 0, 0, 0.0)
