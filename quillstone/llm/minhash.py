@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import _mix, components, hot_join, keyed_rows, repeated_ids, shingle_sets, spread, text_chunks
+from quillstone.llm.common import _mix, any_hot, components, hot_join, keyed_rows, repeated_ids, shingle_sets, spread, text_chunks
 from quillstone.session import cut
 
 #: Positions of the circulant permutation; shingles are first permuted, then folded onto them.
@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spots = classes.select("cls", "n", F.explode("codes").alias("code"))
     full = spots.groupBy("code").agg(F.min(F.struct("cls", "n")).alias("pivot"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("c"))
     full = cut(full.filter("pivot.cls <> hi").select("code", "pivot", "c"))
-    spots = cut(hot_join(spots, full, ["code"], "c", full.agg(F.sum("c")).first()[0] or 0))
+    total = full.agg(F.sum("c")).first()[0] or 0
+    spots = cut(hot_join(spots, full, ["code"], "c", total, hot=any_hot(full, "c", total)))
     wanted = classes.join(spots.select("cls").distinct(), "cls", "left_semi").select("rep", F.col("cls").alias("want"))
     texts = rows_in.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("want", "text")
     sets = texts.mapInArrow(lambda it: _sets(it, ngram), "cls binary, items array<long>")
