@@ -177,9 +177,15 @@ def split_fields(text: Column, names: list[str]) -> tuple[Column, Column]:
     body = F.regexp_replace(body, F.lit(rf"(?mdU)^[^\S\n]*({whole})[^\S\n]*$"), F.lit("\x01$1\x02"))
     parts = F.split(body, "\x01", -1)
     parts = F.slice(parts, F.lit(2), F.size(parts))
-    marked = F.transform(parts, lambda p: F.struct(squeeze(F.split(p, "\x02", 2)[0]).alias("name"), control_squeeze(F.split(p, "\x02", 2)[1]).alias("value")))
-    held = lambda n: F.transform(F.filter(marked, lambda m: m["name"] == n), lambda m: m["value"])
-    entries = F.array(*[F.when(F.size(held(n)) > 0, F.struct(F.lit(n).alias("key"), F.array_join(held(n), "\n").alias("value"))) for n in names])
-    fields = F.map_from_entries(F.array_compact(entries))
-    warnings = F.array_compact(F.array(*[F.when(F.size(held(n)) == 0, F.lit(f"missing_field:{n}")) for n in names]))
+    name = lambda p: squeeze(F.substring_index(p, "\x02", 1))
+    marked = F.transform(parts, lambda p: F.struct(name(p).alias("name"), control_squeeze(F.split(p, "\x02", 2)[1]).alias("value")))
+
+    def entries(m):
+        held = lambda n: F.transform(F.filter(m, lambda x: x["name"] == n), lambda x: x["value"])
+        return F.array_compact(F.array(*[F.when(F.exists(m, lambda x: x["name"] == n), F.struct(F.lit(n).alias("key"), F.array_join(held(n), "\n").alias("value"))) for n in names]))
+
+    # bound as the variable of a lambda, so that a text is parted once and not once a name
+    fields = F.map_from_entries(F.transform(F.array(marked), entries)[0])
+    lacking = lambda found: F.array_compact(F.array(*[F.when(~F.array_contains(found, n), F.lit(f"missing_field:{n}")) for n in names]))
+    warnings = F.transform(F.array(F.transform(parts, name)), lacking)[0]
     return fields, warnings
