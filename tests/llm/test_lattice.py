@@ -71,3 +71,42 @@ def test_odd_rows(spark):
     assert lattice.embedding_links(df.limit(0)).count() == 0
     texts = df.withColumn("label", F.concat(F.lit("l"), "label"))
     assert {r.vec_id: r.n_links for r in lattice.embedding_links(texts).filter("vec_id > 1").collect()} == {2: 3, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 1, 11: 1}
+
+
+@pytest.mark.parametrize("options", [{}, {"crowd": 3, "levels": 2, "tables": 1, "probes": 1, "block": 16}])
+def test_no_link_is_left_to_chance(spark, options):
+    """Pairs just within the limit in a crowd of strangers, where vectors that met in shared cells only missed some."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(500, 24))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    side = rng.normal(size=centre.shape)
+    side -= (side * centre).sum(axis=1, keepdims=True) * centre
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    v = np.concatenate([centre, 0.9801 * centre + np.sqrt(1 - 0.9801**2) * side])
+    rows = [(i, [float(np.float32(x)) for x in e], 1) for i, e in enumerate(v)]
+    link, root = brute(rows)
+    out = {r.vec_id: r for r in lattice.embedding_links(spark.createDataFrame(rows, VECTORS), **options).collect()}
+    assert [out[i].n_links for i in range(len(rows))] == link.sum(axis=1).tolist() and link.sum() >= 1000
+    assert [out[i].component_id for i in range(len(rows))] == root.tolist()
+
+
+def test_strips_and_tiles_that_can_hold_no_link(spark, monkeypatch):
+    """Several strips a label, tiles far apart passed over, lengths and labels of their own: the links are those of brute force."""
+    monkeypatch.setattr(lattice, "STRIP", 50)
+    rng = np.random.default_rng(12)
+    centre = np.eye(12)[:6]
+    v = np.concatenate([centre + 0.06 * rng.normal(size=centre.shape) for _ in range(60)])
+    rows = [(i, [float(np.float32(x)) for x in e], i % 2) for i, e in enumerate(v)]
+    link, root = brute(rows)
+    seen = []
+    monkeypatch.setattr(lattice, "_linked", lambda a, b, *rest, whole=lattice._linked: seen.append(len(a) * len(b)) or whole(a, b, *rest))
+    out = {r.vec_id: r for r in lattice.embedding_links(spark.createDataFrame(rows, VECTORS), block=8).collect()}
+    assert [out[i].n_links for i in range(len(rows))] == link.sum(axis=1).tolist() and [out[i].component_id for i in range(len(rows))] == root.tolist()
+    side, w = np.zeros(180, np.int32), np.ones(180, np.int64)
+    one = v[::2].astype(np.float32)
+    keys = lattice.Lattice(12, 2, 3, 2.5, 5).keys(lattice._units(one.astype(np.float64)), np.zeros(180, np.int64))
+    seen.clear()
+    ((rows_, total, _),) = lattice._pairs(side, w, one, keys, 0.98, 8)
+    assert sum(seen) < 180 * 180 / 2
+    want = link[::2, ::2].sum(axis=1)
+    assert dict(zip(rows_.tolist(), total.tolist())) == {i: n for i, n in enumerate(want.tolist()) if n}
