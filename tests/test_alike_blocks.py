@@ -56,3 +56,16 @@ def test_results_are_those_of_the_gram_join(spark, docs, monkeypatch, rows):
         ids = [x.select("doc_id") for x in (queries, base)]
         got, asked = (sorted((r.q, r.rank, r.p, round(r.s, 9)) for r in N.top_k(x, *ids, k, lone=False).collect()) for x in (found, sims))
         assert got == asked
+
+
+def test_only_results_of_a_tile_are_handled(spark, docs, monkeypatch):
+    """With a threshold a tile is neither clipped nor ranked; scores above 1 by rounding come out as 1, and each pair is a row for both sides."""
+    monkeypatch.setattr(B, "ROWS", 9)
+    monkeypatch.setattr(B, "LEAST_ROWS", 1)
+    monkeypatch.setattr(np, "clip", lambda *a, **k: (_ for _ in ()).throw(AssertionError("the whole tile is clipped")))
+    monkeypatch.setattr(B, "merged", None)
+    monkeypatch.setattr(B, "tile", lambda a, n, b, m, whole=B.tile: whole(a, n, b, m) * (1 + 1e-12))
+    vec = N.vectors(docs)
+    found = B.block_similarities(vec, vec, least=0.9, apart=True).collect()
+    plain = key(N.similarities(vec, vec).filter("q <> p and s >= 0.9").collect())
+    assert key(found) == plain and len(found) == len(plain) and max(r.s for r in found) == 1.0
